@@ -149,7 +149,7 @@ def _unquoted(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("\\")), parsed).otherwise(bare)
 
 
-def _scalar_text(value: Column) -> Column:
+def scalar_text(value: Column) -> Column:
     zero = F.coalesce(value.try_cast("double") == 0, F.lit(False))
     return (
         F.when(value.isNull() | value.isin(*_EMPTY_JSON, "false"), F.lit(""))
@@ -177,14 +177,14 @@ def json_items(value: Column) -> Column:
 def text_of(value: Column) -> Column:
     """The text of a JSON value; empty for null, false, zero and empty containers."""
     printed = F.concat(F.lit("["), F.array_join(F.transform(json_items(value), _quoted), ", "), F.lit("]"))
-    return F.when(is_list(value) & (value != "[]"), printed).otherwise(_scalar_text(value))
+    return F.when(is_list(value) & (value != "[]"), printed).otherwise(scalar_text(value))
 
 
 def item_texts(value: Column, separators: str | None = None) -> Column:
     """Texts of a JSON list's members, or of a single value (split when ``separators`` is given)."""
     single = text_of(value)
     other = F.split(single, separators) if separators else F.array(single)
-    return F.when(is_list(value), F.transform(json_items(value), _scalar_text)).otherwise(other)
+    return F.when(is_list(value), F.transform(json_items(value), scalar_text)).otherwise(other)
 
 
 def split_terms_json(value: Column) -> Column:
