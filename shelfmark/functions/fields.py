@@ -99,13 +99,15 @@ def _one_step(value: Column) -> Column:
 
 def scalar(value: Column) -> Column:
     """JSON text of the single value behind lists of one and naming objects, null for an empty list."""
-    whole = F.try_parse_json(F.when(value.rlike(r"^[\[{]"), value))
-    inner = whole
-    for _ in range(_SCALAR_ROUNDS):
-        inner = X.bind(inner, _one_step)
-    text = F.to_json(inner)
-    unwrapped = F.when(text == F.to_json(whole), value).otherwise(text)  # unchanged: keep key order
-    return F.when(value.rlike(r"^[\[{]"), unwrapped).otherwise(value)
+
+    def unwrap(value: Column) -> Column:
+        inner = F.try_parse_json(value)
+        for _ in range(_SCALAR_ROUNDS):
+            inner = X.bind(inner, _one_step)
+        # an unchanged container keeps its own text, and with it its key order
+        return X.bind(F.to_json(inner), lambda t: F.when(t == F.to_json(F.try_parse_json(value)), value).otherwise(t))
+
+    return X.bind(value, lambda v: F.when(v.rlike(r"^[\[{]"), unwrap(v)).otherwise(v))
 
 
 # ---------------------------------------------------------------- FLD-4 field choice
@@ -176,15 +178,23 @@ def json_items(value: Column) -> Column:
 
 def text_of(value: Column) -> Column:
     """The text of a JSON value; empty for null, false, zero and empty containers."""
-    printed = F.concat(F.lit("["), F.array_join(F.transform(json_items(value), _quoted), ", "), F.lit("]"))
-    return F.when(is_list(value) & (value != "[]"), printed).otherwise(scalar_text(value))
+
+    def text(value: Column) -> Column:
+        printed = F.concat(F.lit("["), F.array_join(F.transform(json_items(value), _quoted), ", "), F.lit("]"))
+        return F.when(is_list(value) & (value != "[]"), printed).otherwise(scalar_text(value))
+
+    return X.bind(value, text)
 
 
 def item_texts(value: Column, separators: str | None = None) -> Column:
     """Texts of a JSON list's members, or of a single value (split when ``separators`` is given)."""
-    single = text_of(value)
-    other = F.split(single, separators) if separators else F.array(single)
-    return F.when(is_list(value), F.transform(json_items(value), scalar_text)).otherwise(other)
+
+    def texts(value: Column) -> Column:
+        single = scalar_text(value)
+        other = F.split(single, separators) if separators else F.array(single)
+        return F.when(is_list(value), F.transform(json_items(value), scalar_text)).otherwise(other)
+
+    return X.bind(value, texts)
 
 
 def split_terms_json(value: Column) -> Column:
@@ -216,13 +226,17 @@ def _url_member(document: Column) -> Column:
 
 def url_source(value: Column) -> Column:
     """The part of a plain text, JSON object or JSON list to look for a URL in."""
-    members = F.from_json(F.when(is_list(value), value), "array<string>")
-    from_list = F.get(F.filter(F.transform(members, _url_member), lambda u: u.isNotNull()), F.lit(0))
-    return (
-        F.when(F.startswith(value, F.lit("{")), _url_member(value))
-        .when(is_list(value), from_list)
-        .otherwise(F.when(_is_text(value), _unquoted(value)).otherwise(value))
-    )
+
+    def source(value: Column) -> Column:
+        members = F.from_json(F.when(is_list(value), value), "array<string>")
+        from_list = F.get(F.filter(F.transform(members, _url_member), lambda u: u.isNotNull()), F.lit(0))
+        return (
+            F.when(F.startswith(value, F.lit("{")), _url_member(value))
+            .when(is_list(value), from_list)
+            .otherwise(F.when(_is_text(value), _unquoted(value)).otherwise(value))
+        )
+
+    return X.bind(value, source)
 
 
 def extract_url(value: Column) -> Column:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from shelfmark import vocabulary as V
 from shelfmark.functions import fields as L
 from shelfmark.functions import text as X
+from shelfmark.functions.staging import stage
 from shelfmark.operators.ordering import global_rank
 
 MAX_LOOKUP_MAP = 2000
 _RESOLVED = ("brand", "category", "subcategory", "strain")
+_PLAIN = ("description", "strain_type", "form", "jane_id", "sku", "unit", "thc", "cbd")
+_TERMS = ("effects", "flavors")
+_SECTIONS = {"s_phenotype": "PHENOTYPE", "s_lineage": "LINEAGE", "s_effects": "EFFECT PROFILE", "s_flavors": "FLAVOR PROFILE"}
 # which lookup table each resolved column reads; a subcategory is named by the category table
 LOOKUP_OF = {"brand": "brands", "category": "categories", "subcategory": "categories", "strain": "strains"}
 
@@ -111,37 +115,47 @@ def normalize_posts(
     """The catalogue columns of every post, plus ``seq`` when the posts carry it."""
     c = F.col
     carried = [name for name in ("seq",) if name in posts.columns]
-    chosen = posts.withColumn("fields", L.meta_fields(F.nullif(c("meta"), F.lit("null"))))
-    chosen = chosen.select(
+    mapped = stage(posts.withColumn("fields", L.meta_fields(F.nullif(c("meta"), F.lit("null")))))
+    chosen = stage(mapped.select(
         *carried, "id", "title", "content", "excerpt", "_embedded", "link",
         X.blank_to_null(X.first_filled(c("modified_gmt"), c("modified"))).alias("modified_gmt"),
         *[L.choose(c("fields"), *rule).alias(f"c_{name}") for name, rule in fields.items()],
-    )
-    media = L.featured_media(c("_embedded"))
-    body_url = F.coalesce(*[L.first_url(c(p)[part]) for p in ("content", "excerpt") for part in ("rendered", "raw")])
-    shaped = chosen.select(
-        *carried, c("id").alias("wp_id"), "modified_gmt", "c_effects", "c_flavors",
-        L.rendered(c("title")).alias("name"),
-        X.first_filled(L.text_of(c("c_description")), L.rendered(c("content")), L.rendered(c("excerpt"))).alias("described"),
+    ))
+    # texts of all parts, still undecoded
+    media = F.get(c("_embedded")["wp:featuredmedia"], F.lit(0))
+    sizes = media["media_details"]["sizes"]
+    sources = {"image": c("c_image"), "media": media["source_url"], "large": sizes["large"],
+               "medium_large": sizes["medium_large"], "page": c("c_product_url")}
+    bodies = ("title", "content", "excerpt")
+    texts = stage(chosen.select(
+        *carried, c("id").alias("wp_id"), "link", "modified_gmt", "c_stock", "c_price",
+        *[c(f"c_{name}") for name in _RESOLVED],
+        *[L.text_of(c(f"c_{name}")).alias(f"t_{name}") for name in _PLAIN],
+        *[L.item_texts(c(f"c_{name}"), r"[,;|/\n]").alias(f"i_{name}") for name in _TERMS],
+        *[L.url_source(value).alias(f"u_{name}") for name, value in sources.items()],
+        *[X.first_filled(c(name)["rendered"], c(name)["raw"]).alias(f"t_{name}") for name in bodies],
+        *[c(name)[part].alias(f"u_{name}_{part}") for name in bodies[1:] for part in ("rendered", "raw")],
+    ))
+    in_order = ("image", "media", "large", "medium_large", *[f"{n}_{p}" for n in bodies[1:] for p in ("rendered", "raw")])
+    shaped = stage(texts.select(
+        *carried, "wp_id", "modified_gmt",
+        *[X.clean(c(f"t_{name}")).alias(name) for name in (*_PLAIN, *bodies)],
+        (c("t_description") != "").alias("has_description"),
         *[lookup_items(c(f"c_{name}")).alias(name) for name in _RESOLVED],
-        *[X.clean(L.text_of(c(f"c_{name}"))).alias(name) for name in ("strain_type", "form", "jane_id", "sku", "unit")],
-        L.optional_text(c("c_thc")).alias("thc_text"),
-        L.optional_text(c("c_cbd")).alias("cbd_text"),
-        F.coalesce(L.extract_url(c("c_image")), media, body_url).alias("image_url"),
-        L.flag_of(c("c_stock")).alias("in_stock"),
-        L.money_of(c("c_price")).alias("price"),
-        F.coalesce(L.extract_url(c("c_product_url")), c("link")).alias("product_url"),
-    ).withColumn("description", X.clean(c("described")))
-    shaped = shaped.withColumn("__row", L.stable_id(id_prefix, c("jane_id"), c("sku"), c("wp_id").cast("string")))
-    sections = shaped.select(
+        *[X.split_terms_of(c(f"i_{name}")).alias(f"{name}_listed") for name in _TERMS],
+        F.coalesce(*[L.first_url(c(f"u_{name}")) for name in in_order]).alias("image_url"),
+        F.coalesce(L.first_url(c("u_page")), c("link")).alias("product_url"),
+        L.flag_of(c("c_stock")).alias("in_stock"), L.money_of(c("c_price")).alias("price"),
+    ))
+    # a chosen description counts even when nothing is left of it after cleaning
+    body = F.when(c("has_description"), c("description")).otherwise(X.first_filled(c("content"), c("excerpt")))
+    described = stage(shaped.withColumn("description", X.clean(body)))
+    sections = stage(described.select(
         "*",
-        X.labelled_section(c("description"), "PHENOTYPE").alias("phenotype"),
-        X.labelled_section(c("description"), "LINEAGE").alias("lineage"),
-        X.split_terms(X.labelled_section(c("description"), "EFFECT PROFILE")).alias("effects_told"),
-        X.split_terms(X.labelled_section(c("description"), "FLAVOR PROFILE")).alias("flavors_told"),
-        L.split_terms_json(c("c_effects")).alias("effects_listed"),
-        L.split_terms_json(c("c_flavors")).alias("flavors_listed"),
-    )
+        *[X.labelled_section(c("description"), label).alias(name) for name, label in _SECTIONS.items()],
+        L.stable_id(id_prefix, c("jane_id"), c("sku"), c("wp_id").cast("string")).alias("__row"),
+    ))
+    sections = stage(sections.withColumns({f"{name}_told": X.split_terms(c(f"s_{name}")) for name in _TERMS}))
     # wp_id identifies the post; the composed id may repeat until latest_per_key
     resolved = resolve_lookups(sections, "wp_id", {n: LOOKUP_OF[n] for n in _RESOLVED}, lookups)
 
@@ -153,9 +167,10 @@ def normalize_posts(
         *carried,
         c("__row").alias("id"), "wp_id",
         X.blank_to_null(c("jane_id")).alias("jane_product_id"), X.blank_to_null(c("sku")).alias("sku"),
-        "name", "brand", F.coalesce(X.blank_to_null(c("category")), F.lit(default_category)).alias("category"),
+        c("title").alias("name"), "brand", F.coalesce(X.blank_to_null(c("category")), F.lit(default_category)).alias("category"),
         "subcategory", "form", "strain", "strain_type", "description",
-        told_or_listed("effects"), told_or_listed("flavors"), "phenotype", "lineage", "thc_text", "cbd_text",
+        told_or_listed("effects"), told_or_listed("flavors"), c("s_phenotype").alias("phenotype"),
+        c("s_lineage").alias("lineage"), X.blank_to_null(c("thc")).alias("thc_text"), X.blank_to_null(c("cbd")).alias("cbd_text"),
         "price", "unit", "in_stock",
         L.absolute_url(c("image_url"), base).alias("image_url"),
         L.absolute_url(c("product_url"), base).alias("product_url"),
@@ -165,7 +180,7 @@ def normalize_posts(
 
 def chosen_keys(posts: DataFrame, fields: dict = V.FIELD_CHOICE) -> DataFrame:
     """Which raw key each column of each post is read from; for checking a new source."""
-    mapped = posts.select("id", L.meta_fields(F.nullif(F.col("meta"), F.lit("null"))).alias("fields"))
+    mapped = stage(posts.select("id", L.meta_fields(F.nullif(F.col("meta"), F.lit("null"))).alias("fields")))
     return mapped.select("id", *[L.choose_key(F.col("fields"), *rule).alias(name) for name, rule in fields.items()])
 
 

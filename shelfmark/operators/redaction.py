@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import vocabulary as V
 from shelfmark.functions import text as X
+from shelfmark.functions.staging import stage
 
 _CONTROLLED = ("category", "subcategory", "form", "strain_type")
 _FREE = ("phenotype", "lineage", "description", "thc_text", "cbd_text")
@@ -41,15 +42,15 @@ def redact(text: Column, patterns: list[Column]) -> Column:
 def with_record_text(rows: DataFrame, column: str = "record_text") -> DataFrame:
     """TXT-6.  Works in narrow steps, so each cleaned field is computed once."""
     c = F.col
-    cleaned = rows.select("*", *[X.clean(c(f)).alias(f"__{f}") for f in ("name", "brand", *_CONTROLLED, *_FREE)],
-                          *[X.clean_each(c(f)).alias(f"__{f}") for f in ("flavors", "effects")])
-    normal = cleaned.select("*", *[X.normalize(c(f"__{f}")).alias(f"__n_{f}") for f in ("name", "brand", *_CONTROLLED)])
+    cleaned = stage(rows.select("*", *[X.clean(c(f)).alias(f"__{f}") for f in ("name", "brand", *_CONTROLLED, *_FREE)],
+                          *[X.clean_each(c(f)).alias(f"__{f}") for f in ("flavors", "effects")]))
+    normal = stage(cleaned.select("*", *[X.normalize(c(f"__{f}")).alias(f"__n_{f}") for f in ("name", "brand", *_CONTROLLED)]))
     protected = protected_words(*[c(f"__n_{f}") for f in _CONTROLLED])
-    patterned = normal.select(
+    patterned = stage(normal.select(
         "*",
         phrase_pattern(c("__name")).alias("__p_name"), phrase_pattern(c("__brand")).alias("__p_brand"),
         blocked_pattern([c("__n_name"), c("__n_brand")], protected).alias("__p_words"),
-    )
+    ))
     patterns = [c("__p_name"), c("__p_brand"), c("__p_words")]
 
     def listed(field: str) -> Column:
