@@ -85,14 +85,11 @@ def _one_step(value: Column) -> Column:
     """A one-element list gives its element, an object its first filled naming key."""
     kind = F.schema_of_variant(value)
     first, second = (F.variant_get(value, f"$[{i}]", "variant") for i in (0, 1))
-    named = []
-    for key in V.SCALAR_KEYS:
-        found = F.try_variant_get(value, f"$.{key}", "variant")
-        blank = F.is_variant_null(found) | (F.to_json(found) == '""')
-        named.append(F.when(found.isNotNull() & ~blank, found))
+    named = F.array(*[F.try_variant_get(value, f"$.{key}", "variant") for key in V.SCALAR_KEYS])
+    filled = F.filter(named, lambda v: v.isNotNull() & ~F.to_json(v).isin("null", '""'))
     return (
         F.when(F.startswith(kind, F.lit("ARRAY")), F.when(second.isNull(), first).otherwise(value))
-        .when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(*named, value))
+        .when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(F.get(filled, F.lit(0)), value))
         .otherwise(value)
     )
 
@@ -131,6 +128,12 @@ def choose_key(fields: Column, exact=(), contains=(), excludes=()) -> Column:
     return F.coalesce(*listed, fallback)
 
 
+def choose_all(fields: Column, rules: dict) -> Column:
+    """``array<string>`` of the chosen value of each rule, in the order of ``rules``."""
+    values = F.array(*[F.element_at(fields, choose_key(fields, *rule)) for rule in rules.values()])
+    return F.transform(values, scalar)
+
+
 def choose(fields: Column, exact=(), contains=(), excludes=()) -> Column:
     return scalar(F.element_at(fields, choose_key(fields, exact, contains, excludes)))
 
@@ -210,9 +213,19 @@ def rendered(post_text: Column) -> Column:
 _URL = r"""(?U)https?://[^\s\x1c-\x1f"'<>]+"""
 
 
+def _url_in(decoded: Column) -> Column:
+    return X.blank_to_null(F.rtrim(F.regexp_extract(decoded, _URL, 0), F.lit("),.;")))
+
+
 def first_url(text: Column) -> Column:
     """The first absolute URL of a text, without closing punctuation; null when there is none."""
-    return X.blank_to_null(F.rtrim(F.regexp_extract(X.unescape(text), _URL, 0), F.lit("),.;")))
+    return _url_in(X.unescape(text))
+
+
+def first_url_of(texts: Column) -> Column:
+    """The first URL found in a list of texts, tried in order."""
+    found = F.transform(X.unescape_each(texts), _url_in)
+    return F.get(F.filter(found, lambda u: u.isNotNull()), F.lit(0))
 
 
 def _with_url(text: Column) -> Column:
@@ -229,7 +242,7 @@ def url_source(value: Column) -> Column:
 
     def source(value: Column) -> Column:
         members = F.from_json(F.when(is_list(value), value), "array<string>")
-        from_list = F.get(F.filter(F.transform(members, _url_member), lambda u: u.isNotNull()), F.lit(0))
+        from_list = F.get(F.filter(F.transform(members, lambda m: _url_member(m)), lambda u: u.isNotNull()), F.lit(0))
         return (
             F.when(F.startswith(value, F.lit("{")), _url_member(value))
             .when(is_list(value), from_list)
@@ -243,10 +256,11 @@ def extract_url(value: Column) -> Column:
     return first_url(url_source(value))
 
 
-def featured_media(embedded: Column) -> Column:
+def media_sources(embedded: Column) -> list[Column]:
+    """Where a featured image may be, in order: its source, its large and its medium size."""
     media = F.get(embedded["wp:featuredmedia"], F.lit(0))
     sizes = media["media_details"]["sizes"]
-    return F.coalesce(*[extract_url(c) for c in (media["source_url"], sizes["large"], sizes["medium_large"])])
+    return [media["source_url"], sizes["large"], sizes["medium_large"]]
 
 
 def absolute_url(url: Column, base: str) -> Column:

@@ -13,3 +13,17 @@ def stage(df: DataFrame) -> DataFrame:
     column repeats its whole expression.  One row in, one row out, no shuffle.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{name}`") for name in df.columns]))))
+
+
+SPREAD_BELOW = 64 << 20  # bytes per core
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores; a large input is left as it is read.
+
+    Small files come in one or two row groups and would keep one core busy.  The
+    size is the optimiser's estimate, so this runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BELOW * cores else df

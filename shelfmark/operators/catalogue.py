@@ -115,38 +115,36 @@ def normalize_posts(
     """The catalogue columns of every post, plus ``seq`` when the posts carry it."""
     c = F.col
     carried = [name for name in ("seq",) if name in posts.columns]
+    bodies = ("title", "content", "excerpt")
     mapped = stage(posts.withColumn("fields", L.meta_fields(F.nullif(c("meta"), F.lit("null")))))
     chosen = stage(mapped.select(
-        *carried, "id", "title", "content", "excerpt", "_embedded", "link",
+        *carried, c("id").alias("wp_id"), "link",
         X.blank_to_null(X.first_filled(c("modified_gmt"), c("modified"))).alias("modified_gmt"),
-        *[L.choose(c("fields"), *rule).alias(f"c_{name}") for name, rule in fields.items()],
+        L.choose_all(c("fields"), fields).alias("chosen"),
+        F.array(*[X.first_filled(c(name)["rendered"], c(name)["raw"]) for name in bodies]).alias("bodies"),
+        F.array(*L.media_sources(c("_embedded"))).alias("media"),
+        F.array(*[c(name)[part] for name in bodies[1:] for part in ("rendered", "raw")]).alias("parts"),
     ))
-    # texts of all parts, still undecoded
-    media = F.get(c("_embedded")["wp:featuredmedia"], F.lit(0))
-    sizes = media["media_details"]["sizes"]
-    sources = {"image": c("c_image"), "media": media["source_url"], "large": sizes["large"],
-               "medium_large": sizes["medium_large"], "page": c("c_product_url")}
-    bodies = ("title", "content", "excerpt")
+    value = {name: c("chosen")[i] for i, name in enumerate(fields)}
+    # each kind of text is worked on as one list, so its expression stands in the plan once
     texts = stage(chosen.select(
-        *carried, c("id").alias("wp_id"), "link", "modified_gmt", "c_stock", "c_price",
-        *[c(f"c_{name}") for name in _RESOLVED],
-        *[L.text_of(c(f"c_{name}")).alias(f"t_{name}") for name in _PLAIN],
-        *[L.item_texts(c(f"c_{name}"), r"[,;|/\n]").alias(f"i_{name}") for name in _TERMS],
-        *[L.url_source(value).alias(f"u_{name}") for name, value in sources.items()],
-        *[X.first_filled(c(name)["rendered"], c(name)["raw"]).alias(f"t_{name}") for name in bodies],
-        *[c(name)[part].alias(f"u_{name}_{part}") for name in bodies[1:] for part in ("rendered", "raw")],
+        *carried, "wp_id", "link", "modified_gmt", value["stock"].alias("c_stock"), value["price"].alias("c_price"),
+        *[value[name].alias(f"c_{name}") for name in _RESOLVED],
+        *[value[name].alias(f"c_{name}") for name in _TERMS],
+        F.concat(F.transform(F.array(*[value[n] for n in _PLAIN]), L.text_of), "bodies").alias("texts"),
+        F.concat(F.transform(F.concat(F.array(value["image"]), "media"), L.url_source), "parts").alias("image_sources"),
+        F.array(L.url_source(value["product_url"])).alias("page_sources"),
     ))
-    in_order = ("image", "media", "large", "medium_large", *[f"{n}_{p}" for n in bodies[1:] for p in ("rendered", "raw")])
-    shaped = stage(texts.select(
-        *carried, "wp_id", "modified_gmt",
-        *[X.clean(c(f"t_{name}")).alias(name) for name in (*_PLAIN, *bodies)],
-        (c("t_description") != "").alias("has_description"),
+    decoded = stage(texts.select(
+        *carried, "wp_id", "modified_gmt", X.clean_each(c("texts")).alias("cleaned"),
+        (c("texts")[0] != "").alias("has_description"),
         *[lookup_items(c(f"c_{name}")).alias(name) for name in _RESOLVED],
-        *[X.split_terms_of(c(f"i_{name}")).alias(f"{name}_listed") for name in _TERMS],
-        F.coalesce(*[L.first_url(c(f"u_{name}")) for name in in_order]).alias("image_url"),
-        F.coalesce(L.first_url(c("u_page")), c("link")).alias("product_url"),
+        *[X.split_terms_of(L.item_texts(c(f"c_{name}"), r"[,;|/\n]")).alias(f"{name}_listed") for name in _TERMS],
+        L.first_url_of(c("image_sources")).alias("image_url"),
+        F.coalesce(L.first_url_of(c("page_sources")), c("link")).alias("product_url"),
         L.flag_of(c("c_stock")).alias("in_stock"), L.money_of(c("c_price")).alias("price"),
     ))
+    shaped = decoded.select("*", *[c("cleaned")[i].alias(n) for i, n in enumerate((*_PLAIN, *bodies))]).drop("cleaned")
     # a chosen description counts even when nothing is left of it after cleaning
     body = F.when(c("has_description"), c("description")).otherwise(X.first_filled(c("content"), c("excerpt")))
     described = stage(shaped.withColumn("description", X.clean(body)))

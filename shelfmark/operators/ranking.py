@@ -33,6 +33,7 @@ SCORE_DIGITS = 7
 MAX_BROADCAST_QUERIES = 4096
 GROUP_ROWS = 50_000
 _QUERY_CHUNK = 256
+_HIT_CELLS = 16_000_000  # rows x terms of one hit table
 _OUT = "query_id long, row_index long, score double"
 _OUT_ARROW = pa.schema([("query_id", pa.int64()), ("row_index", pa.int64()), ("score", pa.float64())])
 
@@ -57,7 +58,9 @@ class _Queries:
         self.scopes = np.array([-1 if s is None else code[s] for s in scopes], dtype=np.int64)
         terms = table["terms"].to_pylist() if "terms" in table.column_names else []
         self.terms = sorted({t for wanted in terms for t in wanted or ()})
-        place = {term: i for i, term in enumerate(self.terms)}
+        self.place = place = {term: i for i, term in enumerate(self.terms)}
+        self.term_sizes = sorted({len(t) for t in self.terms})
+        self.inside: dict[str, list[int]] = {}
         self.wants = np.zeros((len(terms), len(self.terms)), dtype=np.float32)
         for row, wanted in enumerate(terms):
             self.wants[row, [place[t] for t in set(wanted or ())]] = 1.0
@@ -68,12 +71,29 @@ class _Queries:
         found = pc.index_in(batch.column("scope"), value_set=pa.array(self.scope_names, pa.string()))
         return pc.fill_null(found, -2).to_numpy(zero_copy_only=False)
 
-    def term_hits(self, batch: pa.RecordBatch) -> np.ndarray | None:
-        if not self.terms:
-            return None
-        text = batch.column("descriptor")
-        hits = [pc.match_substring(text, t).to_numpy(zero_copy_only=False) for t in self.terms]
-        return np.stack(hits, axis=1).astype(np.float32)
+    def term_hits(self, texts: list[str | None]) -> np.ndarray:
+        """Which terms occur in which texts, rows x terms.
+
+        Terms hold no spaces, so a term lies inside one word: each distinct word is
+        looked at once per task, and a text only adds up its words.
+        """
+        hits = np.zeros((len(texts), len(self.terms)), dtype=np.float32)
+        for row, text in enumerate(texts):
+            for word in set((text or "").split(" ")):
+                inside = self.inside.get(word)
+                if inside is None:
+                    inside = self.inside[word] = self._terms_inside(word)
+                hits[row, inside] = 1.0
+        return hits
+
+    def _terms_inside(self, word: str) -> list[int]:
+        found = set()
+        for size in self.term_sizes:
+            for start in range(len(word) - size + 1):
+                place = self.place.get(word[start:start + size])
+                if place is not None:
+                    found.add(place)
+        return sorted(found)
 
 
 class _Best:
@@ -86,11 +106,15 @@ class _Best:
         self.scores = [np.empty(0) for _ in queries.ids]
 
     def add(self, batch: pa.RecordBatch) -> None:
-        if not batch.num_rows:
-            return
+        step = max(64, _HIT_CELLS // max(1, len(self.queries.terms)))
+        for start in range(0, batch.num_rows, step):
+            self._add(batch.slice(start, step))
+
+    def _add(self, batch: pa.RecordBatch) -> None:
         q = self.queries
         row_index = batch.column("row_index").to_numpy()
-        matrix, scopes, hits = _matrix(batch.column("embedding")), q.row_scopes(batch), q.term_hits(batch)
+        matrix, scopes = _matrix(batch.column("embedding")), q.row_scopes(batch)
+        hits = q.term_hits(batch.column("descriptor").to_pylist()) if q.terms else None
         for start in range(0, len(q.ids), _QUERY_CHUNK):
             chunk = slice(start, start + _QUERY_CHUNK)
             scores = q.vectors[chunk] @ matrix.T

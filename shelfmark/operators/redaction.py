@@ -42,9 +42,14 @@ def redact(text: Column, patterns: list[Column]) -> Column:
 def with_record_text(rows: DataFrame, column: str = "record_text") -> DataFrame:
     """TXT-6.  Works in narrow steps, so each cleaned field is computed once."""
     c = F.col
-    cleaned = stage(rows.select("*", *[X.clean(c(f)).alias(f"__{f}") for f in ("name", "brand", *_CONTROLLED, *_FREE)],
-                          *[X.clean_each(c(f)).alias(f"__{f}") for f in ("flavors", "effects")]))
-    normal = stage(cleaned.select("*", *[X.normalize(c(f"__{f}")).alias(f"__n_{f}") for f in ("name", "brand", *_CONTROLLED)]))
+    texts, named = ("name", "brand", *_CONTROLLED, *_FREE), ("name", "brand", *_CONTROLLED)
+    # one list per step, so each expression stands in the plan once
+    listed_texts = stage(rows.select("*", X.clean_each(F.array(*[c(f) for f in texts])).alias("__t"),
+                                     *[X.clean_each(c(f)).alias(f"__{f}") for f in ("flavors", "effects")]))
+    listed_names = stage(listed_texts.select("*", X.normalize_each(F.slice("__t", 1, len(named))).alias("__n")))
+    normal = stage(listed_names.select(
+        "*", *[c("__t")[i].alias(f"__{f}") for i, f in enumerate(texts)],
+        *[c("__n")[i].alias(f"__n_{f}") for i, f in enumerate(named)]))
     protected = protected_words(*[c(f"__n_{f}") for f in _CONTROLLED])
     patterned = stage(normal.select(
         "*",

@@ -18,6 +18,7 @@ from shelfmark.functions import vectors as VX
 from shelfmark.operators.index import WHOLE, identity_values, scope_sizes
 from shelfmark.operators.ordering import global_rank, page_slots, top_n
 from shelfmark.operators.ranking import best_rows
+from shelfmark.session import work_dir
 
 RESULT = ["query_id", "rank", "row_index", "id", "score", "query_mode", "total"]
 Embedder = Callable[[DataFrame, str, str], DataFrame]  # (table, text column, vector column) -> table
@@ -198,7 +199,9 @@ def search(requests: DataFrame, index: DataFrame, embed: Embedder, dim: int) ->
 
     ``index`` comes from ``search_index``, ``with_browse_ranks`` and ``with_vectors``.
     """
-    routed = route(prepare_requests(requests), index)
+    staged = work_dir(requests.sparkSession, "routed")
+    route(prepare_requests(requests), index).write.parquet(staged)  # read by every branch below
+    routed = requests.sparkSession.read.parquet(staged)
     branch = {m: routed.filter(F.col("query_mode") == m) for m in ("browse", "identity", "outcome")}
     matches = identity_matches(branch["identity"], index)
     columns = ["query_id", "rank", "row_index", "id", "score"]

@@ -18,7 +18,7 @@ from shelfmark.functions import design_text as DT
 from shelfmark.functions import fields as L
 from shelfmark.functions import text as X
 from shelfmark.functions import vectors as VX
-from shelfmark.functions.staging import stage
+from shelfmark.functions.staging import spread, stage
 from shelfmark.operators import catalogue as C
 from shelfmark.operators import design as D
 from shelfmark.operators import embedding as E
@@ -60,6 +60,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns) -> DataFrame:
+    """A table whose rows are costly to work on, over all cores even when it is one small file."""
+    rows = table(spark, folder, name)
+    return spread(rows.select(*columns) if columns else rows)
+
+
 # ---------------------------------------------------------------- SQL building blocks
 
 def sql_norm(x: str) -> str:
@@ -238,7 +244,7 @@ def embedding_payloads(spark, folder):
   SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""")
 def embed_table(spark, folder):
     """VEC-7: every document embedded by the default model; the norms are checkable without it."""
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = texts(spark, folder, "documents", "doc_id", "text")
     vectors = E.embed_column(rows, "text", "embedding", E.hashing_model(DIM), DIM)
     return vectors.select("doc_id", F.round(VX.norm(c("embedding")), 5).alias("norm"))
 
@@ -248,7 +254,7 @@ def embed_table(spark, folder):
 @query(f"SELECT doc_id, {sql_norm('text')} AS normal FROM documents")
 def normalize_text(spark, folder):
     """TXT-1."""
-    return table(spark, folder, "documents").select("doc_id", X.normalize(c("text")).alias("normal"))
+    return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", X.normalize(c("text")).alias("normal"))
 
 
 def _sql_clean_html() -> str:
@@ -265,7 +271,7 @@ def _sql_clean_html() -> str:
 @query(_sql_clean_html())
 def clean_html(spark, folder):
     """TXT-2, TXT-3."""
-    return table(spark, folder, "pages").select("page_id", X.clean(c("html")).alias("cleaned"))
+    return texts(spark, folder, "pages", "page_id", "html").select("page_id", X.clean(c("html")).alias("cleaned"))
 
 
 @query(f"""
@@ -273,7 +279,7 @@ def clean_html(spark, folder):
   FROM (SELECT doc_id, {sql_terms(sql_norm('text'))} AS t FROM documents)""")
 def meaningful_terms(spark, folder):
     """TXT-9."""
-    terms = table(spark, folder, "documents").select("doc_id", X.meaningful_terms(c("text")).alias("t"))
+    terms = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", X.meaningful_terms(c("text")).alias("t"))
     return terms.select("doc_id", F.size("t").alias("terms"), F.array_join("t", " ").alias("joined"))
 
 
@@ -289,7 +295,7 @@ def meaningful_terms(spark, folder):
   FROM documents d LEFT JOIN (SELECT * FROM kept WHERE n = 1) k ON d.doc_id = k.doc_id GROUP BY d.doc_id""")
 def split_terms(spark, folder):
     """TXT-4."""
-    terms = table(spark, folder, "documents").select("doc_id", X.split_terms(c("text")).alias("t"))
+    terms = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", X.split_terms(c("text")).alias("t"))
     return terms.select("doc_id", F.size("t").alias("terms"), F.array_join("t", "|").alias("joined"))
 
 
@@ -315,7 +321,7 @@ def intent_canonical(spark, folder):
   FROM d JOIN t ON doc_id = conv_id""")
 def lexical_bonus(spark, folder):
     """VEC-4: each conversation turn's terms against the document of the same number."""
-    docs = table(spark, folder, "documents").select("doc_id", X.normalize(c("text")).alias("descriptor"))
+    docs = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", X.normalize(c("text")).alias("descriptor"))
     turns = table(spark, folder, "conversations").select(
         c("conv_id").alias("doc_id"), "turn", F.array_distinct(X.meaningful_terms(c("text"))).alias("terms"))
     hits = F.size(F.filter("terms", lambda t: F.contains("descriptor", t)))
@@ -346,7 +352,7 @@ def url_extract(spark, folder):
   FROM events""")
 def json_field_choice(spark, folder):
     """FLD-2, FLD-3, FLD-4: exact key, one-element list, naming object and token fallback."""
-    events = table(spark, folder, "events")
+    events = texts(spark, folder, "events", "event_id", "user_id", "event_type", "props")
     detail = F.when(c("event_type") == "error", F.struct(F.lit(1).alias("code"), F.lit(None).cast("int").alias("name"))).otherwise(
         F.struct(F.lit(None).cast("int").alias("code"), F.lit(2).alias("name")))
     document = F.to_json(F.struct(
@@ -464,7 +470,7 @@ def part_inventory(spark, folder) -> DataFrame:
     part = table(spark, folder, "part")
     docs = table(spark, folder, "documents").select(c("doc_id").alias("p_partkey"), "text", "source", "lang")
     told = F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit(": "), "text")
-    rows = part.join(docs, "p_partkey", "left").select(
+    rows = spread(part.join(docs, "p_partkey", "left")).select(
         c("p_partkey").alias("row_index"), F.concat(F.lit("item-"), c("p_partkey").cast("string")).alias("id"),
         c("p_name").alias("name"), c("p_brand").alias("brand"), c("p_type").alias("category"),
         F.lit("").alias("subcategory"), F.coalesce("lang", F.lit("")).alias("form"), F.lit("").alias("strain"),
@@ -486,7 +492,7 @@ SQL_POSTS = """
 
 def part_posts(spark, folder) -> DataFrame:
     """Raw posts made from the parts, with nested fields, lists, HTML and lookup keys."""
-    part = table(spark, folder, "part")
+    part = texts(spark, folder, "part")
     key = c("p_partkey").cast("string")
     stock = F.when(c("p_type") == "PROMO", "Out of stock").when(c("p_type") == "LARGE", "soon").otherwise("yes")
     meta = F.to_json(F.struct(
@@ -720,7 +726,7 @@ def query_routing(spark, folder):
 def hybrid_search(spark, folder):
     """VEC-5, VEC-4, JN-2: label means with benchmark texts as queries; documents describe the vectors."""
     rows = table(spark, folder, "embeddings")
-    docs = table(spark, folder, "documents").select(c("doc_id").alias("vec_id"), X.normalize(c("text")).alias("descriptor"))
+    docs = texts(spark, folder, "documents", "doc_id", "text").select(c("doc_id").alias("vec_id"), X.normalize(c("text")).alias("descriptor"))
     items = rows.join(docs, "vec_id").select(c("vec_id").alias("row_index"), "embedding", "descriptor")
     asked = table(spark, folder, "benchmark").select(c("item_id").cast("int").alias("label"), "text")
     terms = F.array_distinct(X.meaningful_terms(X.canonical_query(c("text"))))
@@ -762,7 +768,7 @@ def unified_search(spark, folder):
 def semantic_search(spark, folder):
     """VEC-3, FLT-4, SRT-5: pure vector order over the documents, the second service's page rules."""
     embed = E.embedder(E.hashing_model(DIM), DIM)
-    docs = table(spark, folder, "documents").select(
+    docs = texts(spark, folder, "documents").select(
         c("doc_id").alias("row_index"), c("doc_id").cast("string").alias("id"), "text",
         L.category_label(c("lang"), c("source")).alias("category_label"))
     rows = embed(docs, "text", "embedding").drop("text")
