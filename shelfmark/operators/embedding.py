@@ -20,14 +20,18 @@ TextsToVectors = Callable[[list[str]], np.ndarray]
 # ---------------------------------------------------------------- VEC-7
 
 def hashing_model(dim: int) -> TextsToVectors:
-    """The default model: signed word counts in ``dim`` hash buckets.  Pure, so tasks can be retried."""
+    """The default model: weighted word counts in ``dim`` hash buckets.
+
+    Pure, so tasks can be retried.  Weights are positive: words cannot cancel out,
+    so every text with a word has a vector.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
         for row, text in enumerate(texts):
             for word in text.lower().split():
                 code = zlib.crc32(word.encode())
-                out[row, code % dim] += 1.0 if code >> 31 else -1.0
+                out[row, code % dim] += 1.0 + (code >> 24) / 255
         return out
 
     return embed
