@@ -329,8 +329,8 @@ def flag_word(text: Column) -> Column:
     return F.when(word.isin(*V.TRUE_WORDS), True).when(word.isin(*V.FALSE_WORDS), False)
 
 
-def flag_of(value: Column) -> Column:
-    return F.coalesce(number_of(value) != 0, flag_word(text_of(value)))
+def flag_of(value: Column, text: Column | None = None) -> Column:
+    return F.coalesce(number_of(value) != 0, flag_word(text_of(value) if text is None else text))
 
 
 def optional_text(value: Column) -> Column:
@@ -345,16 +345,20 @@ def money_number(number: Column) -> Column:
 
 def money_text(text: Column) -> Column:
     """The first amount of a text; without a dollar sign whole amounts from 1000 on are cents."""
-    plain = X.clean(text)
-    found = F.regexp_extract(
-        F.replace(plain, F.lit(","), F.lit("")), r"(?:\$\s*)?([0-9]+(?:\.[0-9]{1,2})?)", 1
-    ).try_cast("double")
-    cents = ~F.contains(plain, F.lit("$")) & (found >= 1000) & (found == F.floor(found))
-    return F.round(F.when(cents, found / 100).otherwise(found), 2)
+    amount = r"(?:\$\s*)?([0-9]+(?:\.[0-9]{1,2})?)"
 
+    def read(plain: Column) -> Column:
+        found = F.regexp_extract(F.replace(plain, F.lit(","), F.lit("")), amount, 1).try_cast("double")
+        bare = ~F.contains(plain, F.lit("$"))
+        return X.bind(found, lambda n: F.round(F.when(bare & (n >= 1000) & (n == F.floor(n)), n / 100).otherwise(n), 2))
 
-def money_of(value: Column) -> Column:
-    return F.coalesce(money_number(number_of(value)), F.when(number_of(value).isNull(), money_text(text_of(value))))
+    return X.bind(X.clean(text), read)
+
+
+def money_of(value: Column, text: Column | None = None) -> Column:
+    """``text``: the value's own text, when it is already at hand."""
+    told = money_text(text_of(value) if text is None else text)
+    return F.coalesce(money_number(number_of(value)), F.when(number_of(value).isNull(), told))
 
 
 def money_display(text: Column) -> Column:

@@ -140,24 +140,27 @@ def normalize_each(texts: Column) -> Column:
 
 # ---------------------------------------------------------------- TXT-2, TXT-3 clean
 
-_ANY_BOILERPLATE = "(?i)" + "|".join(V.BOILERPLATE)
+# one word of each phrase: a text without any of them needs no further look
+_BOILERPLATE_HINT = "(?i)intoxicating|adults|reach|dispensary|possessed|warning:"
 
 
 def strip_boilerplate(text: Column) -> Column:
     """Each phrase takes the rest of the text with it when that rest is on the last line."""
-    stripped = text
     for phrase in V.BOILERPLATE:
-        stripped = strip_space(F.regexp_replace(stripped, f"(?id){WORD_START}{phrase}.*$", ""))
-    return F.when(text.rlike(_ANY_BOILERPLATE), stripped).otherwise(text)
+        text = strip_space(F.regexp_replace(text, f"(?id){WORD_START}{phrase}.*$", ""))
+    return text
 
 
-def _clean_decoded(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(?iU)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"(?i)</(?:p|div|li|h[1-6])>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
+def _clean_decoded(raw: Column) -> Column:
+    """All steps look at ``raw`` to see whether they have work, so plain text passes through few patterns."""
+    tagged = F.contains(raw, F.lit("<"))
+    lines = F.regexp_replace(raw, r"(?iU)<br\s*/?>", "\n")
+    lines = F.regexp_replace(lines, r"(?i)</(?:p|div|li|h[1-6])>", "\n")
+    text = F.when(tagged, F.regexp_replace(lines, r"<[^>]+>", " ")).otherwise(raw)
     text = F.regexp_replace(text, r"[ \t\xa0]+", " ")
-    text = F.regexp_replace(text, rf"(?U)\n{SPACE}*\n+", "\n")
-    return strip_boilerplate(strip_space(text))
+    squeezed = F.regexp_replace(text, rf"(?U)\n{SPACE}*\n+", "\n")
+    text = strip_space(F.when(tagged | F.contains(raw, F.lit("\n")), squeezed).otherwise(text))
+    return F.when(raw.rlike(_BOILERPLATE_HINT), strip_boilerplate(text)).otherwise(text)
 
 
 def clean(text: Column) -> Column:
@@ -178,9 +181,14 @@ def split_terms_of(items: Column) -> Column:
     kept = F.filter(pairs, lambda p: (p["key"] != "") & ~p["key"].isin(*V.EMPTY_TERMS))
 
     def first_spellings(pairs: Column) -> Column:
-        keys = F.transform(pairs, lambda p: p["key"])
-        first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-        return F.transform(first, lambda p: p["term"])
+        """Sorting by key brings equal keys together; sorting by place restores the order."""
+        placed = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["term"].alias("term")))
+
+        def heads(ordered: Column) -> Column:
+            first = F.filter(ordered, lambda p, i: (i == 0) | (p["key"] != F.get(ordered, i - 1)["key"]))
+            return F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["term"].alias("term"))))
+
+        return F.transform(bind(F.array_sort(placed), heads), lambda p: p["term"])
 
     return F.coalesce(bind(kept, first_spellings), F.array().cast("array<string>"))
 

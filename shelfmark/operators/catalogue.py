@@ -35,10 +35,13 @@ def lookup_names(posts: DataFrame) -> DataFrame:
     return named.groupBy("key").agg(F.max(F.struct("seq", "name"))["name"].alias("name"))
 
 
-def lookup_items(value):
-    """``array<struct<key, text>>`` of a chosen value: whole numbers are keys, the rest is text."""
+def lookup_items(value, texts=None):
+    """``array<struct<key, text>>`` of a chosen value: whole numbers are keys, the rest is text.
+
+    ``texts``: the value's item texts, when they are already at hand.
+    """
     raw = F.when(L.is_list(value), L.json_items(value)).otherwise(F.array(value))
-    texts = X.clean_each(L.item_texts(value))
+    texts = X.clean_each(L.item_texts(value) if texts is None else texts)
 
     def as_item(pair):
         number = F.floor(F.abs(L.number_of(pair["raw"]))) * F.signum(L.number_of(pair["raw"]))
@@ -130,7 +133,9 @@ def normalize_posts(
     texts = stage(chosen.select(
         *carried, "wp_id", "link", "modified_gmt", value["stock"].alias("c_stock"), value["price"].alias("c_price"),
         *[value[name].alias(f"c_{name}") for name in _RESOLVED],
-        *[value[name].alias(f"c_{name}") for name in _TERMS],
+        *[L.item_texts(value[name]).alias(f"i_{name}") for name in _RESOLVED],
+        *[L.item_texts(value[name], r"[,;|/\n]").alias(f"i_{name}") for name in _TERMS],
+        L.text_of(value["stock"]).alias("t_stock"), L.text_of(value["price"]).alias("t_price"),
         F.concat(F.transform(F.array(*[value[n] for n in _PLAIN]), L.text_of), "bodies").alias("texts"),
         F.concat(F.transform(F.concat(F.array(value["image"]), "media"), L.url_source), "parts").alias("image_sources"),
         F.array(L.url_source(value["product_url"])).alias("page_sources"),
@@ -138,11 +143,12 @@ def normalize_posts(
     decoded = stage(texts.select(
         *carried, "wp_id", "modified_gmt", X.clean_each(c("texts")).alias("cleaned"),
         (c("texts")[0] != "").alias("has_description"),
-        *[lookup_items(c(f"c_{name}")).alias(name) for name in _RESOLVED],
-        *[X.split_terms_of(L.item_texts(c(f"c_{name}"), r"[,;|/\n]")).alias(f"{name}_listed") for name in _TERMS],
+        *[lookup_items(c(f"c_{name}"), c(f"i_{name}")).alias(name) for name in _RESOLVED],
+        *[X.split_terms_of(c(f"i_{name}")).alias(f"{name}_listed") for name in _TERMS],
         L.first_url_of(c("image_sources")).alias("image_url"),
         F.coalesce(L.first_url_of(c("page_sources")), c("link")).alias("product_url"),
-        L.flag_of(c("c_stock")).alias("in_stock"), L.money_of(c("c_price")).alias("price"),
+        L.flag_of(c("c_stock"), c("t_stock")).alias("in_stock"),
+        L.money_of(c("c_price"), c("t_price")).alias("price"),
     ))
     shaped = decoded.select("*", *[c("cleaned")[i].alias(n) for i, n in enumerate((*_PLAIN, *bodies))]).drop("cleaned")
     # a chosen description counts even when nothing is left of it after cleaning

@@ -171,16 +171,24 @@ def best_rows(
 
     head = queries.limit(max_broadcast + 1).toArrow()
     if head.num_rows <= max_broadcast:
+        candidates, needs = _score_broadcast(usable, head), _needs_of(items.sparkSession, head)
         max_need = max(head["need"].to_pylist(), default=1)
-        candidates = _score_broadcast(usable, head)
     else:
+        candidates, needs = _score_blocks(usable, queries, max_broadcast), queries.select("query_id", "need")
         max_need = queries.agg(F.max("need")).first()[0]
-        candidates = _score_blocks(usable, queries, max_broadcast)
     ranked = top_n(candidates, ["query_id"], [F.desc("score"), F.asc("row_index")], int(max_need))
-    needs = queries.select("query_id", "need")
+    if needs is None:
+        return ranked
     return ranked.join(needs, "query_id").filter(F.col("rank") <= F.col("need")).drop("need")
 
 
+def _needs_of(spark, head: pa.Table) -> DataFrame | None:
+    """The needs of a broadcast block as a local table, or None when all are the same."""
+    if len(set(head["need"].to_pylist())) <= 1:
+        return None
+    return spark.createDataFrame(head.select(["query_id", "need"]))
+
+
 def _score_broadcast(items: DataFrame, head: pa.Table) -> DataFrame:
     if head.num_rows == 0:
         return items.sparkSession.createDataFrame([], _OUT)

@@ -650,14 +650,14 @@ SQL_PART = f"""
 def browse_page(spark, folder):
     """SRT-2, SRT-4, WIN-3, AGG-6: a page per category, and one for an unknown category, which shows everything."""
     part = table(spark, folder, "part")
-    index = I.with_browse_ranks(part_index(spark, folder), 16)
+    index = part_index(spark, folder)
     asked = part.select(c("p_type").alias("category")).distinct().unionByName(
         spark.range(1).select(F.lit("no such category").alias("category")))
     requests = S.prepare_requests(asked.select(
         F.xxhash64("category").alias("query_id"), F.lit(" ").alias("q"), "category", F.lit(10).alias("offset"),
         F.lit(None).cast("int").alias("limit")))
     routed = S.route(requests, index)
-    pages = S.browse_pages(routed, index).join(routed.select("query_id", "category"), "query_id")
+    pages = S.browse_pages(routed, I.with_browse_ranks(index.select("row_index", "id", "scope", "category", "brand", "name"), 16)).join(routed.select("query_id", "category"), "query_id")
     sizes = routed.select("query_id", "scope").join(I.scope_sizes(index), "scope").select("query_id", "total")
     return pages.join(sizes, "query_id").select(
         "category", c("rank").cast("long"), c("row_index").alias("p_partkey"), "total")
