@@ -109,33 +109,49 @@ def scalar(value: Column) -> Column:
 
 # ---------------------------------------------------------------- FLD-4 field choice
 
-def choose_key(fields: Column, exact=(), contains=(), excludes=()) -> Column:
-    """The key a column is read from: an exact key in listed order, else the first fitting one."""
+_RULES = "array<struct<exact: array<string>, contains: array<string>, excludes: array<string>>>"
+
+
+def _filled(value: Column) -> Column:
+    return value.isNotNull() & ~value.isin(*_EMPTY_JSON)
+
+
+def choose_keys(fields: Column, rules) -> Column:
+    """``array<string>``: for each (exact, contains, excludes) rule the key a column is read from.
 
-    def filled(value: Column) -> Column:
-        return value.isNotNull() & ~value.isin(*_EMPTY_JSON)
+    That is an exact key in listed order, else the first key in record order with all
+    the tokens of ``contains`` and none of ``excludes``.  The rules are one literal, so
+    their number does not enlarge the plan.
+    """
+    named = [dict(zip(("exact", "contains", "excludes"), rule)) for rule in rules]
+    literal = F.from_json(F.lit(json.dumps(named)), _RULES)
 
-    def fits(entry: Column) -> Column:
-        ok = filled(entry["value"])
-        for token in contains:
-            ok = ok & F.contains(entry["key"], F.lit(token))
-        for token in excludes:
-            ok = ok & ~F.contains(entry["key"], F.lit(token))
-        return ok
+    def fitting(rule: Column):
+        return lambda e: (
+            _filled(e["value"])
+            & F.forall(rule["contains"], lambda t: F.contains(e["key"], t))
+            & ~F.exists(rule["excludes"], lambda t: F.contains(e["key"], t))
+        )
+
+    def pick(entries: Column, rule: Column) -> Column:
+        listed = F.filter(rule["exact"], lambda k: _filled(F.element_at(fields, k)))
+        fallback = F.get(F.filter(entries, fitting(rule)), F.lit(0))["key"]
+        return F.coalesce(F.get(listed, F.lit(0)), fallback)
+
+    return X.bind(F.map_entries(fields), lambda entries: F.transform(literal, lambda rule: pick(entries, rule)))
 
-    listed = [F.when(filled(F.element_at(fields, F.lit(key))), F.lit(key)) for key in exact]
-    fallback = F.get(F.filter(F.map_entries(fields), fits), F.lit(0))["key"]
-    return F.coalesce(*listed, fallback)
 
+def choose_all(fields: Column, rules) -> Column:
+    """``array<string>`` of the chosen value of each rule."""
+    return F.transform(choose_keys(fields, rules), lambda key: scalar(F.element_at(fields, key)))
 
-def choose_all(fields: Column, rules: dict) -> Column:
-    """``array<string>`` of the chosen value of each rule, in the order of ``rules``."""
-    values = F.array(*[F.element_at(fields, choose_key(fields, *rule)) for rule in rules.values()])
-    return F.transform(values, scalar)
+
+def choose_key(fields: Column, exact=(), contains=(), excludes=()) -> Column:
+    return F.get(choose_keys(fields, [(exact, contains, excludes)]), F.lit(0))
 
 
 def choose(fields: Column, exact=(), contains=(), excludes=()) -> Column:
-    return scalar(F.element_at(fields, choose_key(fields, exact, contains, excludes)))
+    return F.get(choose_all(fields, [(exact, contains, excludes)]), F.lit(0))
 
 
 # ---------------------------------------------------------------- text of a JSON value

@@ -199,13 +199,18 @@ def split_terms(text: Column) -> Column:
 
 # ---------------------------------------------------------------- TXT-5 sections
 
+def labelled_sections(text: Column, wanted, labels=V.SECTION_LABELS) -> Column:
+    """``array<string>``: for each wanted label the text after ``LABEL:`` up to the next other label or the end."""
+    raw = []
+    for label in wanted:
+        stops = "|".join(other for other in labels if other != label)
+        pattern = rf"(?isU){WORD_START}{label}{SPACE}*:{SPACE}*(.*?)(?={WORD_START}(?:{stops}){SPACE}*:|$)"
+        raw.append(F.regexp_extract(text, pattern, 1))
+    return F.transform(clean_each(F.array(*raw)), lambda t: strip_chars(t, " .;:-"))
+
+
 def labelled_section(text: Column, label: str, labels=V.SECTION_LABELS) -> Column:
-    """The text after ``LABEL:`` up to the next other label or the end."""
-    stops = "|".join(other for other in labels if other != label)
-    pattern = (
-        rf"(?isU){WORD_START}{label}{SPACE}*:{SPACE}*(.*?)(?={WORD_START}(?:{stops}){SPACE}*:|$)"
-    )
-    return strip_chars(clean(F.regexp_extract(text, pattern, 1)), " .;:-")
+    return F.get(labelled_sections(text, [label], labels), F.lit(0))
 
 
 # ---------------------------------------------------------------- TXT-8 … TXT-11 search text

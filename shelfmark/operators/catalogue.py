@@ -123,7 +123,7 @@ def normalize_posts(
     chosen = stage(mapped.select(
         *carried, c("id").alias("wp_id"), "link",
         X.blank_to_null(X.first_filled(c("modified_gmt"), c("modified"))).alias("modified_gmt"),
-        L.choose_all(c("fields"), fields).alias("chosen"),
+        L.choose_all(c("fields"), fields.values()).alias("chosen"),
         F.array(*[X.first_filled(c(name)["rendered"], c(name)["raw"]) for name in bodies]).alias("bodies"),
         F.array(*L.media_sources(c("_embedded"))).alias("media"),
         F.array(*[c(name)[part] for name in bodies[1:] for part in ("rendered", "raw")]).alias("parts"),
@@ -153,12 +153,13 @@ def normalize_posts(
     shaped = decoded.select("*", *[c("cleaned")[i].alias(n) for i, n in enumerate((*_PLAIN, *bodies))]).drop("cleaned")
     # a chosen description counts even when nothing is left of it after cleaning
     body = F.when(c("has_description"), c("description")).otherwise(X.first_filled(c("content"), c("excerpt")))
-    described = stage(shaped.withColumn("description", X.clean(body)))
+    described = stage(shaped.withColumn("description", F.get(X.clean_each(F.array(body)), F.lit(0))))
     sections = stage(described.select(
         "*",
-        *[X.labelled_section(c("description"), label).alias(name) for name, label in _SECTIONS.items()],
+        X.labelled_sections(c("description"), _SECTIONS.values()).alias("sections"),
         L.stable_id(id_prefix, c("jane_id"), c("sku"), c("wp_id").cast("string")).alias("__row"),
     ))
+    sections = sections.select("*", *[c("sections")[i].alias(name) for i, name in enumerate(_SECTIONS)])
     sections = stage(sections.withColumns({f"{name}_told": X.split_terms(c(f"s_{name}")) for name in _TERMS}))
     # wp_id identifies the post; the composed id may repeat until latest_per_key
     resolved = resolve_lookups(sections, "wp_id", {n: LOOKUP_OF[n] for n in _RESOLVED}, lookups)
@@ -185,7 +186,8 @@ def normalize_posts(
 def chosen_keys(posts: DataFrame, fields: dict = V.FIELD_CHOICE) -> DataFrame:
     """Which raw key each column of each post is read from; for checking a new source."""
     mapped = stage(posts.select("id", L.meta_fields(F.nullif(F.col("meta"), F.lit("null"))).alias("fields")))
-    return mapped.select("id", *[L.choose_key(F.col("fields"), *rule).alias(name) for name, rule in fields.items()])
+    keyed = stage(mapped.select("id", L.choose_keys(F.col("fields"), fields.values()).alias("keys")))
+    return keyed.select("id", *[F.col("keys")[i].alias(name) for i, name in enumerate(fields)])
 
 
 # ---------------------------------------------------------------- AGG-1, FLT-1, FLT-2
