@@ -125,8 +125,9 @@ def build_field(
     todo = E.missing_rows(texts, R.read_vectors(spark, vectors_path), dim)
     W.append_vectors(E.embed_column(todo, "record_text", "embedding", model, dim, batch), vectors_path)
 
-    counts = E.progress(texts, R.read_vectors(spark, vectors_path), dim).drop("dim")
-    W.write_manifest(wanted.crossJoin(counts), f"{out}/state")  # one row each
+    counts = E.progress(texts, R.read_vectors(spark, vectors_path), dim).first()
+    state = wanted.withColumns({name: F.lit(counts[name]) for name in ("completed", "remaining")})
+    W.write_manifest(state.withColumn("updated_at", F.current_timestamp()), f"{out}/state")
     left = E.missing_rows(texts, R.read_vectors(spark, vectors_path), dim).select("id").limit(Q.SAMPLE).collect()
     if left:
         raise FieldIncomplete(f"rows without a complete vector, e.g. {[r['id'] for r in left]}")

@@ -212,10 +212,11 @@ def l2_normalize(spark, folder):
 def vector_norm_check(spark, folder):
     """AGG-8, FLT-5, AGG-4."""
     rows = table(spark, folder, "embeddings")
-    done = rows.agg(F.count_if(VX.is_complete(c("embedding"), DIM)).alias("completed"),
-                    F.count_if(~VX.is_complete(c("embedding"), DIM)).alias("remaining"))
-    stats = Q.norm_statistics(rows).withColumn("max_error", F.round("max_error", 6))
-    return stats.crossJoin(done)  # one row each
+    texts = rows.select(c("vec_id").alias("id"), F.lit("h").alias("text_hash"))
+    state = E.progress(texts, texts.join(rows.withColumnRenamed("vec_id", "id"), "id"), DIM)
+    return Q.norm_statistics(rows).select(
+        "rows", "not_finite", F.round("max_error", 6).alias("max_error"),
+        *[state.select(name).scalar().alias(name) for name in ("completed", "remaining")])
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,24 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VECTOR).parquet(path) if path_exists(spark, path) else _empty(spark, VECTOR)
 
 
+def read_flat_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """SRC-4 for a headerless file of little-endian float32 rows: ``row_index, embedding``.
+
+    The file is split at row borders, so a large one is read by many tasks.
+    """
+    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
+    rows = spark.createDataFrame(records, "bytes binary, row_index long")
+
+    def decode(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), dtype="<f4")
+            offsets = pa.array(np.arange(0, flat.size + 1, dim, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("row_index"), vectors], ["row_index", "embedding"])
+
+    return rows.mapInArrow(decode, "row_index long, embedding array<float>")
+
+
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5: names and sizes of stored files; their content is never read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")

@@ -9,6 +9,7 @@ from shelfmark.functions import vectors as VX
 from shelfmark.operators import design as D
 from shelfmark.operators import embedding as E
 from shelfmark.schema import DESIGN_REQUEST
+from shelfmark.sources import readers as R
 from shelfmark.streaming import streams as ST
 
 
@@ -34,6 +35,13 @@ def test_response_vectors(spark, payload, expected):
         assert mine == wanted if isinstance(wanted, str) else np.allclose(mine, wanted)
 
 
+def test_read_flat_vectors(spark, tmp_path):
+    values = np.arange(60, dtype="<f4").reshape(20, 3)
+    values.tofile(tmp_path / "v.f32")
+    got = R.read_flat_vectors(spark, str(tmp_path / "v.f32"), 3).orderBy("row_index").collect()
+    assert [r["row_index"] for r in got] == list(range(20)) and np.array_equal([r["embedding"] for r in got], values)
+
+
 def test_missing_batches(spark):
     done = {0, 1, 5, 6, 12}
     mask = spark.createDataFrame([(i, i in done) for i in range(20)], "row_index long, done boolean")
