@@ -12,6 +12,7 @@ from shelfmark.functions import text as X
 from shelfmark.functions import vectors as VX
 from shelfmark.operators.ranking import best_rows
 from shelfmark.schema import LIBRARY
+from shelfmark.session import stored
 
 
 def default_library(spark: SparkSession) -> DataFrame:
@@ -51,14 +52,14 @@ def design(
     requests: DataFrame, items: DataFrame, library: DataFrame, embed, dim: int,
     instrument: str = "the vector field", schema: str = "effect-design-v1",
 ) -> DataFrame:
-    """VEC-6.  ``items``: ``row_index, name, category, embedding``; ``library``: as ``default_library``.
+    """VEC-6.  ``items``: a stored table of ``row_index, name, category, embedding``; ``library``: as ``default_library``.
 
     The result keeps the programme, the signature and both ranked lists; FLT-7 tells
     which lists a path shows.
     """
     c = F.col
-    targets = embed(with_target_text(requests), "target_text", "vector")
-    entries = embed(with_library_text(library), "library_text", "embedding")
+    targets = stored(embed(with_target_text(requests), "target_text", "vector"), "targets")
+    entries = stored(embed(with_library_text(library), "library_text", "embedding"), "library")
     near_items = nearest(targets, items, V.DESIGN_TOP_ITEMS, dim)
     near_library = nearest(targets, entries, V.DESIGN_TOP_LIBRARY, dim)
     item_list = _as_list(near_items, items.select("row_index", "name", "category"), ["name", "category"], "benchmarks")

@@ -28,7 +28,7 @@ def global_rank(
     the key space into ranges; rows are numbered inside their range and shifted by
     the size of the group's earlier ranges.  The split points only steer the work:
     any choice gives the same ranks.  ``order`` must end in a unique column.  Nulls
-    sort first, as in ``orderBy``.
+    sort first, as in ``orderBy``.  ``df`` is read four times: pass a stored table.
     """
     keys = F.struct(*[F.col(c) for c in group + order])
     sample_size = slices * SAMPLES_PER_SLICE

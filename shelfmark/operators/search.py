@@ -18,7 +18,7 @@ from shelfmark.functions import vectors as VX
 from shelfmark.operators.index import WHOLE, identity_values, scope_sizes
 from shelfmark.operators.ordering import global_rank, page_slots, top_n
 from shelfmark.operators.ranking import best_rows
-from shelfmark.session import work_dir
+from shelfmark.session import stored
 
 RESULT = ["query_id", "rank", "row_index", "id", "score", "query_mode", "total"]
 Embedder = Callable[[DataFrame, str, str], DataFrame]  # (table, text column, vector column) -> table
@@ -199,9 +199,7 @@ def search(requests: DataFrame, index: DataFrame, embed: Embedder, dim: int) ->
 
     ``index`` comes from ``search_index``, ``with_browse_ranks`` and ``with_vectors``.
     """
-    staged = work_dir(requests.sparkSession, "routed")
-    route(prepare_requests(requests), index).write.parquet(staged)  # read by every branch below
-    routed = requests.sparkSession.read.parquet(staged)
+    routed = stored(route(prepare_requests(requests), index), "routed")  # read by every branch below
     branch = {m: routed.filter(F.col("query_mode") == m) for m in ("browse", "identity", "outcome")}
     matches = identity_matches(branch["identity"], index)
     columns = ["query_id", "rank", "row_index", "id", "score"]
@@ -216,7 +214,7 @@ def search(requests: DataFrame, index: DataFrame, embed: Embedder, dim: int) ->
 # ---------------------------------------------------------------- VEC-3, the second service
 
 def semantic_search(requests: DataFrame, rows: DataFrame, embed: Embedder, dim: int, slices: int = 64) -> DataFrame:
-    """Pure dot-product order.  ``rows``: ``row_index, id, category_label, embedding``."""
+    """Pure dot-product order.  ``rows``: a stored table of ``row_index, id, category_label, embedding``."""
     c = F.col
     scope = F.lower(X.strip_space(X.first_filled(c("category"), F.lit("all"))))
     asked = requests.select(

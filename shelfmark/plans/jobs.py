@@ -14,7 +14,7 @@ from shelfmark.operators import embedding as E
 from shelfmark.operators import quality as Q
 from shelfmark.operators.fingerprint import fingerprint
 from shelfmark.operators.redaction import with_record_text
-from shelfmark.session import work_dir
+from shelfmark.session import stored
 from shelfmark.sources import readers as R
 from shelfmark.sources import writers as W
 
@@ -54,12 +54,11 @@ def build_catalogue(spark: SparkSession, options: CatalogueOptions, out: str) ->
     }
     rows = C.normalize_posts(posts, lookups, options.base, options.id_prefix, options.source)
     deduped = C.dedupe(rows)
-    # the expensive part, read by four sinks: write it once, which also cuts the lineage
-    staged = work_dir(spark, "deduped")
-    deduped.write.parquet(staged)
-    deduped = spark.read.parquet(staged)
+    # the expensive part, read by four sinks
+    deduped = stored(deduped, "deduped")
     stocked = C.drop_out_of_stock(deduped, options.include_out_of_stock)
     ready, missing = C.split_by_asset(stocked, R.read_assets(spark, options.assets))
+    ready = stored(ready, "ready")  # counted, sampled and ranked
     C.require_minimum(ready, options.minimum)
     published = C.publish_order(ready, options.slices)
     W.write_inventory(published.select(*S.INVENTORY.names), f"{out}/inventory")
@@ -109,9 +108,7 @@ def build_field(
     vectors_path = f"{out}/vectors/config={tag}"
 
     texts = E.with_text_hash(with_record_text(inventory)).select("id", "name", "brand", "record_text", "text_hash")
-    staged = work_dir(spark, "texts")
-    texts.write.parquet(staged)  # read four times below
-    texts = spark.read.parquet(staged)
+    texts = stored(texts, "texts")  # read four times below
     if not E.empty_texts(texts).isEmpty():
         raise ValueError("one or more rows produced an empty text")
 

@@ -29,7 +29,7 @@ from shelfmark.operators.fingerprint import fingerprint
 from shelfmark.operators.ordering import global_rank
 from shelfmark.operators.ranking import best_rows
 from shelfmark.operators.redaction import with_record_text
-from shelfmark.session import ship_package, work_dir
+from shelfmark.session import ship_package, stored, work_dir
 from shelfmark.sources import readers as R
 from shelfmark.sources import writers as W
 from shelfmark.streaming import streams as ST
@@ -431,7 +431,8 @@ def product_card(spark, folder):
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1""")
 def latest_per_key(spark, folder):
     """AGG-1."""
-    events = table(spark, folder, "events").withColumn("version", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    events = table(spark, folder, "events").select(
+        "user_id", "event_id", "ts", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("version"))
     latest = C.latest_per_key(events, c("user_id"), c("version"), c("event_id"))
     return latest.select("user_id", "event_id", "ts", "event_type")
 
@@ -630,8 +631,9 @@ def leakage_check(spark, folder):
 # ---------------------------------------------------------------- search
 
 def part_index(spark, folder) -> DataFrame:
-    index = I.search_index(part_inventory(spark, folder).withColumn("strain", c("category")))
-    return index
+    """The parts' search index without descriptors, stored as a catalogue would store it."""
+    rows = part_inventory(spark, folder).withColumn("strain", c("category"))
+    return stored(I.search_index(rows).drop("descriptor"), "index")
 
 
 SQL_PART = f"""
@@ -684,7 +686,7 @@ def identity_lookup(spark, folder):
     requests = S.prepare_requests(asked.select(
         F.xxhash64("q").alias("query_id"), "q", F.lit("all").alias("category"), F.lit(0).alias("offset"), F.lit(0).alias("limit")))
     requests = requests.filter(c("phrase") != "").withColumn("scope", F.lit(I.WHOLE))
-    matches = S.identity_matches(requests, index)
+    matches = stored(S.identity_matches(requests, index), "matches")
     found = matches.groupBy("query_id").agg(F.count("*").alias("total"))
     pages = S.identity_pages(requests, matches).join(found, "query_id").join(requests.select("query_id", "q"), "query_id")
     return pages.select("q", c("rank").cast("long"), c("row_index").alias("p_partkey"), "total")
@@ -760,9 +762,7 @@ def unified_search(spark, folder):
     texts = with_record_text(rows).select("id", "record_text")
     vectors = embed(texts, "record_text", "embedding").select("id", "embedding")
     index = I.with_vectors(I.with_browse_ranks(I.search_index(rows), 16), vectors)
-    staged = work_dir(spark, "index")
-    index.write.parquet(staged)  # read by four branches
-    return S.search(conversation_requests(spark, folder), spark.read.parquet(staged), embed, DIM)
+    return S.search(conversation_requests(spark, folder), stored(index, "index"), embed, DIM)
 
 
 @query()
@@ -772,7 +772,7 @@ def semantic_search(spark, folder):
     docs = texts(spark, folder, "documents").select(
         c("doc_id").alias("row_index"), c("doc_id").cast("string").alias("id"), "text",
         L.category_label(c("lang"), c("source")).alias("category_label"))
-    rows = embed(docs, "text", "embedding").drop("text")
+    rows = stored(embed(docs, "text", "embedding").drop("text"), "rows")
     bench = table(spark, folder, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("q"), F.lit("all").alias("category"))
     langs = table(spark, folder, "documents").select("lang").distinct().select(
         (-1 - F.abs(F.xxhash64("lang"))).alias("query_id"), F.lit("").alias("q"), F.upper("lang").alias("category"))
@@ -848,7 +848,7 @@ def design_spec(spark, folder):
     """VEC-6, TXT-13, SNK-6, FLT-7: whole designs with the default model and library, as JSON documents."""
     embed = E.embedder(E.hashing_model(DIM), DIM)
     rows = part_records(spark, folder).select("row_index", "name", "category", "record_text")
-    items = embed(rows, "record_text", "embedding").drop("record_text")
+    items = stored(embed(rows, "record_text", "embedding").drop("record_text"), "items")
     designs = D.design(part_design_requests(spark, folder), items, D.default_library(spark), embed, DIM)
     return D.export(designs)
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -41,6 +41,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For results that are costly and read more than once (embeddings above all): the
+    work is done once, the lineage ends here, and a lost executor loses nothing.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application."""
     context = spark.sparkContext
