@@ -239,15 +239,20 @@ def descriptor_text(fields: list[Column], effects: Column, flavors: Column) -> C
 
 def expand_intent(query: Column) -> Column:
     """Drop one leading request phrase and the articles, then append known descriptors."""
-    normal = normalize(query)
-    body = F.lit(None).cast("string")
-    for prefix in V.QUERY_PREFIXES:
-        body = F.coalesce(body, F.when(F.startswith(normal, F.lit(prefix)),
-                                       F.substring(normal, F.lit(len(prefix) + 1), F.length(normal))))
-    kept = F.filter(words(F.coalesce(body, normal)), lambda w: ~w.isin(*V.ARTICLES))
-    bare = F.array_join(kept, " ")
-    added = [F.when(F.contains(bare, F.lit(phrase)), F.lit(more)) for phrase, more in V.PHRASE_EXPANSIONS]
-    return F.btrim(F.concat_ws(" ", bare, *added))
+
+    def without_prefix(normal: Column) -> Column:
+        bodies = [
+            F.when(F.startswith(normal, F.lit(prefix)), F.substring(normal, F.lit(len(prefix) + 1), F.length(normal)))
+            for prefix in V.QUERY_PREFIXES
+        ]
+        kept = F.filter(words(F.coalesce(*bodies, normal)), lambda w: ~w.isin(*V.ARTICLES))
+        return F.array_join(kept, " ")
+
+    def with_descriptors(bare: Column) -> Column:
+        added = [F.when(F.contains(bare, F.lit(phrase)), F.lit(more)) for phrase, more in V.PHRASE_EXPANSIONS]
+        return F.btrim(F.concat_ws(" ", bare, *added))
+
+    return bind(bind(normalize(query), without_prefix), with_descriptors)
 
 
 def canonical_query(query: Column) -> Column:

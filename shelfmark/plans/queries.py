@@ -131,9 +131,11 @@ SQL_CENTROIDS = """
 
 
 def centroids(embeddings: DataFrame, by: list[str]) -> DataFrame:
-    """One mean vector per group: plain averages, so the shuffle carries one row per group and task."""
-    means = [F.avg(c("embedding")[i].cast("double")) for i in range(DIM)]
-    return embeddings.groupBy(*by).agg(F.array(*means).alias("mean")).withColumn("vector", VX.unit(c("mean"))).drop("mean")
+    """One unit mean vector per group: averages per axis combine on the map side."""
+    axes = embeddings.select(*by, F.posexplode("embedding").alias("axis", "x"))
+    means = axes.groupBy(*by, "axis").agg(F.avg(c("x").cast("double")).alias("x"))
+    listed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("axis", "x"))).alias("axes"))  # one entry per axis
+    return listed.select(*by, VX.unit(F.transform("axes", lambda a: a["x"])).alias("vector"))
 
 
 def embedding_items(spark, folder) -> DataFrame:
@@ -731,8 +733,9 @@ def hybrid_search(spark, folder):
     rows = table(spark, folder, "embeddings")
     docs = texts(spark, folder, "documents", "doc_id", "text").select(c("doc_id").alias("vec_id"), X.normalize(c("text")).alias("descriptor"))
     items = rows.join(docs, "vec_id").select(c("vec_id").alias("row_index"), "embedding", "descriptor")
-    asked = table(spark, folder, "benchmark").select(c("item_id").cast("int").alias("label"), "text")
-    terms = F.array_distinct(X.meaningful_terms(X.canonical_query(c("text"))))
+    asked = stage(table(spark, folder, "benchmark").select(
+        c("item_id").cast("int").alias("label"), X.canonical_query(c("text")).alias("query_text")))
+    terms = F.array_distinct(X.meaningful_terms(c("query_text")))
     queries = centroids(rows, ["label"]).join(asked, "label").select(
         c("label").cast("long").alias("query_id"), F.lit(TOP).alias("need"), "vector", terms.alias("terms"))
     total = items.agg(F.count("*")).scalar()
