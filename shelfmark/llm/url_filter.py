@@ -1,6 +1,7 @@
 """URL rules with wildcards as one bit-parallel automaton.
 
-A rule is a glob over the canonical form ``.host/path`` of a URL: ``*`` stands for any run of
+A rule is a glob over the canonical form ``.host path`` of a URL (the space ends the host, and a
+path begins with a slash if it is not empty): ``*`` stands for any run of
 bytes without a slash, ``**`` for any run, ``?`` for one byte other than a slash.  All rules are
 laid one after another in the bits of a Shift-And state of as many 64-bit words as they need.
 One step per byte of the URL moves every rule at once, and a task steps all URLs of a batch
@@ -34,7 +35,7 @@ class Rule:
 
     @property
     def glob(self) -> str:
-        return f"**.{self.host}{self.path}**"
+        return f"*.{self.host} {self.path}**"
 
 
 class Automaton:
@@ -132,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id"
         names = pa.array([rule.name for rule in rules], pa.string())
         verdicts = pa.array([*(rule.verdict for rule in rules), default], pa.string())
         for batch in batches:
-            text = pc.binary_join_element_wise(pc.binary_join_element_wise(pa.scalar(""), batch.column("host"), "."), batch.column("path"), "")
+            text = pc.binary_join_element_wise(pc.binary_join_element_wise(pa.scalar(""), batch.column("host"), "."), batch.column("path"), " ")
             for part in slices(pa.RecordBatch.from_arrays([*batch.columns, text], ["page_id", "host", "path", "text"]), "text", 1 << 20):
                 found = automaton.matches(*text_bytes(part.column("text")))
                 chosen = np.full(part.num_rows, len(rules), dtype=np.int64)
