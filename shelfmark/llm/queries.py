@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.contamination import contamination
 from shelfmark.llm.encoding import tokenizer_path
+from shelfmark.llm.language_model import score_texts
+from shelfmark.llm.metric_join import range_join
+from shelfmark.llm.near_duplicates import near_duplicates
 from shelfmark.llm.packing import pack
 from shelfmark.llm.quality import fit_quality, fold, score_quality
+from shelfmark.llm.sharding import shard
 from shelfmark.llm.token_counts import token_counts
 from shelfmark.llm.token_files import read_token_files, write_token_files
 from shelfmark.llm.url_filter import Rule, judge_urls
@@ -37,6 +42,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = work_dir(spark, "token-files")
@@ -44,11 +54,36 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(spark, files, with_ids=False)
 
 
+_RANGE_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id"""
+
+
+@query(_RANGE_SQL)
+def op3_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    return range_join(table(spark, folder, "embeddings"))
+
+
 @query()
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query()
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(table(spark, folder, "documents"), shards=24)
+
+
 RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
@@ -78,6 +113,16 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), RULES)
 
 
+@query()
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 @query()
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
