@@ -210,7 +210,7 @@ def held_out(doc_id: str):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
-def score_texts(docs: DataFrame, order: int = 2, mu: float = 100.0, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 2, mu: float = 500.0, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
     Trained on the rows that are not held out.  Scores are base-10 logarithms of the probability of the
