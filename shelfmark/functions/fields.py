@@ -8,7 +8,9 @@ expressions; one small Arrow function flattens the records that are nested.
 
 from __future__ import annotations
 
+import html
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -22,7 +24,6 @@ _PAIRS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.Struc
 _ARROW_PAIRS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 _VARIANT_MAP = T.MapType(T.StringType(), T.VariantType())
 _VARIANT_LIST = T.ArrayType(T.VariantType())
-_SCALAR_ROUNDS = 4
 _EMPTY_JSON = ("null", '""', "[]", "{}")
 
 
@@ -31,8 +32,11 @@ _EMPTY_JSON = ("null", '""', "[]", "{}")
 def _flat_pairs(document: str | None) -> list[dict] | None:
     if document is None:
         return None
+    try:
+        pending = [("", json.loads(document))]
+    except ValueError:
+        return None
     found: dict[str, str] = {}
-    pending = [("", json.loads(document))]
     while pending:
         path, value = pending.pop()
         dotted = path + "." if path else ""
@@ -81,30 +85,44 @@ def meta_fields(document: Column) -> Column:
 
 # ---------------------------------------------------------------- FLD-3 scalarise
 
-def _one_step(value: Column) -> Column:
-    """A one-element list gives its element, an object its first filled naming key."""
-    kind = F.schema_of_variant(value)
-    first, second = (F.variant_get(value, f"$[{i}]", "variant") for i in (0, 1))
-    named = F.array(*[F.try_variant_get(value, f"$.{key}", "variant") for key in V.SCALAR_KEYS])
-    filled = F.filter(named, lambda v: v.isNotNull() & ~F.to_json(v).isin("null", '""'))
-    return (
-        F.when(F.startswith(kind, F.lit("ARRAY")), F.when(second.isNull(), first).otherwise(value))
-        .when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(F.get(filled, F.lit(0)), value))
-        .otherwise(value)
-    )
+def _bare(text: str | None) -> str | None:
+    """The JSON text left when no list of one and no naming object is around it; null for an empty list."""
+    if text is None or text[:1] not in ("[", "{"):
+        return text
+    try:
+        outer = value = json.loads(text)
+    except ValueError:
+        return text
+    while True:
+        if isinstance(value, list) and len(value) < 2:
+            inner = value[0] if value else None
+        elif isinstance(value, dict):
+            named = (value[key] for key in V.SCALAR_KEYS if value.get(key) not in (None, ""))
+            inner = next(named, value)
+        else:
+            break
+        if inner is value:
+            break
+        value = inner
+    if value is outer:  # an unchanged container keeps its own text
+        return text
+    return None if value is None else json.dumps(value, ensure_ascii=False)
 
 
-def scalar(value: Column) -> Column:
-    """JSON text of the single value behind lists of one and naming objects, null for an empty list."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _bare_udf(lists: pa.Array) -> pa.Array:
+    return pa.array([None if texts is None else [_bare(t) for t in texts] for texts in lists.to_pylist()], pa.list_(pa.string()))
 
-    def unwrap(value: Column) -> Column:
-        inner = F.try_parse_json(value)
-        for _ in range(_SCALAR_ROUNDS):
-            inner = X.bind(inner, _one_step)
-        # an unchanged container keeps its own text, and with it its key order
-        return X.bind(F.to_json(inner), lambda t: F.when(t == F.to_json(F.try_parse_json(value)), value).otherwise(t))
 
-    return X.bind(value, lambda v: F.when(v.rlike(r"^[\[{]"), unwrap(v)).otherwise(v))
+def scalar_each(values: Column) -> Column:
+    """``scalar`` of each JSON text of an array; arrays without a container take no detour."""
+    holds = F.exists(values, lambda v: F.coalesce(v.rlike(r"^[\[{]"), F.lit(False)))
+    return F.coalesce(_bare_udf(F.when(holds, values)), values)
+
+
+def scalar(value: Column) -> Column:
+    """JSON text of the single value behind lists of one and naming objects, null for an empty list."""
+    return F.get(scalar_each(F.array(value)), F.lit(0))
 
 
 # ---------------------------------------------------------------- FLD-4 field choice
@@ -141,19 +159,15 @@ def choose_keys(fields: Column, rules) -> Column:
     return X.bind(F.map_entries(fields), lambda entries: F.transform(literal, lambda rule: pick(entries, rule)))
 
 
-def choose_all(fields: Column, rules) -> Column:
-    """``array<string>`` of the chosen value of each rule."""
-    return F.transform(choose_keys(fields, rules), lambda key: scalar(F.element_at(fields, key)))
+def chosen_texts(fields: Column, rules) -> Column:
+    """``array<string>`` of the value each rule chooses, as it stands; ``stage`` it, then take ``scalar_each``."""
+    return F.transform(choose_keys(fields, rules), lambda key: F.element_at(fields, key))
 
 
 def choose_key(fields: Column, exact=(), contains=(), excludes=()) -> Column:
     return F.get(choose_keys(fields, [(exact, contains, excludes)]), F.lit(0))
 
 
-def choose(fields: Column, exact=(), contains=(), excludes=()) -> Column:
-    return F.get(choose_all(fields, [(exact, contains, excludes)]), F.lit(0))
-
-
 # ---------------------------------------------------------------- text of a JSON value
 
 def is_list(value: Column) -> Column:
@@ -226,6 +240,7 @@ def rendered(post_text: Column) -> Column:
 
 # ---------------------------------------------------------------- FLD-5 … FLD-8 URLs
 
+_URL_HINT = re.compile(r"""https?://[^\s"'<>]""")
 _URL = r"""(?U)https?://[^\s\x1c-\x1f"'<>]+"""
 
 
@@ -244,28 +259,43 @@ def first_url_of(texts: Column) -> Column:
     return F.get(F.filter(found, lambda u: u.isNotNull()), F.lit(0))
 
 
-def _with_url(text: Column) -> Column:
-    return F.when(text.rlike("https?://"), text)
+def _text_with_url(document: str | None) -> str | None:
+    """The first text with a URL in a JSON value: of an object the preferred members, then all, of a list each in order."""
+    try:
+        pending = [json.loads(document)]
+    except ValueError:
+        return None
+    while pending:
+        value = pending.pop()
+        if isinstance(value, str):
+            if _URL_HINT.search(html.unescape(value)):
+                return value
+            continue
+        if isinstance(value, dict):
+            inner = [value[key] for key in V.URL_KEYS if key in value] + list(value.values())
+        else:
+            inner = value if isinstance(value, list) else []
+        pending.extend(reversed(inner))
+    return None
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _text_with_url_udf(lists: pa.Array) -> pa.Array:
+    def found(text):
+        return _text_with_url(text) if text is not None and text[:1] in ("[", "{") else text
 
+    return pa.array([None if texts is None else [found(t) for t in texts] for texts in lists.to_pylist()], pa.list_(pa.string()))
 
-def _url_member(document: Column) -> Column:
-    preferred = [_with_url(F.get_json_object(document, f"$.{key}")) for key in V.URL_KEYS]
-    return F.coalesce(*preferred, _with_url(F.replace(document, F.lit("\\/"), F.lit("/"))))
 
+def url_sources(values: Column) -> Column:
+    """For each plain text, JSON text, object or list of an array: the text to look for a URL in."""
+    holds = F.exists(values, lambda v: F.coalesce(v.rlike(r"^[\[{]"), F.lit(False)))
+    plain = F.transform(values, lambda v: F.when(_is_text(v), _unquoted(v)).otherwise(v))
+    return F.coalesce(_text_with_url_udf(F.when(holds, plain)), plain)
 
-def url_source(value: Column) -> Column:
-    """The part of a plain text, JSON object or JSON list to look for a URL in."""
-
-    def source(value: Column) -> Column:
-        members = F.from_json(F.when(is_list(value), value), "array<string>")
-        from_list = F.get(F.filter(F.transform(members, lambda m: _url_member(m)), lambda u: u.isNotNull()), F.lit(0))
-        return (
-            F.when(F.startswith(value, F.lit("{")), _url_member(value))
-            .when(is_list(value), from_list)
-            .otherwise(F.when(_is_text(value), _unquoted(value)).otherwise(value))
-        )
 
-    return X.bind(value, source)
+def url_source(value: Column) -> Column:
+    return F.get(url_sources(F.array(value)), F.lit(0))
 
 
 def extract_url(value: Column) -> Column:
@@ -279,15 +309,36 @@ def media_sources(embedded: Column) -> list[Column]:
     return [media["source_url"], sizes["large"], sizes["medium_large"]]
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` segments resolved."""
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    closing = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, closing), "/"))
+
+
 def absolute_url(url: Column, base: str) -> Column:
-    """``url`` against a site root: absolute, scheme-relative, root-relative or relative."""
+    """``url`` against a site root: absolute, scheme-relative, root-relative or relative, without dot segments."""
     root = base.rstrip("/")
     scheme = root.split(":", 1)[0]
+    site = re.match(r"[^/]*//[^/]*|", root).group()  # scheme and host
+    folder = root[len(site):]
+
+    def under_site(path: Column) -> Column:
+        plain, rest = F.regexp_extract(path, r"^[^?#]*", 0), F.regexp_extract(path, r"^[^?#]*([\s\S]*)$", 1)
+        dotted = plain.rlike(r"/\.\.?(/|$)")
+        return F.concat(F.lit(site), F.when(dotted, F.concat(_without_dots(plain), rest)).otherwise(path))
+
     return (
         F.when((url == "") | url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url)
         .when(F.startswith(url, F.lit("//")), F.concat(F.lit(scheme + ":"), url))
-        .when(F.startswith(url, F.lit("/")), F.concat(F.lit(root), url))
-        .otherwise(F.concat(F.lit(root + "/"), url))
+        .when(F.startswith(url, F.lit("/")), under_site(url))
+        .otherwise(under_site(F.concat(F.lit(folder + "/"), url)))
     )
 
 
@@ -349,10 +400,6 @@ def flag_of(value: Column, text: Column | None = None) -> Column:
     return F.coalesce(number_of(value) != 0, flag_word(text_of(value) if text is None else text))
 
 
-def optional_text(value: Column) -> Column:
-    return X.blank_to_null(X.clean(text_of(value)))
-
-
 def money_number(number: Column) -> Column:
     """Whole amounts above 1000 are cents."""
     cents = (number > 1000) & (number == F.floor(number))

@@ -147,7 +147,8 @@ _BOILERPLATE_HINT = "(?i)intoxicating|adults|reach|dispensary|possessed|warning:
 def strip_boilerplate(text: Column) -> Column:
     """Each phrase takes the rest of the text with it when that rest is on the last line."""
     for phrase in V.BOILERPLATE:
-        text = strip_space(F.regexp_replace(text, f"(?id){WORD_START}{phrase}.*$", ""))
+        words = phrase.replace(r"\s", f"(?U:{SPACE})")
+        text = strip_space(F.regexp_replace(text, f"(?id){WORD_START}{words}.*$", ""))
     return text
 
 

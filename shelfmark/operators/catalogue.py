@@ -10,8 +10,8 @@ from shelfmark.functions import fields as L
 from shelfmark.functions import text as X
 from shelfmark.functions.staging import stage
 from shelfmark.operators.ordering import global_rank
+from shelfmark.session import stored
 
-MAX_LOOKUP_MAP = 2000
 _RESOLVED = ("brand", "category", "subcategory", "strain")
 _PLAIN = ("description", "strain_type", "form", "jane_id", "sku", "unit", "thc", "cbd")
 _TERMS = ("effects", "flavors")
@@ -58,50 +58,36 @@ def _joined(names):
     return F.array_join(F.array_distinct(kept), ", ")
 
 
-def resolve_lookups(rows: DataFrame, key: str, columns: dict[str, str], lookups: dict[str, DataFrame]) -> DataFrame:
+def resolve_lookups(rows: DataFrame, columns: dict[str, str], lookups: dict[str, DataFrame]) -> DataFrame:
     """Replace each ``array<struct<key, text>>`` column by its names joined with ', '.
 
-    A key without a name is dropped.  A lookup table proven small becomes one map
-    value; a larger one is joined, all columns in one pass.
+    A key without a name is dropped.  The names of a row depend on its items alone, so each distinct
+    set of items is resolved once, by an equi-join with the lookup tables, and joined back by content:
+    rows need no key of their own.
     """
-    joined = {}
-    for table in sorted(set(columns.values())):
-        names = lookups[table]
-        if names.limit(MAX_LOOKUP_MAP + 1).count() <= MAX_LOOKUP_MAP:
-            as_map = names.agg(F.map_from_entries(F.collect_list(F.struct("key", "name")))).scalar()
-            rows = rows.withColumn(f"__{table}", as_map)
-        else:
-            joined[table] = names.withColumn("lookup", F.lit(table))
-    small = {c: t for c, t in columns.items() if t not in joined}
-    large = {c: t for c, t in columns.items() if t in joined}
-    for column, table in small.items():
-        names = F.col(f"__{table}")
-        rows = rows.withColumn(column, _joined(F.transform(
-            column, lambda i: F.when(i["key"].isNotNull(), F.element_at(names, i["key"])).otherwise(i["text"])
-        )))
-    rows = rows.drop(*[f"__{t}" for t in set(columns.values())])
-    if not large:
-        return rows
-
+    given = F.struct(*[F.col(column) for column in columns])
+    rows = rows.withColumn("__items", F.sha2(F.to_json(given), 256))
     tagged = F.concat(*[
-        F.transform(column, lambda i, n: F.struct(
+        F.transform(F.coalesce(column, F.array().cast("array<struct<key: bigint, text: string>>")), lambda i, n: F.struct(
             F.lit(column).alias("column"), F.lit(table).alias("lookup"), n.alias("pos"), i["key"].alias("key"),
             i["text"].alias("text")))
-        for column, table in large.items()
+        for column, table in columns.items()
     ])
-    items = rows.select(key, F.explode(tagged).alias("item")).select(key, "item.*")
+    distinct = rows.groupBy("__items").agg(F.first(given).alias("given")).select("__items", "given.*")
+    items = distinct.select("__items", F.explode(tagged).alias("item")).select("__items", "item.*")
     names = None
-    for table in joined.values():
-        names = table if names is None else names.unionByName(table)
+    for table in sorted(set(columns.values())):
+        mine = lookups[table].select(F.lit(table).alias("lookup"), "key", "name")
+        names = mine if names is None else names.unionByName(mine)
     resolved = items.join(names, ["lookup", "key"], "left").withColumn(
         "shown", F.when(F.col("key").isNotNull(), F.col("name")).otherwise(F.col("text")))
-    per_row = resolved.groupBy(key).agg(*[
+    per_set = resolved.groupBy("__items").agg(*[
         _joined(F.transform(F.sort_array(F.collect_list(
             F.when(F.col("column") == column, F.struct("pos", "shown")))), lambda i: i["shown"])).alias(column)
-        for column in large
+        for column in columns
     ])
-    filled = rows.drop(*large).join(per_row, key, "left")
-    return filled.fillna("", list(large))
+    filled = rows.drop(*columns).join(per_set, "__items", "left").drop("__items")
+    return filled.fillna("", list(columns))
 
 
 # ---------------------------------------------------------------- FLD-10 normalise
@@ -123,11 +109,12 @@ def normalize_posts(
     chosen = stage(mapped.select(
         *carried, c("id").alias("wp_id"), "link",
         X.blank_to_null(X.first_filled(c("modified_gmt"), c("modified"))).alias("modified_gmt"),
-        L.choose_all(c("fields"), fields.values()).alias("chosen"),
+        L.chosen_texts(c("fields"), fields.values()).alias("chosen"),
         F.array(*[X.first_filled(c(name)["rendered"], c(name)["raw"]) for name in bodies]).alias("bodies"),
         F.array(*L.media_sources(c("_embedded"))).alias("media"),
         F.array(*[c(name)[part] for name in bodies[1:] for part in ("rendered", "raw")]).alias("parts"),
     ))
+    chosen = stage(chosen.withColumn("chosen", L.scalar_each(c("chosen"))))
     value = {name: c("chosen")[i] for i, name in enumerate(fields)}
     # each kind of text is worked on as one list, so its expression stands in the plan once
     texts = stage(chosen.select(
@@ -137,9 +124,12 @@ def normalize_posts(
         *[L.item_texts(value[name], r"[,;|/\n]").alias(f"i_{name}") for name in _TERMS],
         L.text_of(value["stock"]).alias("t_stock"), L.text_of(value["price"]).alias("t_price"),
         F.concat(F.transform(F.array(*[value[n] for n in _PLAIN]), L.text_of), "bodies").alias("texts"),
-        F.concat(F.transform(F.concat(F.array(value["image"]), "media"), L.url_source), "parts").alias("image_sources"),
-        F.array(L.url_source(value["product_url"])).alias("page_sources"),
+        F.concat(F.array(value["image"]), "media", "parts").alias("image_values"), F.array(value["product_url"]).alias("page_values"),
     ))
+    # the plain texts after the media are looked at as they are
+    texts = texts.withColumns({
+        "image_sources": F.concat(L.url_sources(F.slice("image_values", 1, 4)), F.slice("image_values", 5, 4)),
+        "page_sources": L.url_sources(c("page_values"))})
     decoded = stage(texts.select(
         *carried, "wp_id", "modified_gmt", X.clean_each(c("texts")).alias("cleaned"),
         (c("texts")[0] != "").alias("has_description"),
@@ -161,8 +151,9 @@ def normalize_posts(
     ))
     sections = sections.select("*", *[c("sections")[i].alias(name) for i, name in enumerate(_SECTIONS)])
     sections = stage(sections.withColumns({f"{name}_told": X.split_terms(c(f"s_{name}")) for name in _TERMS}))
-    # wp_id identifies the post; the composed id may repeat until latest_per_key
-    resolved = resolve_lookups(sections, "wp_id", {n: LOOKUP_OF[n] for n in _RESOLVED}, lookups)
+    kept = ("c_stock", "c_price", "sections", "bodies", "image_sources")
+    sections = stored(sections.drop(*kept), "posts")  # read twice below, and dear to make
+    resolved = resolve_lookups(sections, {n: LOOKUP_OF[n] for n in _RESOLVED}, lookups)
 
     def told_or_listed(name):
         told = c(f"{name}_told")
@@ -244,11 +235,11 @@ def require_minimum(rows: DataFrame, minimum: int = V.MIN_PUBLISH_ROWS) -> None:
         raise TooFewRows(f"only {count} image-backed rows survived, {minimum} are required; nothing was published")
 
 
-def publish_order(rows: DataFrame, slices: int = 64) -> DataFrame:
+def publish_order(rows: DataFrame) -> DataFrame:
     """SRT-1: ``row_index`` is the position by category, brand, name and id."""
     c = F.col
     keyed = rows.select("*", *[F.coalesce(c(k), F.lit("")).alias(f"__{k}") for k in ("category", "brand", "name")])
-    ranked = global_rank(keyed, [], ["__category", "__brand", "__name", "id"], "row_index", slices)
+    ranked = global_rank(keyed, [], ["__category", "__brand", "__name", "id"], "row_index")
     return ranked.withColumn("row_index", c("row_index") - 1).drop("__category", "__brand", "__name")
 
 

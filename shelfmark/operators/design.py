@@ -82,7 +82,7 @@ def design(
 
 def export(designs: DataFrame) -> DataFrame:
     """SNK-6: one JSON document per request."""
-    parts = [n for n in designs.columns if n not in ("request_id", "signature", "shows_candidates", "shows_benchmarks")]
+    parts = [n for n in designs.columns if n not in ("request_id", "signature")]
     return designs.select("request_id", F.to_json(F.struct(*parts)).alias("document"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shelfmark import vocabulary as V
 from shelfmark.functions import text as X
 from shelfmark.operators.ordering import global_rank
-from shelfmark.session import stored
 
 WHOLE = "*"  # scope of a request without a category limit; no normalised category holds it
 
@@ -26,16 +25,15 @@ def search_index(inventory: DataFrame, default_category: str = V.DEFAULT_CATEGOR
     )
 
 
-def with_browse_ranks(index: DataFrame, slices: int = 64) -> DataFrame:
+def with_browse_ranks(index: DataFrame) -> DataFrame:
     """WIN-3, SRT-2: the position of each row in the whole catalogue and in its category."""
-    ranked = global_rank(index, [], ["category", "brand", "name", "row_index"], "browse_rank", slices)
-    ranked = stored(ranked, "ranked")  # the second ranking reads its input several times
-    return global_rank(ranked, ["scope"], ["brand", "name", "row_index"], "category_rank", slices)
+    ranked = global_rank(index, [], ["category", "brand", "name", "row_index"], "browse_rank")
+    return global_rank(ranked, ["scope"], ["brand", "name", "row_index"], "category_rank")
 
 
 def with_vectors(index: DataFrame, vectors: DataFrame) -> DataFrame:
-    """JN-2: rows and vectors meet by key, not by position."""
-    return index.join(vectors.select("id", "embedding"), "id")
+    """JN-2: rows and vectors meet by key, not by position; a row without a vector can still be browsed and named."""
+    return index.join(vectors.select("id", "embedding"), "id", "left")
 
 
 def scope_sizes(index: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SLICES = 64
-SAMPLES_PER_SLICE = 40
+from shelfmark.session import stored
+
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -19,46 +19,25 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: st
     return ranked.filter(F.col(rank) <= n)
 
 
-def global_rank(
-    df: DataFrame, group: list[str], order: list[str], rank: str = "rank", slices: int = DEFAULT_SLICES
-) -> DataFrame:
+def global_rank(df: DataFrame, group: list[str], order: list[str], rank: str = "rank") -> DataFrame:
     """Exact ``row_number`` per group with no task that sees a whole group.
 
-    A sample of (group, order) keys gives at most ``slices`` split points.  They cut
-    the key space into ranges; rows are numbered inside their range and shifted by
-    the size of the group's earlier ranges.  The split points only steer the work:
-    any choice gives the same ranks.  ``order`` must end in a unique column.  Nulls
-    sort first, as in ``orderBy``.  ``df`` is read four times: pass a stored table.
+    Rows are cut into ranges of (group, order), as many as the session's shuffles have; they are
+    numbered inside their range and moved up by the sizes of the group's earlier ranges.  The ranges
+    only steer the work: any choice gives the same ranks.  ``order`` must end in a unique column.
+    Nulls sort first, as in ``orderBy``.
     """
-    keys = F.struct(*[F.col(c) for c in group + order])
-    sample_size = slices * SAMPLES_PER_SLICE
-    total = df.count()
-    fraction = min(1.0, 2.0 * sample_size / max(total, 1))
-    # bounded by the fraction: about two times sample_size rows reach the driver
-    sampled = df.select(keys.alias("k")) if fraction == 1.0 else df.select(keys.alias("k")).sample(fraction, seed=7)
-    ends = (
-        sampled.select("k", F.ntile(slices).over(Window.orderBy("k")).alias("slice"))
-        .groupBy("slice").agg(F.max("k").alias("k")).orderBy("slice")
-    )
-    edges = ends.agg(F.sort_array(F.collect_list("k")).alias("edges"))
-
-    sliced = df.withColumn("__edges", edges.scalar())
-    sliced = sliced.withColumn(
-        "__slice", F.coalesce(F.size(F.filter("__edges", lambda e: e < keys)), F.lit(0))
-    ).drop("__edges")
-    by_slice = Window.partitionBy(*group, "__slice").orderBy(*order)
-    numbered = sliced.withColumn("__within", F.row_number().over(by_slice))
-    if not group:
-        sizes = sliced.groupBy("__slice").agg(F.count("*").alias("__n"))
-        earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
-    else:
-        sizes = sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__n"))
-        earlier = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*group, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
-    on = [numbered["__slice"] == shifts["__slice"]] + [numbered[g].eqNullSafe(shifts[g]) for g in group]
-    joined = numbered.join(shifts, on)
+    keys = [F.col(c) for c in group + order]
+    dealt = stored(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*group, "__part").orderBy(*order)
+    numbered = dealt.withColumn("__within", F.row_number().over(inside))
+    sizes = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # one row per range
+    earlier = earlier.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*group, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
+    on = [numbered["__part"] == shifts["__part"]] + [numbered[g].eqNullSafe(shifts[g]) for g in group]
     columns = [numbered[c] for c in df.columns]
-    return joined.select(*columns, (F.col("__within") + F.col("__shift")).alias(rank))
+    return numbered.join(shifts, on).select(*columns, (F.col("__within") + F.col("__shift")).alias(rank))
 
 
 def page_slots(requests: DataFrame) -> DataFrame:

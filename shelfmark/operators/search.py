@@ -20,7 +20,7 @@ from shelfmark.operators.ordering import global_rank, page_slots, top_n
 from shelfmark.operators.ranking import best_rows
 from shelfmark.session import stored
 
-RESULT = ["query_id", "rank", "row_index", "id", "score", "query_mode", "total"]
+RESULT = ["query_id", "rank", "row_index", "id", "score", "query_mode", "total", "query_text"]
 Embedder = Callable[[DataFrame, str, str], DataFrame]  # (table, text column, vector column) -> table
 
 
@@ -176,7 +176,7 @@ def hybrid_queries(requests: DataFrame, embed: Embedder) -> DataFrame:
 
 def hybrid_pages(requests: DataFrame, index: DataFrame, embed: Embedder, dim: int) -> DataFrame:
     """VEC-5: dot product plus capped term bonus, best first."""
-    ranked = best_rows(index, hybrid_queries(requests, embed), dim)
+    ranked = best_rows(index, stored(hybrid_queries(requests, embed), "queries"), dim)
     return _cut(ranked, requests).join(index.select("row_index", "id"), "row_index")
 
 
@@ -197,24 +197,28 @@ def totals(routed: DataFrame, index: DataFrame, matches: DataFrame) -> DataFrame
 def search(requests: DataFrame, index: DataFrame, embed: Embedder, dim: int) -> DataFrame:
     """SCH-3: all three branches of a request table.
 
-    ``index`` comes from ``search_index``, ``with_browse_ranks`` and ``with_vectors``.
+    ``index`` comes from ``search_index``, ``with_browse_ranks`` and ``with_vectors``.  A request whose page
+    is empty has one row without ``rank``, so that its ``total``, mode and text are told all the same.
     """
     routed = stored(route(prepare_requests(requests), index), "routed")  # read by every branch below
     branch = {m: routed.filter(F.col("query_mode") == m) for m in ("browse", "identity", "outcome")}
-    matches = identity_matches(branch["identity"], index)
+    matches = stored(identity_matches(branch["identity"], index), "matches")  # pages and totals
     columns = ["query_id", "rank", "row_index", "id", "score"]
     pages = (
         browse_pages(branch["browse"], index).select(*columns)
         .unionByName(identity_pages(branch["identity"], matches).select(*columns))
         .unionByName(hybrid_pages(branch["outcome"], index, embed, dim).select(*columns))
     )
-    return pages.join(totals(routed, index, matches), "query_id").select(*RESULT)
+    return totals(routed, index, matches).join(pages, "query_id", "left").select(*RESULT)
 
 
 # ---------------------------------------------------------------- VEC-3, the second service
 
-def semantic_search(requests: DataFrame, rows: DataFrame, embed: Embedder, dim: int, slices: int = 64) -> DataFrame:
-    """Pure dot-product order.  ``rows``: a stored table of ``row_index, id, category_label, embedding``."""
+def semantic_search(requests: DataFrame, rows: DataFrame, embed: Embedder, dim: int) -> DataFrame:
+    """Pure dot-product order.  ``rows``: a stored table of ``row_index, id, category_label, embedding``.
+
+    A request whose page is empty has one row without ``rank``.
+    """
     c = F.col
     scope = F.lower(X.strip_space(X.first_filled(c("category"), F.lit("all"))))
     asked = requests.select(
@@ -229,16 +233,16 @@ def semantic_search(requests: DataFrame, rows: DataFrame, embed: Embedder, dim:
         "query_id", "need", F.when(c("scope") != WHOLE, c("scope")).alias("scope"),
         VX.unit_or_zero(c("vector")).alias("vector"),
     )
-    ranked = _cut(best_rows(items, queries, dim), asked).join(items.select("row_index", "id"), "row_index")
+    ranked = _cut(best_rows(items, stored(queries, "queries"), dim), asked).join(items.select("row_index", "id"), "row_index")
 
     keys = items.select("row_index", "id", "scope")
-    placed = global_rank(global_rank(keys, [], ["row_index"], "browse_rank", slices),
-                         ["scope"], ["row_index"], "category_rank", slices)
+    placed = global_rank(global_rank(keys, [], ["row_index"], "browse_rank"),
+                         ["scope"], ["row_index"], "category_rank")
     listed = browse_pages(asked.filter(c("q") == ""), placed)
     columns = ["query_id", "rank", "row_index", "id", "score"]
     pages = ranked.select(*columns).unionByName(listed.select(*columns))
     sized = asked.select("query_id", "scope").join(scope_sizes(items), "scope", "left")
-    return pages.join(sized.select("query_id", "total"), "query_id")
+    return sized.select("query_id", F.coalesce("total", F.lit(0)).alias("total")).join(pages, "query_id", "left")
 
 
 def growing_page(ranked: DataFrame, page: int, step: int = 50) -> DataFrame:

@@ -34,7 +34,6 @@ class CatalogueOptions:
     source: str = "catalogue"
     include_out_of_stock: bool = False
     minimum: int = V.MIN_PUBLISH_ROWS
-    slices: int = 64
     refresh: bool = False
 
 
@@ -60,7 +59,7 @@ def build_catalogue(spark: SparkSession, options: CatalogueOptions, out: str) ->
     ready, missing = C.split_by_asset(stocked, R.read_assets(spark, options.assets))
     ready = stored(ready, "ready")  # counted, sampled and ranked
     C.require_minimum(ready, options.minimum)
-    published = C.publish_order(ready, options.slices)
+    published = C.publish_order(ready)
     W.write_inventory(published.select(*S.INVENTORY.names), f"{out}/inventory")
     inventory = R.read_inventory(spark, f"{out}/inventory")
     W.write_catalogue(inventory, f"{out}/catalogue")

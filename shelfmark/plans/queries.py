@@ -359,14 +359,16 @@ def json_field_choice(spark, folder):
     detail = F.when(c("event_type") == "error", F.struct(F.lit(1).alias("code"), F.lit(None).cast("int").alias("name"))).otherwise(
         F.struct(F.lit(None).cast("int").alias("code"), F.lit(2).alias("name")))
     document = F.to_json(F.struct(
-        F.from_json("props", "k int")["k"].alias("k"), F.array(F.struct(c("user_id").alias("id"))).alias("Owner List"),
+        F.from_json("props", "k int")["k"].alias("k"), F.array(F.array(F.array(F.array(F.array(F.array(F.struct(c("user_id").alias("id")))))))).alias("Owner List"),
         F.struct(F.lit("").alias("name"), c("event_type").alias("label")).alias("kind"), F.struct(detail.alias("detail")).alias("Meta")))
     fields = stage(events.select("event_id", L.meta_fields(document).alias("m")))
     m = c("m")
-    return fields.select(
-        "event_id", L.choose_key(m, ("absent", "k")).alias("key"), L.text_of(L.choose(m, ("absent", "k"))).alias("value"),
-        L.text_of(L.choose(m, ("owner_list",))).alias("owner"), L.text_of(L.choose(m, (), ("kind", "label"))).alias("label"),
-        L.choose_key(m, (), ("detail",), ("owner",)).alias("fallback_key"))
+    raw = L.chosen_texts(m, [(("absent", "k"), (), ()), (("owner_list",), (), ()), ((), ("kind", "label"), ())])
+    chosen = stage(fields.select(
+        "event_id", raw.alias("raw"), L.choose_key(m, ("absent", "k")).alias("key"),
+        L.choose_key(m, (), ("detail",), ("owner",)).alias("fallback_key")))
+    values = stage(chosen.withColumn("given", L.scalar_each(c("raw"))))
+    return values.select("event_id", "key", *[L.text_of(c("given")[i]).alias(n) for i, n in enumerate(("value", "owner", "label"))], "fallback_key")
 
 
 def _sql_money_number(x):
@@ -449,8 +451,7 @@ def lookup_resolve(spark, folder):
     u = table(spark, folder, "customer").select(F.lit("customer").alias("kind"), c("c_custkey").alias("id"), c("c_nationkey").alias("k"))
     names = table(spark, folder, "nation").select(c("n_nationkey").cast("long").alias("key"), c("n_name").alias("name"))
     rows = s.unionByName(u).withColumn("nation", C.lookup_items(c("k").cast("string")))
-    rows = rows.withColumn("row_key", F.concat_ws(":", "kind", "id"))
-    return C.resolve_lookups(rows, "row_key", {"nation": "nations"}, {"nations": names}).select("kind", "id", "nation")
+    return C.resolve_lookups(rows, {"nation": "nations"}, {"nations": names}).select("kind", "id", "nation")
 
 
 @query("""
@@ -535,7 +536,7 @@ def publish_order(spark, folder):
     """SRT-1, WIN-3: global and per-category positions without a one-task sort."""
     part = table(spark, folder, "part").select(
         c("p_partkey").alias("id"), c("p_type").alias("category"), c("p_brand").alias("brand"), c("p_name").alias("name"))
-    placed = global_rank(C.publish_order(part, 16), ["category"], ["brand", "name", "id"], "category_rank", 16)
+    placed = global_rank(C.publish_order(part), ["category"], ["brand", "name", "id"], "category_rank")
     return placed.select("id", "row_index", "category_rank")
 
 
@@ -662,7 +663,7 @@ def browse_page(spark, folder):
         F.xxhash64("category").alias("query_id"), F.lit(" ").alias("q"), "category", F.lit(10).alias("offset"),
         F.lit(None).cast("int").alias("limit")))
     routed = S.route(requests, index)
-    pages = S.browse_pages(routed, I.with_browse_ranks(index.select("row_index", "id", "scope", "category", "brand", "name"), 16)).join(routed.select("query_id", "category"), "query_id")
+    pages = S.browse_pages(routed, I.with_browse_ranks(index.select("row_index", "id", "scope", "category", "brand", "name"))).join(routed.select("query_id", "category"), "query_id")
     sizes = routed.select("query_id", "scope").join(I.scope_sizes(index), "scope").select("query_id", "total")
     return pages.join(sizes, "query_id").select(
         "category", c("rank").cast("long"), c("row_index").alias("p_partkey"), "total")
@@ -764,7 +765,7 @@ def unified_search(spark, folder):
     embed = E.embedder(E.hashing_model(DIM), DIM)
     texts = with_record_text(rows).select("id", "record_text")
     vectors = embed(texts, "record_text", "embedding").select("id", "embedding")
-    index = I.with_vectors(I.with_browse_ranks(I.search_index(rows), 16), vectors)
+    index = I.with_vectors(I.with_browse_ranks(I.search_index(rows)), vectors)
     return S.search(conversation_requests(spark, folder), stored(index, "index"), embed, DIM)
 
 
@@ -780,7 +781,7 @@ def semantic_search(spark, folder):
     langs = table(spark, folder, "documents").select("lang").distinct().select(
         (-1 - F.abs(F.xxhash64("lang"))).alias("query_id"), F.lit("").alias("q"), F.upper("lang").alias("category"))
     requests = bench.unionByName(langs).withColumns({"offset": F.lit(0), "limit": F.lit(0)})
-    return S.growing_page(S.semantic_search(requests, rows, embed, DIM, 16), 1)
+    return S.growing_page(S.semantic_search(requests, rows, embed, DIM), 1)
 
 
 # ---------------------------------------------------------------- design
@@ -931,11 +932,10 @@ def stream_latest_request(spark, folder):
     stream = table_stream(spark, folder, "conversations").select(c("conv_id").alias("session"), c("turn").alias("seq"), c("text").alias("q"))
 
     def answer(requests: DataFrame) -> DataFrame:
-        return requests.select("query_id", c("session").alias("conv_id"), X.canonical_query(c("q")).alias("canonical"))
+        return requests.select("query_id", X.canonical_query(c("q")).alias("canonical"))
 
     ST.latest_request_stream(stream, answer, f"{out}/log", f"{out}/checkpoint").awaitTermination()
-    answers = spark.read.parquet(f"{out}/log").filter(c("conv_id") == c("session"))
-    return answers.select("conv_id", c("query_id").alias("turn"), "canonical")
+    return spark.read.parquet(f"{out}/log").select(c("session").alias("conv_id"), c("seq").alias("turn"), "canonical")
 
 
 @query("SELECT doc_id::VARCHAR AS id, sha256(text) AS text_hash FROM documents WHERE regexp_matches(text, '\\S')")

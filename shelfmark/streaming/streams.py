@@ -56,13 +56,15 @@ def latest_request_stream(
 ) -> StreamingQuery:
     """STR-2: only the latest request of each session is answered; earlier ones are superseded.
 
-    ``stream``: ``session, seq, q, category, offset, limit``.  ``answer`` gets the
-    request table of a batch with ``query_id`` set to ``seq``.
+    ``stream``: ``session, seq, q, category, offset, limit``.  ``answer`` gets the request
+    table of a batch with a ``query_id`` of its own for each session and turn, and returns it
+    with each row; the log has ``session`` and ``seq`` instead.
     """
 
     def write(latest: DataFrame, batch: int) -> None:
-        requests = latest.withColumn("query_id", F.col("seq"))
-        answered = answer(requests).join(requests.select("query_id", "session"), "query_id")
+        requests = latest.withColumn("query_id", F.to_json(F.struct("session", "seq")))
+        asked = requests.select("query_id", "session", "seq")
+        answered = answer(requests).join(asked, "query_id").drop("query_id")
         answered.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     latest = stream.groupBy("session").agg(F.max_by(F.struct(*[c for c in stream.columns if c != "session"]), "seq").alias("r"))

@@ -12,7 +12,7 @@ BOILERPLATE = (
     r"keep out of reach of children",
     r"license(?:d)? dispensary",
     r"cannabis products may only be possessed",
-    r"warning:",
+    r"warning:\s*",
 )
 EMPTY_TERMS = ("none", "null", "unknown", "n a")
 

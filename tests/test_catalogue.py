@@ -71,12 +71,15 @@ def test_normalize_posts(rows):
     assert four["jane_product_id"] is None and four["effects"] == []
 
 
-def test_lookup_join_equals_lookup_map(spark, site, rows, monkeypatch):
-    monkeypatch.setattr(C, "MAX_LOOKUP_MAP", 0)
-    lookups = {n: C.lookup_names(R.read_auxiliary(spark, str(site / n))) for n in ("brands", "categories", "strains")}
-    joined = C.normalize_posts(R.read_posts(spark, str(site / "products")), lookups, BASE, "x-", "src")
-    columns = ["wp_id", "brand", "category", "subcategory", "strain"]
-    assert sorted(joined.select(columns).collect()) == sorted(rows.select(columns).collect())
+def test_lookups_need_no_unique_key(spark):
+    """Equal and null keys, repeated rows, and names by the thousand: each row gets its own names."""
+    item = "array<struct<key: bigint, text: string>>"
+    data = [("a", [(5, "")], [(6, "")]), ("a", [(6, ""), (5, ""), (6, "")], []), (None, [(None, "Own"), (9, "")], None), (None, None, [(5, "")]), ("a", [(5, "")], [(6, "")])]
+    rows = spark.createDataFrame(data, f"wp_id string, brand {item}, kind {item}")
+    for extra in (0, 5000):
+        names = spark.createDataFrame([(5, "five"), (6, "six"), *((k, str(k)) for k in range(100, 100 + extra))], "key bigint, name string")
+        got = C.resolve_lookups(rows, {"brand": "brands", "kind": "kinds"}, {"brands": names, "kinds": names}).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([("a", "five", "six"), ("a", "six, five", ""), (None, "Own", ""), (None, "", "five"), ("a", "five", "six")], key=str)
 
 
 def test_dedupe_then_stock(rows):
@@ -110,7 +113,7 @@ def built(spark, site, rows, tmp_path_factory):
     (assets / f"{names[1]}.download").write_bytes(b"x" * 900)
     options = J.CatalogueOptions(
         base=BASE, products=str(site / "products"), assets=str(assets),
-        lookups={n: str(site / n) for n in LOOKUPS}, id_prefix="x-", minimum=1, slices=4)
+        lookups={n: str(site / n) for n in LOOKUPS}, id_prefix="x-", minimum=1)
     return J.build_catalogue(spark, options, out), options, out
 
 

@@ -31,6 +31,7 @@ def test_same_key_keeps_first_place_and_last_value(spark):
 @pytest.mark.parametrize("value, expected", [
     ("[]", None), ('["x"]', '"x"'), ('["a", "b"]', '["a", "b"]'), ('{"label": "L", "id": 1}', '"L"'),
     ('{"name": "", "title": [{"value": 5}]}', "5"), ('{"z": 1, "a": 2}', '{"z": 1, "a": 2}'), ("5", "5"), (None, None),
+    ('[[[[[["x"]]]]]]', '"x"'), ('[{"name": [{"title": [[{"label": "deep"}]]}]}]', '"deep"'), ('[[[]]]', None), ("[broken", "[broken"),
 ])
 def test_scalar(one, value, expected):
     assert one(value, L.scalar) == expected
@@ -62,6 +63,9 @@ def test_text_of(one, value, expected):
     ('{"z": "http://z/1"}', "http://z/1"),
     ('[{"id": 1}, {"src": "http:\\/\\/s/3"}]', "http://s/3"),
     ("plain http://p/4.", "http://p/4"), (None, None),
+    ('{"sizes": {"thumb": "http://t/5", "full": {"url": "http://f/6"}}}', "http://f/6"),
+    ('{"a": {"z": "http://z/7", "url": "http://u/8"}}', "http://u/8"),
+    ('{"http://key/9": 1, "x": [[{"y": "http://y/10"}]]}', "http://y/10"), ('{"http://key/9": 1}', None), ("{broken http://b/1", None),
 ])
 def test_extract_url(one, value, expected):
     assert one(value, L.extract_url) == expected
@@ -69,7 +73,8 @@ def test_extract_url(one, value, expected):
 
 @pytest.mark.parametrize("value, expected", [
     ("http://x/y", "http://x/y"), ("//cdn/x", "https://cdn/x"), ("/p/1", "https://shop.example/p/1"),
-    ("p/1", "https://shop.example/p/1"), (None, None),
+    ("p/1", "https://shop.example/p/1"), (None, None), ("./a.png", "https://shop.example/a.png"), ("../a.png", "https://shop.example/a.png"),
+    ("/x/./y/../z.png?q=/../r", "https://shop.example/x/z.png?q=/../r"), ("a/b/..", "https://shop.example/a/"), ("a..b/c.", "https://shop.example/a..b/c."),
 ])
 def test_absolute_url(one, value, expected):
     assert one(value, lambda t: L.absolute_url(t, "https://shop.example/")) == expected

@@ -11,7 +11,7 @@ def test_global_rank_with_one_hot_group_and_nulls(spark):
     rows = [(i, "hot" if i % 3 else ("cold" if i % 2 else None), i % 5) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, g string, v int")
     got = {r["id"]: (r["all"], r["own"]) for r in
-           global_rank(global_rank(df, [], ["v", "id"], "all", 8), ["g"], ["v", "id"], "own", 8).collect()}
+           global_rank(global_rank(df, [], ["v", "id"], "all"), ["g"], ["v", "id"], "own").collect()}
     order = sorted(rows, key=lambda r: (r[2], r[0]))
     seen = {}
     for place, (i, g, _) in enumerate(order, 1):

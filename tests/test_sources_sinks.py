@@ -74,9 +74,9 @@ def test_latest_request_of_each_session(spark, tmp_path):
     def answer(requests):
         return requests.select("query_id", F.upper("q").alias("answer"))
 
-    for batch in ([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], [("a", 4, "w")]):
+    for batch in ([("a", 1, "x"), ("a", 2, "y"), ("b", 2, "z"), ("c", 2, "v")], [("a", 4, "w")]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         ST.latest_request_stream(stream, answer, out, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r["batch"], r["session"], r["answer"]) for r in spark.read.parquet(out).collect())
-    assert got == [(0, "a", "Y"), (0, "b", "Z"), (1, "a", "W")]
+    assert got == [(0, "a", "Y"), (0, "b", "Z"), (0, "c", "V"), (1, "a", "W")]

@@ -37,6 +37,7 @@ def test_normalize_each_equals_normalize(spark):
     ("one\nLicensed dispensary 1\nKeep out of reach of children. x", "one"),   # phrases are tried once, in order
     ("one\nKeep out of reach of children. x\nLicensed dispensary 1", "one\nKeep out of reach of children. x"),
     ("Forewarning: stays", "Forewarning: stays"),
+    ("foo\nWarning:\nbar", "foo"),                      # white space after the colon may hold a line break
     (None, ""),
 ])
 def test_clean(one, value, expected):
