@@ -205,6 +205,12 @@ def drop_out_of_stock(rows: DataFrame, include_out_of_stock: bool = False) -> Da
     return rows if include_out_of_stock else rows.filter(F.col("in_stock").eqNullSafe(False) == F.lit(False))
 
 
+def usable_assets(assets: DataFrame, suffix: str = ".webp") -> DataFrame:
+    """Names of the stored files (``name, length``) of the right kind that are no stubs."""
+    kept = F.endswith("name", F.lit(suffix)) & (F.col("length") >= V.MIN_ASSET_BYTES)
+    return assets.filter(kept).select("name").distinct()
+
+
 def split_by_asset(rows: DataFrame, assets: DataFrame, folder: str = "assets/inventory", suffix: str = ".webp"):
     """FLT-2, SNK-3: rows whose image file exists and is no stub, and the rest with a reason.
 
@@ -212,9 +218,7 @@ def split_by_asset(rows: DataFrame, assets: DataFrame, folder: str = "assets/inv
     """
     digest = L.asset_digest(F.col("id"), F.col("image_url"))
     placed = rows.withColumn("__file", F.concat(digest, F.lit(suffix)))
-    usable = assets.filter(
-        F.endswith("name", F.lit(suffix)) & (F.col("length") >= V.MIN_ASSET_BYTES)
-    ).select(F.col("name").alias("__file")).distinct()
+    usable = usable_assets(assets, suffix).select(F.col("name").alias("__file"))
     found = placed.join(usable.withColumn("__found", F.lit(True)), "__file", "left")
     ready = found.filter("__found").withColumn("image", F.concat(F.lit(folder.rstrip("/") + "/"), "__file"))
     error = F.when(X.blank_to_null(F.col("image_url")).isNull(), F.lit("missing image URL")).otherwise(

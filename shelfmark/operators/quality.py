@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import vocabulary as V
 from shelfmark.functions import text as X
 from shelfmark.functions import vectors as VX
+from shelfmark.operators.catalogue import usable_assets
 from shelfmark.operators.fingerprint import fingerprint
 
 SAMPLE = 20
@@ -59,9 +60,9 @@ def fingerprint_matches(manifest: DataFrame, rows: DataFrame, version: str) -> D
 
 
 def assets_present(rows: DataFrame, assets: DataFrame) -> DataFrame:  # DQ-5, JN-3
-    have = assets.select(F.col("path").alias("image")).distinct()
-    missing = rows.join(have, "image", "left_anti")
-    return _sampled(missing, "images", "id")
+    """Rows whose image names no usable file; ``assets`` (``name, length``) as ``read_assets`` gives them."""
+    named = rows.withColumn("name", F.element_at(F.split(F.coalesce("image", F.lit("")), "/"), -1))
+    return _sampled(named.join(usable_assets(assets), "name", "left_anti"), "images", "id")
 
 
 def none_out_of_stock(rows: DataFrame) -> DataFrame:  # DQ-6

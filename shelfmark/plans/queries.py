@@ -93,10 +93,6 @@ def sql_terms(normal: str) -> str:
     )
 
 
-def sql_ordered_distinct(items: str) -> str:
-    return f"list_filter({items}, lambda t, i: list_position({items}, t) = i)"
-
-
 def sql_expand(normal: str) -> str:
     """Needs a column ``normal`` in scope; gives the expanded intent."""
     body = "CASE " + " ".join(
@@ -470,6 +466,24 @@ def asset_missing(spark, folder):
     return table(spark, folder, "documents").join(ready, "doc_id", "left_anti").select("doc_id", "lang", "source")
 
 
+@query(f"""
+  WITH item AS (SELECT 'item-' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'http://img.example/' || source || '.png' END AS url, n_chars FROM documents),
+  file AS (SELECT *, substr(sha256(id || chr(10) || url), 1, {V.ASSET_DIGEST_CHARS}) || CASE WHEN n_chars % 5 = 0 THEN '.png' ELSE '.webp' END AS name FROM item)
+  SELECT id, CASE WHEN url <> '' AND name LIKE '%.webp' AND n_chars >= {V.MIN_ASSET_BYTES} THEN 'assets/' || name END AS image,
+         CASE WHEN url = '' THEN 'missing image URL' WHEN name NOT LIKE '%.webp' OR n_chars < {V.MIN_ASSET_BYTES} THEN 'no usable image file' END AS image_error
+  FROM file""")
+def asset_split(spark, folder):
+    """FLT-2, SNK-3: files named by digest; some have no URL, some the wrong kind, some are stubs."""
+    rows = table(spark, folder, "documents").select(
+        F.concat(F.lit("item-"), c("doc_id").cast("string")).alias("id"), "n_chars",
+        F.when(c("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("http://img.example/"), "source", F.lit(".png"))).alias("image_url"))
+    kind = F.when(c("n_chars") % 5 == 0, F.lit(".png")).otherwise(F.lit(".webp"))
+    files = rows.filter("image_url <> ''").select(F.concat(L.asset_digest(c("id"), c("image_url")), kind).alias("name"), c("n_chars").alias("length"))
+    ready, missing = C.split_by_asset(rows, files, "assets")
+    return ready.select("id", "image", F.lit(None).cast("string").alias("image_error")).unionByName(
+        missing.select("id", F.lit(None).cast("string").alias("image"), "image_error"))
+
+
 def part_inventory(spark, folder) -> DataFrame:
     """The parts as catalogue rows; the document of the same number is the description."""
     part = table(spark, folder, "part")
@@ -745,43 +759,129 @@ def hybrid_search(spark, folder):
                        "score", total.alias("total"))
 
 
-def conversation_requests(spark, folder) -> DataFrame:
-    """Requests of every kind: conversation turns, part names, brands within a category, and blanks."""
-    part = table(spark, folder, "part")
-    turns = table(spark, folder, "conversations").select(c("text").alias("q"), F.lit("all").alias("category"))
-    made = part.select(F.explode(F.array(
-        F.struct(c("p_name").alias("q"), c("p_type").alias("category")),
-        F.struct(c("p_brand").alias("q"), F.lit("all").alias("category")),
-        F.struct(F.lit("").alias("q"), c("p_type").alias("category")))).alias("r")).select("r.*").distinct()
-    asked = turns.unionByName(made).distinct()
-    return asked.select(F.xxhash64("q", "category").alias("query_id"), "q", "category", F.lit(0).alias("offset"),
-                        F.lit(None).cast("int").alias("limit"))
+_WEIGHTS = ", ".join(
+    f"CASE WHEN {n} = phrase THEN 4 WHEN starts_with({n}, phrase) THEN 3 WHEN contains({n}, phrase) THEN 2 ELSE 0 END" for n in ("n1", "n2", "n3"))
 
 
-@query()
+@query(f"""
+  WITH {SQL_CENTROIDS}, {SQL_PART},
+  req AS (
+    SELECT item_id * 10 AS query_id, text AS q, 'all' AS category, 0 AS o, 24 AS n FROM benchmark
+    UNION ALL SELECT item_id * 10 + 1, text, (SELECT min(p_type) FROM part), 3, 5 FROM benchmark
+    UNION ALL SELECT item_id * 10 + 2, text, 'nope', 0, 24 FROM benchmark
+    UNION ALL SELECT item_id * 10 + 3, text, 'all', 100000, 24 FROM benchmark
+    UNION ALL SELECT -(min(p_partkey) * 10 + 1), p_brand, p_type, 1, 7 FROM part GROUP BY p_brand, p_type
+    UNION ALL SELECT -(min(p_partkey) * 10 + 2), ' ', p_type, 2, 10 FROM part GROUP BY p_type
+    UNION ALL SELECT -(p_partkey * 10 + 3), p_name, 'all', 0, 3 FROM part
+    UNION ALL SELECT -4, '', 'nope', 0, 24 UNION ALL SELECT -5, 'zzzq', 'all', 0, 24),
+  known AS (SELECT n1 AS v FROM item UNION SELECT n2 FROM item UNION SELECT n3 FROM item),
+  shaped AS (SELECT *, {sql_norm('q')} AS phrase, {sql_norm('category')} AS category_norm FROM req),
+  moded AS (SELECT *, CASE WHEN trim(q) = '' THEN 'browse' WHEN phrase IN (SELECT v FROM known) THEN 'identity'
+      WHEN len(list_filter(string_split(phrase, ' '), lambda w: w <> '')) <= 3 AND length(phrase) >= 3
+           AND NOT list_has_any({sql_terms('phrase')}, {sql_list(V.INTENT_WORDS)}) THEN 'identity' ELSE 'outcome' END AS query_mode FROM shaped),
+  routed AS (SELECT *, CASE WHEN query_mode = 'browse' THEN CASE WHEN category_norm IN (SELECT scope FROM item) THEN category_norm ELSE '*' END
+                            WHEN category = 'all' THEN '*' ELSE category_norm END AS wanted,
+                    CASE WHEN query_mode = 'outcome' THEN {sql_canonical('phrase')} END AS query_text FROM moded),
+  asked AS (SELECT *, list_distinct({sql_terms(sql_norm('query_text'))}) AS terms FROM routed),
+  told AS (SELECT item.*, e.embedding, {sql_norm("concat_ws(' ', p_type, lang, source, 'The ' || p_name || ' by ' || p_brand || ': ' || text, p_name, p_type)")} AS descriptor
+           FROM item LEFT JOIN embeddings e ON vec_id = p_partkey LEFT JOIN documents ON doc_id = p_partkey),
+  fit AS (SELECT a.query_id, a.o, a.n, a.query_mode, t.p_partkey, t.p_type, t.p_brand, t.p_name,
+                 CASE WHEN query_mode = 'identity' THEN greatest({_WEIGHTS}) ELSE 1 END AS weight,
+                 CASE WHEN query_mode = 'outcome' THEN round({SQL_DOT.format('t.embedding', 'u.q')}
+                   + least(0.12::DOUBLE, 0.012::DOUBLE * len(list_filter(terms, lambda w: contains(descriptor, w)))), 7) END AS score
+          FROM asked a JOIN told t ON wanted = '*' OR wanted = t.scope LEFT JOIN unit_centroid u ON query_mode = 'outcome' AND u.label = (a.query_id // 10) % 10
+          WHERE query_mode <> 'outcome' OR t.embedding IS NOT NULL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, weight DESC, CASE WHEN query_mode = 'browse' THEN p_type END,
+                    CASE WHEN query_mode <> 'outcome' THEN p_brand END, CASE WHEN query_mode <> 'outcome' THEN p_name END, p_partkey) AS rank FROM fit WHERE weight > 0),
+  found AS (SELECT query_id, count(*) AS found FROM ranked GROUP BY query_id),
+  sizes AS (SELECT scope, count(*) AS size FROM item GROUP BY scope UNION ALL SELECT '*', count(*) FROM item)
+  SELECT r.query_id, r.query_mode, CASE WHEN r.query_mode = 'identity' THEN coalesce(found, 0) ELSE coalesce(size, 0) END AS total, r.query_text,
+         coalesce(k.rank, 0) AS rank, coalesce(k.p_partkey, -1) AS row_index, CASE WHEN k.rank > 0 THEN 'item-' || k.p_partkey END AS id,
+         coalesce(round(k.score * 1e4)::BIGINT, -1) AS score_e4
+  FROM routed r LEFT JOIN found USING (query_id) LEFT JOIN sizes ON sizes.scope = r.wanted
+  LEFT JOIN ranked k ON k.query_id = r.query_id AND k.rank > r.o AND k.rank <= r.o + r.n""")
 def unified_search(spark, folder):
-    """SCH-3 end to end with the default model; its parts have SQL counterparts above."""
+    """SCH-3 end to end: every branch, unknown categories, pages past the end, requests without a match.
+
+    Vectors are the embeddings table's, so some rows have none; a request's vector is the mean of a label.
+    """
+    part, bench = table(spark, folder, "part"), table(spark, folder, "benchmark")
     rows = part_inventory(spark, folder).withColumn("strain", c("category"))
-    embed = E.embedder(E.hashing_model(DIM), DIM)
-    texts = with_record_text(rows).select("id", "record_text")
-    vectors = embed(texts, "record_text", "embedding").select("id", "embedding")
-    index = I.with_vectors(I.with_browse_ranks(I.search_index(rows)), vectors)
-    return S.search(conversation_requests(spark, folder), stored(index, "index"), embed, DIM)
+    vectors = table(spark, folder, "embeddings").select(F.concat(F.lit("item-"), c("vec_id").cast("string")).alias("id"), "embedding")
+    index = stored(I.with_vectors(I.with_browse_ranks(I.search_index(rows)), vectors), "index")
+    first = part.agg(F.min("p_type").alias("p_type")).scalar()
+
+    def asked(frame, number, q, category, offset, limit):
+        return frame.select(number.cast("long").alias("query_id"), q.alias("q"), category.alias("category"), F.lit(offset).alias("offset"), F.lit(limit).alias("limit"))
+
+    def numbered(frame, kind):
+        return -(frame * 10 + kind)
+
+    blank, whole, nowhere = F.lit(" "), F.lit("all"), F.lit("nope")
+    pairs = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("k"))
+    kinds = part.groupBy("p_type").agg(F.min("p_partkey").alias("k"))
+    one = spark.range(1)
+    parts = [
+        asked(bench, c("item_id") * 10, c("text"), whole, 0, 0), asked(bench, c("item_id") * 10 + 1, c("text"), first, 3, 5),
+        asked(bench, c("item_id") * 10 + 2, c("text"), nowhere, 0, None), asked(bench, c("item_id") * 10 + 3, c("text"), whole, 100000, 24),
+        asked(pairs, numbered(c("k"), 1), c("p_brand"), c("p_type"), 1, 7), asked(kinds, numbered(c("k"), 2), blank, c("p_type"), 2, 10),
+        asked(part, numbered(c("p_partkey"), 3), c("p_name"), whole, 0, 3),
+        asked(one, F.lit(-4), F.lit(""), nowhere, 0, 0), asked(one, F.lit(-5), F.lit("zzzq"), whole, 0, 0),
+    ]
+    requests = parts[0]
+    for more in parts[1:]:
+        requests = requests.unionByName(more)
+    means = stored(centroids(table(spark, folder, "embeddings"), ["label"]), "means")
 
+    def embed(texts: DataFrame, text: str, vector: str) -> DataFrame:
+        label = F.floor(c("query_id") / 10) % 10
+        return texts.withColumn("label", label.cast("int")).join(means.withColumnRenamed("vector", vector), "label").drop("label")
 
-@query()
+    found = S.search(requests, index, embed, DIM)
+    return found.select(
+        "query_id", "query_mode", "total", "query_text", F.coalesce(c("rank").cast("long"), F.lit(0)).alias("rank"),
+        F.coalesce("row_index", F.lit(-1)).alias("row_index"), "id",
+        F.coalesce(F.round(c("score") * 1e4).cast("long"), F.lit(-1)).alias("score_e4"))
+
+
+@query(f"""
+  WITH {SQL_CENTROIDS},
+  item AS (SELECT vec_id, vec_id::VARCHAR AS id, embedding, lower(coalesce(nullif(trim(lang), ''), nullif(trim(source), ''), '{V.UNCATEGORIZED}')) AS scope
+           FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
+  kinds AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS kind),
+  req AS (SELECT label * 10 + kind AS query_id, CASE WHEN kind IN (4, 5) THEN '' ELSE label::VARCHAR END AS q, q AS vector,
+                 CASE kind WHEN 1 THEN 'en' WHEN 2 THEN 'nope' WHEN 4 THEN 'fr' WHEN 5 THEN 'nope' ELSE '*' END AS scope,
+                 CASE kind WHEN 1 THEN 5 WHEN 3 THEN 1000000 WHEN 4 THEN 3 ELSE 0 END AS "offset",
+                 CASE kind WHEN 0 THEN 50 WHEN 6 THEN 250 ELSE 7 END AS size FROM unit_centroid, kinds),
+  fit AS (SELECT r.query_id, r.q, r."offset", r.size, i.vec_id, i.id, CASE WHEN r.q <> '' THEN round({SQL_DOT.format('i.embedding', 'r.vector')}, 7) END AS score
+          FROM req r JOIN item i ON r.scope = '*' OR r.scope = i.scope),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, vec_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM fit),
+  sizes AS (SELECT query_id, count(*) AS total FROM fit GROUP BY query_id)
+  SELECT req.query_id::BIGINT AS query_id, coalesce(sizes.total, 0) AS total, coalesce(ranked.rank, 0) AS rank, coalesce(ranked.vec_id, -1) AS row_index, ranked.id, ranked.score
+  FROM req LEFT JOIN sizes USING (query_id) LEFT JOIN ranked ON ranked.query_id = req.query_id AND rank > req."offset" AND rank <= req."offset" + req.size""")
 def semantic_search(spark, folder):
-    """VEC-3, FLT-4, SRT-5: pure vector order over the documents, the second service's page rules."""
-    embed = E.embedder(E.hashing_model(DIM), DIM)
-    docs = texts(spark, folder, "documents").select(
-        c("doc_id").alias("row_index"), c("doc_id").cast("string").alias("id"), "text",
-        L.category_label(c("lang"), c("source")).alias("category_label"))
-    rows = stored(embed(docs, "text", "embedding").drop("text"), "rows")
-    bench = table(spark, folder, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("q"), F.lit("all").alias("category"))
-    langs = table(spark, folder, "documents").select("lang").distinct().select(
-        (-1 - F.abs(F.xxhash64("lang"))).alias("query_id"), F.lit("").alias("q"), F.upper("lang").alias("category"))
-    requests = bench.unionByName(langs).withColumns({"offset": F.lit(0), "limit": F.lit(0)})
-    return S.growing_page(S.semantic_search(requests, rows, embed, DIM), 1)
+    """VEC-3, FLT-4: pure vector order with the second service's page rules.
+
+    Texts are the numbers of labels, whose mean vectors stand for their embeddings; pages in a
+    category, in an unknown one, past the end, at the default and at the greatest length, and blank texts.
+    """
+    rows = table(spark, folder, "embeddings")
+    docs = table(spark, folder, "documents").select(c("doc_id").alias("vec_id"), "lang", "source")
+    items = rows.join(docs, "vec_id", "left").select(
+        c("vec_id").alias("row_index"), c("vec_id").cast("string").alias("id"), "embedding", L.category_label(c("lang"), c("source")).alias("category_label"))
+    means = stored(centroids(rows, ["label"]), "means")
+
+    def embed(asked: DataFrame, text: str, vector: str) -> DataFrame:
+        return asked.join(means.select(c("label").cast("string").alias(text), c("vector").alias(vector)), text)
+
+    kinds = [(0, "ALL", 0, 0), (1, " EN ", 5, 7), (2, "nope", 0, 7), (3, "all", 1000000, 7), (4, "Fr", 3, 7), (5, "nope", 0, 7), (6, "", 0, 9999)]
+    asked = means.select("label", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "category", "offset", "limit"), k)]) for k in kinds])).alias("k")).select("label", "k.*")
+    requests = asked.select(
+        (c("label") * 10 + c("kind")).cast("long").alias("query_id"), F.when(c("kind").isin(4, 5), F.lit("")).otherwise(c("label").cast("string")).alias("q"),
+        "category", "offset", "limit")
+    found = S.semantic_search(requests, stored(items, "items"), embed, DIM)
+    return found.select(  # rank 0: a request without a page
+        "query_id", "total", F.coalesce(c("rank").cast("long"), F.lit(0)).alias("rank"), F.coalesce("row_index", F.lit(-1)).alias("row_index"), "id", "score")
 
 
 # ---------------------------------------------------------------- design
@@ -859,7 +959,7 @@ def design_spec(spark, folder):
 
 # ---------------------------------------------------------------- quality
 
-@query("""
+@query(f"""
   WITH d AS (SELECT doc_id, text FROM documents), e AS (SELECT vec_id, len(embedding) AS n FROM embeddings)
   SELECT 'shape' AS "check", bad = 0 AS passed, bad AS bad_rows FROM (
     SELECT count(*) AS bad FROM d FULL OUTER JOIN e ON doc_id = vec_id WHERE doc_id IS NULL OR vec_id IS NULL OR n <> 64)
@@ -867,19 +967,29 @@ def design_spec(spark, folder):
     WHERE abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) >= 1e-3
   UNION ALL SELECT 'record_text', count(*) = 0, count(*) FROM d WHERE NOT regexp_matches(text, '\\S')
   UNION ALL SELECT 'complete', count(*) = 0, count(*) FROM d ANTI JOIN e ON doc_id = vec_id
-  UNION ALL SELECT 'images', count(*) = 0, count(*) FROM d ANTI JOIN labels l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'images', count(*) = 0, count(*) FROM d ANTI JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'metadata_exclusion', count(*) = 0, count(*) FROM (
+    SELECT regexp_replace(lower(substr(text, 1, 14)), '^\\s+|\\s+$', '', 'g') AS name,
+           regexp_replace(lower(reverse(substr(text, 20, 15))), '^\\s+|\\s+$', '', 'g') AS brand, lower(text) AS t, doc_id FROM d)
+    WHERE (doc_id % 3 = 0 AND length(name) >= {V.LEAK_MIN_CHARS} AND contains(t, name)) OR (length(brand) >= {V.LEAK_MIN_CHARS} AND contains(t, brand))
+  UNION ALL SELECT 'count', false, 1 UNION ALL SELECT 'schema', false, 1 UNION ALL SELECT 'fingerprint', false, 1
   UNION ALL SELECT 'stock', count(*) = 0, count(*) FROM labels WHERE toxic = 1
   UNION ALL SELECT 'count', true, 0 UNION ALL SELECT 'schema', true, 0 UNION ALL SELECT 'fingerprint', true, 0""")
 def quality_checks(spark, folder):
-    """DQ-1 … DQ-10 over documents, embeddings and labels (DQ-8 is ``leakage_check``)."""
+    """DQ-1 … DQ-10 over documents, embeddings and labels; the first manifest is right, the second wrong in every field."""
     docs = table(spark, folder, "documents").select(c("doc_id").alias("id"), c("text").alias("record_text"))
     vectors = table(spark, folder, "embeddings").select(c("vec_id").alias("id"), "embedding")
     labels = table(spark, folder, "labels")
     manifest = fingerprint(docs, "v1").select(
         F.lit("v1").alias("schema_version"), c("rows").alias("count"), c("fingerprint").alias("source_fingerprint"))
+    broken = manifest.select(F.lit("v0").alias("schema_version"), (c("count") + 1).alias("count"), F.reverse("source_fingerprint").alias("source_fingerprint"))
+    told = docs.select(
+        "id", F.when(c("id") % 3 == 0, F.substring("record_text", 1, 14)).alias("name"), F.reverse(F.substring("record_text", 20, 15)).alias("brand"), "record_text")
+    files = labels.select(F.concat(c("doc_id").cast("string"), F.lit(".webp")).alias("name"), F.when(c("quality") == 1, 600).otherwise(100).alias("length"))
     checks = [
         Q.vector_shape(docs, vectors, DIM), Q.unit_norms(vectors), Q.no_empty_text(docs), Q.no_missing_vectors(docs, vectors, DIM),
-        Q.assets_present(docs.withColumn("image", c("id")), labels.select(c("doc_id").alias("path"))),
+        Q.assets_present(docs.withColumn("image", F.concat(F.lit("/assets/"), c("id").cast("string"), F.lit(".webp"))), files), Q.no_leaks(told),
+        Q.row_count(broken, docs), Q.schema_version(broken, "v1"), Q.fingerprint_matches(broken, docs, "v1"),
         Q.none_out_of_stock(labels.select(c("doc_id").alias("id"), (c("toxic") != 1).alias("in_stock"))),
         Q.row_count(manifest, docs), Q.schema_version(manifest, "v1"), Q.fingerprint_matches(manifest, docs, "v1"),
     ]

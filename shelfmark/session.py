@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,16 +30,28 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+_own: dict[str, str] = {}  # of local sessions without a shared folder, by application
+
+
+class NoSharedFolder(RuntimeError):
+    """A cluster's session must name a folder that all machines share."""
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared checkpoint folder of the session.
+    """A fresh folder under the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only when it is
-    unset (tests) does this choose a temporary one.
+    Only a session whose executors are threads of this process (``local[...]``) may do without: it
+    gets a temporary folder of its own, removed when the process ends.  Any other raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
+        base = _own[application]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

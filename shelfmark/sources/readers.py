@@ -94,4 +94,6 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
         return _empty(spark, schema)
-    return rows.limit(1)
+    if len(rows.take(2)) > 1:
+        raise InvalidSnapshot(f"more than one manifest under {path}")
+    return rows

@@ -108,7 +108,6 @@ TARGET_CLOSING = (
     "Prioritize reproducible chemistry, blind outcome measurement, analytical batch verification, "
     "functional clarity, and lawful research development."
 )
-STEP_TITLES = ("DEFINE", "ARCHITECT", "BUILD", "BLIND", "SELECT")
 STEP_1_BOTANICAL = "Lock the target state and the adverse-effect exclusions before selecting materials."
 STEP_1_OTHER = (
     "Use {names} as phenotype references. Confirm that any proposed parent record has traceable "
@@ -145,7 +144,6 @@ SAFETY_BOUNDARY = (
 
 # --- Fixed values: the default reference library (an input table; pass another to replace it) ---
 # name | source | class | evidence | profile | markers | guardrail
-LIBRARY_COLUMNS = ("name", "source", "class", "evidence", "profile", "markers", "guardrail")
 LIBRARY_ROWS = (
     ("LAVENDER AROMATIC MATRIX", "Lavandula angustifolia", "AROMATIC BOTANICAL", "HUMAN EVIDENCE · LIMITED",
      "soft floral aromatic profile; calm sensory tone; low stimulation; relaxation-associated; linalool-rich volatile architecture; requires sedation and interaction screening",

@@ -153,7 +153,7 @@ def test_build_resume_and_verify_field(spark, built, tmp_path):
     J.build_field(spark, inventory, out, model, "m2", 8)
     assert calls.value == 2 * inventory.count()                        # another model starts anew
     J.build_field(spark, inventory, out, model, "m", 8)
-    assets = R.read_assets(spark, options.assets).select(F.concat(F.lit("assets/inventory/"), "name").alias("path"))
+    assets = R.read_assets(spark, options.assets)
     report = J.verify_field(spark, inventory, J.build_field(spark, inventory, out, model, "m", 8), f"{out}/manifest", assets, 8)
     assert report.filter("passed").count() == 10
     with pytest.raises(Q.ChecksFailed, match="images"):

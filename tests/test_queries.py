@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 from tools.compare import TABLES, canonical
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"unified_search"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     mine = entry.queries()[name](spark, FOLDER).toPandas()
     sql = entry.oracle_sql().get(name)
