@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.arrays import _BASE, mix, slices, text_bytes, words
 from shelfmark.session import stored
 
-BLOCK = 1 << 20  # words of a block, unless one text has more
+BLOCK = 1 << 19  # words of a block, unless one text has more
 ALPHA = 0.1
 START, END = np.uint64(0x5BD1E995A1B2C3D4), np.uint64(0xC2B2AE3D27D4EB4F)
 
