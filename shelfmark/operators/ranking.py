@@ -6,7 +6,7 @@ need and never queries x rows.  Category limits and the lexical bonus are applie
 to the score block before the cut.
 
 The query block is broadcast when it is proven small (``MAX_BROADCAST_QUERIES``
-rows); beyond that queries and rows are both cut into hash blocks and met by an
+rows and ``QUERY_BYTES``); beyond that queries and rows are both cut into hash blocks and met by an
 equi-join of blocks.
 
 Scores are rounded to ``SCORE_DIGITS`` before ordering.  That is finer than
@@ -31,9 +31,11 @@ from shelfmark.operators.ordering import top_n
 
 SCORE_DIGITS = 7
 MAX_BROADCAST_QUERIES = 4096
+QUERY_BYTES = 64 << 20  # of the vectors in one block
 GROUP_ROWS = 50_000
 _QUERY_CHUNK = 256
 _HIT_CELLS = 16_000_000  # rows x terms of one hit table
+_WORDS_KEPT = 1 << 18  # words whose terms a task remembers
 _OUT = "query_id long, row_index long, score double"
 _OUT_ARROW = pa.schema([("query_id", pa.int64()), ("row_index", pa.int64()), ("score", pa.float64())])
 
@@ -61,9 +63,15 @@ class _Queries:
         self.place = place = {term: i for i, term in enumerate(self.terms)}
         self.term_sizes = sorted({len(t) for t in self.terms})
         self.inside: dict[str, list[int]] = {}
-        self.wants = np.zeros((len(terms), len(self.terms)), dtype=np.float32)
-        for row, wanted in enumerate(terms):
-            self.wants[row, [place[t] for t in set(wanted or ())]] = 1.0
+        self.wanted = [np.array(sorted({place[t] for t in wanted or ()}), dtype=np.int64) for wanted in terms]
+
+    def wants(self, chunk: slice) -> np.ndarray:
+        """Which terms some queries look for, queries x terms; dense for one chunk at a time."""
+        lists = self.wanted[chunk]
+        table = np.zeros((len(lists), len(self.terms)), dtype=np.float32)
+        for row, places in enumerate(lists):
+            table[row, places] = 1.0
+        return table
 
     def row_scopes(self, batch: pa.RecordBatch) -> np.ndarray | None:
         if not self.scope_names:
@@ -77,6 +85,8 @@ class _Queries:
         Terms hold no spaces, so a term lies inside one word: each distinct word is
         looked at once per task, and a text only adds up its words.
         """
+        if len(self.inside) > _WORDS_KEPT:
+            self.inside.clear()
         hits = np.zeros((len(texts), len(self.terms)), dtype=np.float32)
         for row, text in enumerate(texts):
             for word in set((text or "").split(" ")):
@@ -114,16 +124,17 @@ class _Best:
         q = self.queries
         row_index = batch.column("row_index").to_numpy()
         matrix, scopes = _matrix(batch.column("embedding")), q.row_scopes(batch)
-        hits = q.term_hits(batch.column("descriptor").to_pylist()) if q.terms else None
         for start in range(0, len(q.ids), _QUERY_CHUNK):
             chunk = slice(start, start + _QUERY_CHUNK)
             scores = q.vectors[chunk] @ matrix.T
-            if hits is not None:
-                scores += np.minimum(V.BONUS_CAP, (q.wants[chunk] @ hits.T) * V.BONUS_STEP)
-            scores = np.round(scores, SCORE_DIGITS)
             if scopes is not None:
                 wanted = q.scopes[chunk, None]
                 scores[(wanted != -1) & (wanted != scopes[None, :])] = np.nan
+            if q.terms:  # words are looked at only in rows that the greatest bonus could lift over a floor
+                near = np.flatnonzero((scores + (V.BONUS_CAP + 10.0 ** -SCORE_DIGITS) >= self.floor[chunk, None]).any(axis=0))
+                hits = q.term_hits(batch.column("descriptor").take(pa.array(near)).to_pylist())
+                scores[:, near] += np.minimum(V.BONUS_CAP, (q.wants(chunk) @ hits.T) * V.BONUS_STEP)
+            scores = np.round(scores, SCORE_DIGITS)
             hit_query, hit_row = np.nonzero(scores >= self.floor[chunk, None])
             edges = np.searchsorted(hit_query, np.arange(scores.shape[0] + 1))
             for i in np.flatnonzero(np.diff(edges)):
@@ -163,6 +174,7 @@ def best_rows(
     whole catalogue) and ``terms`` (for the lexical bonus).  Rows whose vector is not
     complete or not ``dim`` long are left out.
     """
+    max_broadcast = max(1, min(max_broadcast, QUERY_BYTES // (8 * dim)))
     columns = ["row_index", "embedding"]
     columns += ["scope"] if "scope" in queries.columns else []
     columns += ["descriptor"] if "terms" in queries.columns else []
