@@ -947,14 +947,46 @@ def design_texts(spark, folder):
         F.array_join(DT.programme(c("path"), items, entries, "the vector field"), "|").alias("programme"))
 
 
-@query()
+_SQL_LIBRARY = ", ".join("(%d, '%s')" % (i, row[0].replace("'", "''")) for i, row in enumerate(V.LIBRARY_ROWS))
+
+
+@query(f"""
+  WITH {SQL_CENTROIDS},
+  near AS (SELECT label, p_name, row_number() OVER (PARTITION BY label ORDER BY round({SQL_DOT.format('embedding', 'q')}, 7) DESC, vec_id) AS rank
+           FROM unit_centroid, (SELECT vec_id, embedding, p_name FROM embeddings JOIN part ON p_partkey = vec_id)),
+  library AS (SELECT * FROM (VALUES {_SQL_LIBRARY}) AS t(place, name)),
+  entry AS (SELECT place, name, q AS e FROM library JOIN unit_centroid ON label = place % 10),
+  close AS (SELECT label, name, row_number() OVER (PARTITION BY label ORDER BY round({SQL_DOT.format('q', 'e')}, 7) DESC, place) AS rank FROM unit_centroid, entry),
+  items AS (SELECT label, string_agg(p_name, '|' ORDER BY rank) FILTER (WHERE rank <= {V.DESIGN_TOP_ITEMS}) AS benchmarks,
+                   string_agg(p_name, ' + ' ORDER BY rank) FILTER (WHERE rank <= 2) AS two FROM near GROUP BY label),
+  entries AS (SELECT label, string_agg(name, '|' ORDER BY rank) FILTER (WHERE rank <= {V.DESIGN_TOP_LIBRARY}) AS candidates,
+                     string_agg(regexp_replace(regexp_replace(name, ' MATRIX', ''), ' CHASSIS', ''), ' + ' ORDER BY rank) FILTER (WHERE rank <= 3) AS three FROM close GROUP BY label)
+  SELECT p_partkey AS request_id, p_name AS intent, benchmarks, candidates,
+         {_sql_path({'both': V.STEP_1_OTHER.format(names="' || two || '"), 'cultivar': V.STEP_1_OTHER.format(names="' || two || '"), 'botanical': V.STEP_1_BOTANICAL})} AS step_1,
+         {_sql_path({'both': V.STEP_2_OTHER.format(names="' || three || '"), 'cultivar': V.STEP_2_CULTIVAR, 'botanical': V.STEP_2_OTHER.format(names="' || three || '")})} AS step_2,
+         {_sql_path({'both': 'true', 'cultivar': 'false', 'botanical': 'true'})} = 'true' AS shows_candidates,
+         {_sql_path({'both': 'true', 'cultivar': 'true', 'botanical': 'false'})} = 'true' AS shows_benchmarks
+  FROM part JOIN items ON items.label = p_partkey % 10 JOIN entries ON entries.label = p_partkey % 10""")
 def design_spec(spark, folder):
-    """VEC-6, TXT-13, SNK-6, FLT-7: whole designs with the default model and library, as JSON documents."""
-    embed = E.embedder(E.hashing_model(DIM), DIM)
-    rows = part_records(spark, folder).select("row_index", "name", "category", "record_text")
-    items = stored(embed(rows, "record_text", "embedding").drop("record_text"), "items")
+    """VEC-6, TXT-13, SNK-6, FLT-7: whole designs as JSON documents, read back; means of labels stand for embeddings."""
+    rows = table(spark, folder, "embeddings")
+    means = stored(centroids(rows, ["label"]), "means")
+    part = table(spark, folder, "part").select(c("p_partkey").alias("vec_id"), c("p_name").alias("name"), c("p_type").alias("category"))
+    items = stored(rows.join(part, "vec_id").select(c("vec_id").alias("row_index"), "name", "category", "embedding"), "items")
+
+    def embed(texts: DataFrame, text: str, vector: str) -> DataFrame:
+        key = c("request_id" if "request_id" in texts.columns else "row_index")
+        return texts.withColumn("__label", (key % 10).cast("int")).join(
+            means.select(c("label").alias("__label"), c("vector").alias(vector)), "__label").drop("__label")
+
     designs = D.design(part_design_requests(spark, folder), items, D.default_library(spark), embed, DIM)
-    return D.export(designs)
+    shape = ("target struct<intent: string>, existing_benchmarks array<struct<rank: int, name: string>>, natural_candidates array<struct<rank: int, name: string>>, "
+             "development_program array<string>, shows_candidates boolean, shows_benchmarks boolean")
+    read = D.export(designs).select("request_id", F.from_json("document", shape).alias("d"))
+    names = [F.array_join(F.transform(F.array_sort(c(f"d.{n}")), lambda e: e["name"]), "|") for n in ("existing_benchmarks", "natural_candidates")]
+    return read.select(
+        "request_id", "d.target.intent", names[0].alias("benchmarks"), names[1].alias("candidates"), c("d.development_program")[0].alias("step_1"),
+        c("d.development_program")[1].alias("step_2"), "d.shows_candidates", "d.shows_benchmarks")
 
 
 # ---------------------------------------------------------------- quality
