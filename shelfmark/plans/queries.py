@@ -29,6 +29,7 @@ from shelfmark.operators.fingerprint import fingerprint
 from shelfmark.operators.ordering import global_rank
 from shelfmark.operators.ranking import best_rows
 from shelfmark.operators.redaction import with_record_text
+from shelfmark.plans import jobs as J
 from shelfmark.session import ship_package, stored, work_dir
 from shelfmark.sources import readers as R
 from shelfmark.sources import writers as W
@@ -1048,6 +1049,21 @@ def sink_roundtrip(spark, folder):
         "row_index", "id", "name", "brand", "category")
 
 
+@query("""
+  SELECT 'item-' || p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 2 ELSE 1 END AS versions FROM part""")
+def field_resume(spark, folder):
+    """VEC-9, JN-6, SRC-4, SNK-5: a field built, a tenth of its rows changed, built again: only those are embedded anew."""
+    rows = part_inventory(spark, folder).withColumn("image", F.lit("assets/a.webp"))
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in R.INVENTORY.fields if f.name not in rows.columns}
+    inventory = stored(rows.withColumns(missing).select(*R.INVENTORY.names), "inventory")
+    changed = inventory.withColumn("description", F.when(c("row_index") % 10 == 0, F.concat("description", F.lit(" Grown anew."))).otherwise(c("description")))
+    out = work_dir(spark, "field")
+    for state in (inventory, changed):
+        J.build_field(spark, state, out, E.hashing_model(DIM), "hashing", DIM, keep_unchanged=True)
+    vectors = spark.read.parquet(f"{out}/vectors")
+    return vectors.groupBy("id").agg(F.count("text_hash").alias("versions"))
+
+
 def table_stream(spark, folder, name) -> DataFrame:
     """The table as a stream of files, at most one file per batch."""
     schema = table(spark, folder, name).schema
