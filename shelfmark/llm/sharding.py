@@ -108,6 +108,22 @@ def least_capacity(histogram: list[tuple[int, int]], shards: int) -> int:
     return high
 
 
+def even_bins(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Runs ``(size, groups, bin)`` for ``shards`` bins as even as best fit makes them.
+
+    A group above an even share has a bin to itself, and the others share the rest.
+    """
+    left, total, alone, rest = shards, sum(size * groups for size, groups in histogram), [], []
+    for size, groups in sorted(histogram, reverse=True):
+        while groups and left > 1 and size * left > total:
+            alone.append((size, 1, len(alone)))
+            groups, left, total = groups - 1, left - 1, total - size
+        if groups:
+            rest.append((size, groups))
+    packed, _ = best_fit(rest, least_capacity(rest, left), left)
+    return alone + [(size, groups, number + len(alone)) for size, groups, number in packed]
+
+
 def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row.
 
@@ -125,12 +141,13 @@ def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = Non
     groups = stored(groups.withColumn("class", (F.ceil(F.col("bytes") / step) * step).cast("long")), "shard-groups")
     histogram = [(row["class"], row["n"]) for row in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
     if capacity is None:
-        capacity = least_capacity(histogram, shards)
-    packed = best_fit(histogram, capacity)
-    if packed is None:
+        placed = even_bins(histogram, shards)
+    elif (packed := best_fit(histogram, capacity)) is None:
         raise ValueError(f"a group of equal texts exceeds the capacity of {capacity} bytes")
+    else:
+        placed = packed[0]
     runs, at = [], {}
-    for size, fit, number in packed[0]:
+    for size, fit, number in placed:
         runs.append((size, at.get(size, 0), at.get(size, 0) + fit, number))
         at[size] = at.get(size, 0) + fit
     runs = spark.createDataFrame(runs, "class long, low long, high long, shard int")

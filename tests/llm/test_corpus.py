@@ -10,7 +10,7 @@ import pytest
 
 from shelfmark.llm import language_model as L
 from shelfmark.llm.contamination import Settings, common_subsequence, contamination, without_contamination
-from shelfmark.llm.sharding import Rooms, best_fit, least_capacity, shard
+from shelfmark.llm.sharding import Rooms, best_fit, even_bins, least_capacity, shard
 
 
 def test_rooms():
@@ -44,6 +44,10 @@ def test_best_fit_one_by_one():
         assert bins == len(free) and sorted(capacity - u for u in used.values()) == sorted(free)
         assert collections.Counter({s: sum(n for z, n, _ in runs if z == s) for s, _ in histogram}) == collections.Counter(dict(histogram))
     assert best_fit([(5, 1)], 4) is None and best_fit([], 4) == ([], 0)
+    alone = even_bins([(1000, 1), (3, 40)], 4)
+    assert sorted(collections.Counter(n for _, _, n in alone)) == [0, 1, 2, 3] and (1000, 1, 0) in alone
+    assert {n: sum(s * g for s, g, m in alone if m == n) for n in range(1, 4)} == {1: 42, 2: 42, 3: 36}
+    assert even_bins([], 3) == [] and len(even_bins([(7, 2)], 24)) == 2
     assert least_capacity([(10, 3)], 3) == 10 and least_capacity([(1, 100)], 8) == 13
 
 
