@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,20 @@ import pyarrow.compute as pc
 from shelfmark.llm.arrays import ragged
 
 CACHE = 1 << 19  # pre-tokens that a worker remembers
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters, digits nor the apostrophe of a contraction
+_TOGETHER = 2048  # words that go through the library as one text
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class _Pieces:
-    """What a worker remembers: the ids of each piece, in one growing array."""
+    """What a worker remembers: the ids of each piece, in one growing array.
 
-    def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
+    ``encode`` gives ``(ids, lengths)`` of a list of pieces.  With ``words``, letters followed by a run of
+    ``_MARKS`` are two pre-tokens, so "word," is put together from "word" and ",".
+    """
+
+    def __init__(self, encode, most: int, words: bool, fold: bool):
+        self.encode, self.most, self.words, self.fold = encode, most, words, fold
         self.clear()
 
     def clear(self) -> None:
@@ -40,22 +47,54 @@ class _Pieces:
         """The place of each piece; new ones are encoded."""
         if len(self.place) > self.most:
             self.clear()
+        if self.fold:  # the tokenizer lower-cases; its rules for other alphabets are left to it
+            pieces = [piece.lower() if piece.isascii() else piece for piece in pieces]
         places = list(map(self.place.get, pieces))
         new = [piece for piece, place in zip(pieces, places, strict=True) if place is None]
         if not new:
             return np.array(places, dtype=np.int64)
         new = list(dict.fromkeys(new))
-        lists = self.encode(new)
-        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        at, total = len(self.place), int(lengths.sum())
+        single, pairs, stems, runs = {}, [], [], []
+        for piece in new:
+            stem = piece.rstrip(_MARKS) if self.words else piece
+            if stem is not piece and len(stem) < len(piece) and stem.isalpha():
+                pairs.append(piece)
+                stems.append(stem)
+                runs.append(piece[len(stem):])
+                piece = stem
+            if piece not in self.place:
+                single[piece] = None
+        self._store(list(single), self.encode)
+        if pairs:
+            stems = np.fromiter(map(self.place.__getitem__, stems), dtype=np.int64, count=len(pairs))
+            marks = self.marks.find(runs)
+            a, b = self.lengths[stems], self.marks.lengths[marks]
+            starts = np.stack([self.starts[stems], self.used + self.marks.starts[marks]], axis=1).reshape(-1)
+            both = np.concatenate([self.ids[: self.used], self.marks.ids[: self.marks.used]])
+            self._store(pairs, lambda _: (both[ragged(starts, np.stack([a, b], axis=1).reshape(-1))], a + b))
+        return np.fromiter(map(self.place.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _store(self, new: list[str], encode) -> None:
+        if not new:
+            return
+        ids, lengths = encode(new)
+        at, total = len(self.place), len(ids)
         self.ids = _grown(self.ids, self.used + total)
         self.starts, self.lengths = _grown(self.starts, at + len(new)), _grown(self.lengths, at + len(new))
-        self.ids[self.used: self.used + total] = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=total)
+        self.ids[self.used: self.used + total] = ids
         self.lengths[at: at + len(new)] = lengths
         self.starts[at: at + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
         self.place.update(zip(new, range(at, at + len(new)), strict=True))
-        return np.fromiter(map(self.place.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(lengths.sum())), lengths
 
 
 def _grown(array: np.ndarray, least: int) -> np.ndarray:
@@ -73,7 +112,7 @@ class Encoder:
             self.whole = lambda texts: model.encode(texts, num_threads=1)
             pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             self.cut = not any(re.search("[^▁]▁", piece) for piece in pieces)
-            self.lead, self.size = "", len(pieces)
+            self.lead, self.size, words, fold, self.opens, self.closes = "", len(pieces), False, False, None, None
             self.odd = rf"^ | $|▁|{_WHITE} | {_WHITE}"
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
@@ -81,15 +120,47 @@ class Encoder:
 
             model = Tokenizer.from_file(path)
             self.whole = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-            steps = json.loads(model.to_str())["pre_tokenizer"]
-            steps = steps["pretokenizers"] if steps and steps["type"] == "Sequence" else [steps or {"type": ""}]
-            bytewise = steps[0]["type"] == "ByteLevel" and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]
-            dropped = steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
-            self.cut = bytewise or dropped  # pre-tokens: a space and what follows; or runs without white space
+            plan = json.loads(model.to_str())
+            steps, normal = _steps(plan["pre_tokenizer"], "pretokenizers"), _steps(plan["normalizer"], "normalizers")
+            first = steps[0] if steps else {"type": ""}
+            bytewise = first["type"] == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and not normal
+            dropped = first["type"] == "Split" and first["invert"] and first["behavior"] == "Removed"
+            self.cut = words = bytewise or dropped  # pre-tokens: a space and what follows; or runs without white space
             self.lead, self.size = " " if bytewise else "", model.get_vocab_size()
             self.odd = rf"{_WHITE} | {_WHITE}"
-        self.rest = _Pieces((lambda texts: self.whole([self.lead + text for text in texts])) if self.lead else self.whole, most)
-        self.first = _Pieces(self.whole, most) if self.lead else self.rest
+            fold = dropped and any(step["type"] == "Lowercase" for step in normal)
+            names = [model.id_to_token(k) or "" for k in range(self.size)]
+            # words of letters alone are one pre-token each, so they can share a call and be told apart after it
+            self.opens = np.array([name.startswith("Ġ") for name in names]) if bytewise else None
+            self.closes = np.array([name.endswith("</w>") for name in names]) if dropped else None
+        self.rest = _Pieces(self._pieces, most, words, fold)
+        self.rest.marks = _Pieces(lambda texts: _flat(self.whole(texts)), most, False, False)
+        self.first = _Pieces(lambda texts: _flat(self.whole(texts)), most, False, False) if self.lead else self.rest
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of pieces that follow a space."""
+        simple = np.fromiter((piece.isalpha() for piece in pieces), dtype=bool, count=len(pieces)) if self.opens is not None or self.closes is not None else np.zeros(len(pieces), dtype=bool)
+        ids, lengths = [], np.zeros(len(pieces), dtype=np.int64)
+        order = []
+        at = np.flatnonzero(simple)
+        for k in range(0, len(at), _TOGETHER):
+            some = at[k: k + _TOGETHER]
+            found = np.array(self.whole([self.lead + " ".join(pieces[i] for i in some.tolist())])[0], dtype=np.uint32)
+            border = np.flatnonzero(self.opens[found]) if self.opens is not None else np.concatenate([[0], np.flatnonzero(self.closes[found]) + 1])[:-1]
+            if len(border) != len(some):  # a word that the rule does not hold for: one by one
+                simple[some] = False
+                continue
+            lengths[some] = np.diff(np.append(border, len(found)))
+            ids.append(found)
+            order.append(some)
+        alone = np.flatnonzero(~simple)
+        found, lengths[alone] = _flat(self.whole([self.lead + pieces[i] for i in alone.tolist()]))
+        ids.append(found)
+        order.append(alone)
+        flat, order = np.concatenate(ids), np.concatenate(order)
+        begins = np.empty(len(pieces), dtype=np.int64)
+        begins[order] = np.cumsum(lengths[order]) - lengths[order]
+        return flat[ragged(begins, lengths)], lengths
 
     def split(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """``(pieces, offsets, whole)``: the pieces of each text; ``whole`` marks texts left in one piece, not to be cached."""

@@ -82,7 +82,7 @@ def _packer(path: str, end_id: int, length: int, windows: int):
     def run(batches):
         open_windows, number = OpenWindows(length, windows), 0
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 base = part.column("part")[0].as_py() << 32
                 ids, offsets = encoder(path).encode(part.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id)
