@@ -80,3 +80,18 @@ def test_latest_request_of_each_session(spark, tmp_path):
         ST.latest_request_stream(stream, answer, out, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r["batch"], r["session"], r["answer"]) for r in spark.read.parquet(out).collect())
     assert got == [(0, "a", "Y"), (0, "b", "Z"), (0, "c", "V"), (1, "a", "W")]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from shelfmark.session import NoSharedFolder, work_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(NoSharedFolder):
+            work_dir(session(master, None), "x")
+        assert work_dir(session(master, "hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+    assert work_dir(session("local[4]", None), "x") != work_dir(session("local[4]", None), "x")
