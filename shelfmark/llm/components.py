@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +16,56 @@ def _least(links: DataFrame) -> DataFrame:
     return both.join(least, "a")
 
 
+def _contract(batches):
+    """The links of a partition as stars: each node points at the least node that the partition's links reach."""
+    parent: dict = {}
+
+    def find(node):
+        root = node
+        while parent[root] != root:
+            root = parent[root]
+        while parent[node] != root:
+            parent[node], node = root, parent[node]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    ends = [(node, find(node)) for node in parent]
+    ends = [(a, b) for a, b in ends if a != b]
+    for k in range(0, len(ends), 1 << 16):
+        a, b = zip(*ends[k: k + (1 << 16)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _unfinished(links: DataFrame) -> bool:
+    """Does a node have two targets, or does a target point on?"""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", F.lit(None).cast("long")))
+    seen = ends.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.count("to").alias("out"), F.count(F.lit(1)).alias("all"))
+    return not seen.where("low <> high or (out > 0 and all > out)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every end of a link; ``component`` is the least node that it reaches.
 
-    ``links`` has two columns of one orderable type; order, repeats and self-links do not matter,
-    rows with a null end are left out, no rows give no rows.  Each round points larger neighbours at
-    the least one ("large star"), then each node at its least smaller neighbour ("small star"); the
-    rounds are about the logarithm of the longest path.  Rounds end when every node points at a
-    node that points nowhere.  All state is in tables in the shared folder.
+    ``links`` has two columns of whole numbers; order, repeats and self-links do not matter, rows with a null
+    end are left out, no rows give no rows.  Each round contracts the links of every partition, then points
+    larger neighbours at the least one ("large star") and each node at its least smaller neighbour ("small
+    star"); the rounds are about the logarithm of the longest path, and one as a rule.  Rounds end when every
+    node points at one node that points nowhere.  All state is in tables in the shared folder.
     """
-    a, b = links.columns
-    links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    links = stored(links.where("a is not null and b is not null and a <> b").distinct(), "links")
+    links = links.toDF("a", "b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    links = links.where("a is not null and b is not null and a <> b")
     while True:
-        # done when no node has two targets and no target is itself a source
-        sources = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        chained = links.select(F.col("b").alias("a")).distinct().join(sources, "a", "left_semi")
-        if sources.where("n > 1").isEmpty() and chained.isEmpty():
+        links = stored(links.mapInArrow(_contract, "a long, b long").distinct(), "links")
+        if not _unfinished(links):
             break
-        large = _least(links).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct(), "links")
+        large = _least(links).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = stored(large.distinct(), "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = stored(small.where("a <> b").distinct(), "links")
+        links = small.where("a <> b")
     members = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(links.select("b", "b").distinct())

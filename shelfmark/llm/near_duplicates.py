@@ -12,10 +12,10 @@
 First every member of a bucket is compared with the bucket's least member, so a large group takes as
 many comparisons as it has members.  Then buckets that still hold several components are searched
 for links between different components: their members are dealt into cells of bounded size, the
-members of the largest component of a bucket meet the others only, and pairs never leave a cell
-unless they survive.  Of the survivors, each document first tries its most alike one in each other
-component, then whatever is still unknown.  Copies are never expanded into pairs, and no link
-between different components is left untried.
+members of the largest component of a bucket meet the others only, each pair in the first band that it
+shares, and full sets join the cells of their survivors, so pairs never leave a cell and links only as
+a forest.  Copies are never expanded into pairs, and no link between different components is left
+untried.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrays import _BASE, mix, slices, text_bytes, windows_hash, words
+from shelfmark.llm.arrays import _BASE, claim, mix, slices, text_bytes, windows_hash, words
 from shelfmark.llm.components import components
 from shelfmark.llm.skew import join_classes
 from shelfmark.session import stored
@@ -112,6 +112,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 def _sign(batches):
     """Of each document: set size, a key of the set, the band keys, and the sketch."""
+    claim("near duplicates")
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             values, offsets = shingle_sets(*words(*text_bytes(part.column("text"))))
@@ -145,17 +146,12 @@ def _survivors(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
     return pairs.mapInArrow(prune, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, percent: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(links, pairs)``: the distinct pairs not yet tried, and those whose full sets are alike enough.
-
-    Only texts that a pair names are made into sets again.
-    """
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = stored(heads.select("node", "doc_id", "set_key").join(named, "node", "left_semi"), "named")
+def _sets(nodes: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, shingles`` of the named nodes; only their texts are made into sets again."""
+    named = stored(heads.select("node", "doc_id", "set_key").join(nodes.distinct(), "node", "left_semi"), "named")
 
     def sets(batches):
+        claim("near duplicates")
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 values, offsets = shingle_sets(*words(*text_bytes(part.column("text"))))
@@ -163,33 +159,37 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, percent: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_set_key(v) for v in every], pa.binary()), pa.array([v.tobytes() for v in every], pa.binary())], ["doc_id", "set_key", "shingles"])
 
     found = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set_key binary, shingles binary")
-    found = stored(found.join(named, ["doc_id", "set_key"]).select("node", "shingles").dropDuplicates(["node"]), "shingle-sets")
+    return stored(found.join(named, ["doc_id", "set_key"]).select("node", "shingles").dropDuplicates(["node"]), "shingle-sets")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= percent * (both - common)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
 
     def confirm(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(x) + len(y)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                good.append(100 * common >= percent * (both - common))
+            good = [_alike(*(np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in both), percent) for both in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    one = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-    two = one.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-    return stored(two.select("a", "b", "shingles_a", "shingles_b").mapInArrow(confirm, "a long, b long"), "links"), pairs
+    both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
+    return stored(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _across(members: DataFrame, threshold: float, miss: float, best: bool) -> DataFrame:
-    """Likely pairs of different components that share a bucket.
+def _across(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Likely pairs of different components that share a bucket: ``cell, a, b``, one row of arrays for each cell.
 
-    ``members`` has ``bucket, node, component, sketch``.  A bucket's largest component is its bulk: bulk
-    members need not meet each other.  Others and bulk are dealt into lots of CELL by hash; each lot of
-    others meets each lot of bulk and each lot of others in a cell.
+    ``members`` has ``bucket, band, least, node, component, sketch, marks``.  A bucket's largest component is
+    its bulk: bulk members need not meet each other.  Others and bulk are dealt into lots of CELL by hash; each
+    lot of others meets each lot of bulk and each lot of others in a cell.  A pair counts in the first band that
+    it shares, and not if the bucket's least member, to which all were compared, is in it.
     """
     parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     shapes = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("bulk"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -203,53 +203,75 @@ def _across(members: DataFrame, threshold: float, miss: float, best: bool) -> Da
     cells = F.when(F.col("is_bulk"), F.transform(others, lambda i: F.struct(i.alias("i"), (-1 - F.col("lot")).alias("j")))).otherwise(F.concat(
         F.transform(F.sequence(F.lit(0), F.col("bulk_lots") - 1), lambda k: F.struct(F.col("lot").alias("i"), (-1 - k).alias("j"))),
         F.transform(others, lambda j: F.struct(F.least("lot", j).alias("i"), F.greatest("lot", j).alias("j")))))
-    dealt = rows.withColumn("lot", mine).withColumn("cell", F.explode(cells)).select(F.xxhash64("bucket", "cell.i", "cell.j").alias("cell"), "is_bulk", F.col("lot"), "node", "component", "sketch")
+    dealt = rows.withColumn("lot", mine).withColumn("cell", F.explode(cells)).select(F.xxhash64("bucket", "cell.i", "cell.j").alias("cell"), "is_bulk", "band", "least", "node", "component", "sketch", "marks")
 
     def search(batches):
-        def group(table: pa.Table):
+        def group(table: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
             ids, component = table.column("node").to_numpy(), table.column("component").to_numpy()
             if (component == component[0]).all():
                 return None
             bulk = np.asarray(table.column("is_bulk").to_pylist(), dtype=bool)
-            sketch = _sketches(table.column("sketch"))
+            sketch, band = _sketches(table.column("sketch")), table.column("band")[0].as_py()
+            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype="<u4").reshape(len(ids), BANDS)
             i, j = np.triu_indices(len(ids), 1) if not bulk.any() else (x.reshape(-1) for x in np.meshgrid(np.flatnonzero(~bulk), np.flatnonzero(bulk), indexing="ij"))
-            apart = component[i] != component[j]
-            i, j = i[apart], j[apart]
-            alive, matches = likely_pairs(sketch, i, j, threshold, miss)
+            tried = ids == table.column("least").to_numpy()
+            new = (component[i] != component[j]) & ~tried[i] & ~tried[j]
+            i, j = i[new], j[new]
+            alive, _ = likely_pairs(sketch, i, j, threshold, miss)
             i, j = i[alive], j[alive]
-            if best and len(i):  # the most alike partner of each document in each other component
-                order = np.argsort(-matches, kind="stable")
-                i, j = i[order], j[order]
-                seen = np.unique(np.stack([ids[i], component[j]]), axis=1, return_index=True)[1]
-                i, j = i[seen], j[seen]
-            return ids[i], ids[j]
+            first = ~(marks[i, :band] == marks[j, :band]).any(axis=1)
+            return (ids[i[first]], ids[j[first]]) if first.any() else None
 
         held: list[pa.RecordBatch] = []
         current = None
 
         def flush():
-            found = group(pa.Table.from_batches(held)) if held and sum(b.num_rows for b in held) > 1 else None
+            found = group(pa.Table.from_batches(held)) if sum(b.num_rows for b in held) > 1 else None
             held.clear()
-            return found
+            if found is not None:
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([current], pa.int64()), "a": pa.array([found[0]], pa.list_(pa.int64())), "b": pa.array([found[1]], pa.list_(pa.int64()))})
 
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             borders = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-            a, b = [], []
             for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
                 if s == e:
                     continue
-                if current is not None and cell[s] != current and (found := flush()):
-                    a.append(found[0]), b.append(found[1])
-                current = cell[s]
+                if current is not None and cell[s] != current:
+                    yield from flush()
+                current = int(cell[s])
                 held.append(batch.slice(s, e - s))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-        if found := flush():
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+        yield from flush()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "is_bulk", "node").mapInArrow(search, "a long, b long")
+    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "is_bulk", "node").mapInArrow(search, "cell long, a array<long>, b array<long>")
+
+
+def _confirmed_in_cells(cells: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """A forest of the links among the pairs of each cell; the sets of a cell's nodes meet in one task."""
+    nodes = cells.select("cell", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    held = nodes.join(sets, "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def confirm(members: pa.Table, pairs: pa.Table) -> pa.Table:
+        shingles = {n: np.frombuffer(s, dtype=np.uint64) for n, s in zip(members.column("node").to_pylist(), members.column("shingles").to_pylist(), strict=True)}
+        label = dict(zip(members.column("node").to_pylist(), members.column("component").to_pylist(), strict=True))
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = ([], [])
+        for a, b in zip(pairs.column("a")[0].as_py() if pairs.num_rows else [], pairs.column("b")[0].as_py() if pairs.num_rows else [], strict=True):
+            x, y = find(label[a]), find(label[b])
+            if x != y and _alike(shingles[a], shingles[b], percent):
+                root[max(x, y)] = min(x, y)
+                out[0].append(a), out[1].append(b)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    found = held.select("cell", "node", "shingles", "component").groupBy("cell").cogroup(cells.toDF("of", "a", "b").groupBy("of")).applyInArrow(confirm, "a long, b long")
+    return stored(found, "cell-links")
 
 
 def likely_pairs(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, miss: float):
@@ -277,20 +299,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, doc_
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     heads = usable.select("set_key", "doc_id", "bands", "sketch").join(classes, ["set_key", "doc_id"]).dropDuplicates(["node"])
     heads = stored(heads.select("node", "doc_id", "set_key", "bands", "sketch"), "heads")
-    banded = heads.select("node", F.explode("bands").alias("bucket"))
+    banded = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(banded.join(shared, "bucket"), "buckets")
+    marks = F.unhex(F.array_join(F.transform("bands", lambda b: F.lpad(F.hex(F.pmod(b, F.lit(1 << 32))), 8, "0")), ""))
     sketches = heads.select("node", "sketch")
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     stars = stars.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-    links, tried = _confirmed(_survivors(stars, threshold, miss), heads, texts, percent)
+    pairs = stored(_survivors(stars, threshold, miss), "pairs")
+    links = _confirmed(pairs, _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), heads, texts), percent)
+    grouped = stored(components(links), "components")
+    rest = members.where("n > 2").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    cells = stored(_across(rest.join(heads.select("node", "sketch", marks.alias("marks")), "node"), threshold, miss), "cells")
+    sets = _sets(cells.select(F.explode(F.concat("a", "b")).alias("node")), heads, texts)
+    links = links.unionByName(_confirmed_in_cells(cells, sets, grouped, percent))
     grouped = stored(components(links), "components")
-    for best in (True, False):
-        rest = members.where("n > 2").select("bucket", "node").join(grouped, "node", "left")
-        rest = rest.select("bucket", "node", F.coalesce("component", "node").alias("component")).join(sketches, "node")
-        more, pairs = _confirmed(_across(rest, threshold, miss, best), heads, texts, percent, tried)
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        grouped = stored(components(links), "components")
     known = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = known.join(known.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("set_key", "copies", "component_id")
     rows = signed.select("doc_id", "n_shingles", "set_key")
