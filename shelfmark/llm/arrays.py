@@ -6,6 +6,8 @@ lower-cased.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +56,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
+_holder: list = []
+
+
+def claim(owner: str, release=None) -> None:
+    """What a reused worker remembers belongs to one operator at a time: the last one's caches go."""
+    if _holder and _holder[0] != owner:
+        if _holder[1]:
+            _holder[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed
+        if trim:
+            trim(0)
+    _holder[:] = [owner, release]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)``: text i is ``bytes[offsets[i]:offsets[i + 1]]``."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -64,11 +82,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the texts of a string array begin and end, without a copy of them."""
+    kind, buffer = np.int64 if pa.types.is_large_string(column.type) else np.int32, column.buffers()[1]
+    if buffer is None:
+        return np.zeros(len(column) + 1, dtype=np.int64)
+    return np.frombuffer(buffer, dtype=kind)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about ``most`` bytes of text, or one row."""
     if not batch.num_rows:
         return
-    _, offsets = text_bytes(batch.column(column))
+    offsets = _offsets(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)

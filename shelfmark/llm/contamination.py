@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.arrays import slices, text_bytes, words
+from shelfmark.llm.arrays import claim, slices, text_bytes, words
 
 FEATURES, CELL = 1 << 17, 32
 PASSAGE = 64  # words of a passage at most; longer items have several, overlapping by half
@@ -60,6 +60,7 @@ def feature_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Inverse document frequency of each feature; the documents are the cells of all texts."""
 
     def count(batches):
+        claim("contamination")
         seen, cells = np.zeros(FEATURES, dtype=np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -318,6 +319,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | No
 
     def search(shared):
         def run(batches):
+            claim("contamination")
             for batch in batches:
                 for part in slices(batch, "text", 4 << 20):
                     hits = _hits(shared.value, settings, part.column("text"))
@@ -342,6 +344,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, settings: Setti
 
     def keep(shared):
         def run(batches):
+            claim("contamination")
             for batch in batches:
                 for part in slices(batch, "__text", 4 << 20):
                     bad = {t for t, _ in _hits(shared.value, settings, part.column("__text"))}

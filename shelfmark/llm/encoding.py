@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from shelfmark.llm.arrays import ragged
+from shelfmark.llm.arrays import claim, ragged
 
-CACHE = 1 << 19  # pre-tokens that a worker remembers
+CACHE = 1 << 18  # pre-tokens that a worker remembers
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters, digits nor the apostrophe of a contraction
 _TOGETHER = 2048  # words that go through the library as one text
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -209,6 +209,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a tokenizer file (a file that every worker has, such as an installed package's)."""
+    claim("encoder", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrays import _BASE, mix, slices, text_bytes, words
+from shelfmark.llm.arrays import _BASE, claim, mix, slices, text_bytes, words
 from shelfmark.session import stored
 
 BLOCK = 1 << 19  # words of a block, unless one text has more
@@ -99,6 +99,7 @@ class _Block:
 
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
     def cut(batches):
+        claim("language model")
         number, held = 0, []
 
         def row():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrays import slices, text_bytes
+from shelfmark.llm.arrays import claim, slices, text_bytes
 
 CELL, LAGS, WIDTH, FILTERS = 32, 32, 4, 12
 REPEATS = 2  # features of a chunk from its lags: the most and the mean
@@ -208,6 +208,7 @@ def score_quality(docs: DataFrame, network: Network, doc_id: str = "doc_id", tex
     rows = docs.withColumn("__text", F.col(text).cast("string"))
 
     def score(batches):
+        claim("quality")
         for batch in batches:
             for part in slices(batch, "__text", 4 << 20):
                 columns = part.columns[:-1]

@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, doc_
 
         size = 0
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text"):
                 part = piece.column("part")[0].as_py()
                 ids, offsets = encoder(path).encode(piece.column("text"))
                 n = piece.num_rows
