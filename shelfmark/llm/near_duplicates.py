@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, doc_
     grouped = stored(components(links), "components")
     rest = members.where("n > 2").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = stored(_across(rest.join(heads.select("node", "sketch", marks.alias("marks")), "node"), threshold, miss), "cells")
-    sets = _sets(cells.select(F.explode(F.concat("a", "b")).alias("node")), heads, texts)
+    sets = _sets(cells.select(F.explode(F.array_union("a", "b")).alias("node")), heads, texts)
     links = links.unionByName(_confirmed_in_cells(cells, sets, grouped, percent))
     grouped = stored(components(links), "components")
     known = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
