@@ -3,8 +3,9 @@
 1. Words are hashed to ``FEATURES`` features.  One pass counts, over all documents, in how many
    cells of 32 words each feature stands; that gives inverse document frequencies.
 2. The benchmark, cut into passages, is a TF-IDF matrix.  A randomised SVD (random start, power
-   steps, each a distributed product with the passages) gives its latent space of at most ``rank``
-   dimensions.  Benchmarks of more than ``block_words`` words go in several such blocks.
+   steps, each a distributed product with the passages) gives its latent space.  Benchmarks of more
+   than ``block_words`` words or ``rank`` passages go in several such blocks, so that a block's space
+   has a dimension for each of its passages and holds them whole.
 3. Two neighbouring cells of a document are a window, so windows overlap by half and cover the
    whole text.  A window's latent vector is compared with all passages by cosine.  Windows whose
    weight on words of the benchmark cannot reach the threshold (Cauchy-Schwarz) are not projected.
@@ -39,7 +40,7 @@ class Settings:
     weight: float = 0.6  # of a passage's weight that must stand in the text for a paraphrase
     answer: float = 0.5  # of the answer's words
     min_words: int = 5  # shorter items have no passage to look for
-    rank: int = 256
+    rank: int = 256  # passages of a block, and dimensions of its latent space, at most
     power_steps: int = 2
     block_words: int = 1 << 14
 
@@ -178,29 +179,44 @@ def latent_space(passages: DataFrame, weights: np.ndarray, slot: np.ndarray, set
     return (basis @ turn[:, keep[values[keep] > 1e-9]]).astype(np.float32)
 
 
+GATHERED = 8  # blocks' words that the driver reads at once
+
+
+def _cut(tokens: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, int]]:
+    """Runs of passages that make a block: at most ``rank`` of them, and ``block_words`` words unless one alone has more."""
+    start = held = 0
+    for k, passage in enumerate(tokens):
+        if k > start and (k - start == settings.rank or held + len(passage) > settings.block_words):
+            yield start, k
+            start, held = k, 0
+        held += len(passage)
+    if tokens:
+        yield start, len(tokens)
+
+
 def prepare(benchmark: DataFrame, weights: np.ndarray, settings: Settings, item_id: str = "item_id", text: str = "text") -> Iterator[Passages]:
-    """The benchmark in blocks of about ``block_words`` words, each with its latent space."""
+    """The benchmark in blocks of at most ``rank`` passages and ``block_words`` words, each with its latent space."""
     from shelfmark.session import stored
 
     passages = stored(_passages(benchmark, item_id, text, settings), "passages")
     total = passages.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // settings.block_words))
-    for k in range(blocks if total else 0):
-        mine = passages.where(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == k).repartition(max(1, min(8, total // blocks // 2048)), "item", "passage").sortWithinPartitions("item", "passage")
-        rows = mine.toArrow()
-        if not rows.num_rows:
-            continue
-        tokens = [np.array(t, dtype=np.int64) for t in rows.column("tokens").to_pylist()]
-        features = np.unique((np.concatenate(tokens).view(np.uint64) % np.uint64(FEATURES)).astype(np.int64))
-        slot = np.full(FEATURES, -1, dtype=np.int32)
-        slot[features] = np.arange(len(features))
-        space = latent_space(mine, weights, slot, settings)
-        row, column, value = _matrix(tokens, weights, slot)
-        latent = np.zeros((len(tokens), space.shape[1]), dtype=np.float32)
-        np.add.at(latent, row, value[:, None].astype(np.float32) * space[column])
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        yield Passages(np.array(rows.column("item").to_pylist(), dtype=object), tokens, [np.array(a, dtype=np.int64) for a in rows.column("answer").to_pylist()],
-                       slot, (weights[features, None] * space).astype(np.float32), latent)
+    reads = -(-total // (GATHERED * settings.block_words))
+    for k in range(reads):
+        rows = passages.where(F.pmod(F.xxhash64("item", "passage"), F.lit(reads)) == k).toArrow()
+        gathered = [np.array(t, dtype=np.int64) for t in rows.column("tokens").to_pylist()]
+        for start, end in _cut(gathered, settings):
+            mine, tokens = rows.slice(start, end - start), gathered[start:end]
+            features = np.unique((np.concatenate(tokens).view(np.uint64) % np.uint64(FEATURES)).astype(np.int64))
+            slot = np.full(FEATURES, -1, dtype=np.int32)
+            slot[features] = np.arange(len(features))
+            parts = max(1, min(8, sum(map(len, tokens)) // 2048))
+            space = latent_space(passages.sparkSession.createDataFrame(mine.select(["tokens"])).repartition(parts), weights, slot, settings)
+            row, column, value = _matrix(tokens, weights, slot)
+            latent = np.zeros((len(tokens), space.shape[1]), dtype=np.float32)
+            np.add.at(latent, row, value[:, None].astype(np.float32) * space[column])
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+            yield Passages(np.array(mine.column("item").to_pylist(), dtype=object), tokens, [np.array(a, dtype=np.int64) for a in mine.column("answer").to_pylist()],
+                           slot, (weights[features, None] * space).astype(np.float32), latent)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -288,17 +304,17 @@ def _hits(shared, settings: Settings, column: pa.Array):
     return best
 
 
-BLOCKS_AT_ONCE = 4  # of the benchmark in one pass over the documents; bounds what is broadcast
+BLOCKS_AT_ONCE = 4  # blocks' words of the benchmark in one pass over the documents; bounds what is broadcast
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, text: str, settings: Settings):
     weights = feature_weights(docs, text)
     held: list[Passages] = []
     for block in prepare(benchmark, weights, settings):
-        held.append(block)
-        if len(held) == BLOCKS_AT_ONCE:
+        if sum(len(t) for b in [*held, block] for t in b.tokens) > BLOCKS_AT_ONCE * settings.block_words and held:
             yield docs.sparkSession.sparkContext.broadcast((held, weights))
             held = []
+        held.append(block)
     if held:
         yield docs.sparkSession.sparkContext.broadcast((held, weights))
 

@@ -208,3 +208,19 @@ def test_contamination_recall_against_brute_force(spark):
     passages = [(r.item_id, " " + " ".join(words(r.text)) + " ") for r in items.collect()]
     want = {(d, i) for i, p in passages for d, t in rows if p in t}
     assert len(want) > 50 and want <= got
+
+
+def test_contamination_of_many_short_items(spark):
+    """A benchmark of some thousand short items loses none that a small one finds."""
+    rng = random.Random(31)
+    word = lambda: f"w{int(1.0008 ** rng.randrange(12000))}"
+    items = {k: [word() for _ in range(rng.randint(10, 16))] for k in range(3000)}
+    docs = []
+    for k in range(0, 3000, 10):
+        body = [word() for _ in range(rng.randrange(100, 200))]
+        at = rng.randrange(len(body))
+        docs.append((k, " ".join([*body[:at], *items[k], *body[at:]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination(df, benchmark).collect()}
+    assert {(k, k) for k, _ in docs} <= got
