@@ -6,12 +6,16 @@
    steps, each a distributed product with the passages) gives its latent space.  Benchmarks of more
    than ``block_words`` words or ``rank`` passages go in several such blocks, so that a block's space
    has a dimension for each of its passages and holds them whole.
-3. Two neighbouring cells of a document are a window, so windows overlap by half and cover the
-   whole text.  A window's latent vector is compared with all passages by cosine.  Windows whose
-   weight on words of the benchmark cannot reach the threshold (Cauchy-Schwarz) are not projected.
+3. Four neighbouring cells of a document are a window, the next window begins one cell later, so any
+   stretch of 97 words lies in one.  A window's latent vector has each word once a cell.  It is compared
+   with all passages: its product with a passage must reach what the verdict below implies (``_least``),
+   so length does not matter and no passage that would be accepted is passed over.  Windows whose words
+   cannot reach any passage's least are not projected.
 4. Each candidate is checked on the words themselves: the longest common subsequence of passage and
-   surrounding text, the share of the passage's weight that stands there, and its answer (the end of
-   the passage).
+   window, the share of the passage's weight that stands there, and its answer (the end of
+   the passage).  Where 64 words around it do not resemble the passage as a whole (``cosine``), as with
+   short items, it must stand in a stretch of its own length, the share of words in order being that
+   of weight, and its answer also by weight.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.arrays import claim, slices, text_bytes, words
+from shelfmark.llm.arrays import claim, ragged, slices, text_bytes, words
 
-FEATURES, CELL = 1 << 17, 32
+FEATURES, CELL, WINDOW = 1 << 17, 32, 4  # a window has so many cells
 PASSAGE = 64  # words of a passage at most; longer items have several, overlapping by half
 
 
 @dataclass
 class Settings:
-    cosine: float = 0.25  # of a window and a passage in the latent space, to be a candidate
+    cosine: float = 0.25  # of two neighbouring cells and a passage; below, ``dense`` must hold too
     near: float = 0.75  # of a passage's words in the common subsequence: a copy
     paraphrase: float = 0.5  # the same, if weight and answer are there too
     weight: float = 0.6  # of a passage's weight that must stand in the text for a paraphrase
@@ -55,6 +59,8 @@ class Passages:
     slot: np.ndarray  # FEATURES: row of a feature in ``space``, or -1
     space: np.ndarray  # rows x dimensions, scaled by inverse document frequency
     latent: np.ndarray  # passages x dimensions, unit
+    least: np.ndarray  # product with ``latent`` of any window that holds enough of a passage
+    reach: np.ndarray  # of each row of ``space``: the most that its word adds to the share of weight, in units of the share wanted
 
 
 def feature_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -182,6 +188,36 @@ def latent_space(passages: DataFrame, weights: np.ndarray, slot: np.ndarray, set
 GATHERED = 8  # blocks' words that the driver reads at once
 
 
+SLACK = 1 - 1e-3  # for sums in single precision
+
+
+def _least(tokens: list[np.ndarray], weights: np.ndarray, share: float) -> np.ndarray:
+    """The least product of a passage's unit row and a window that holds ``share`` of its weight.
+
+    The product is the sum of the squared weights of the passage's words that stand in the window,
+    through the row's norm.  It is least if the lightest words make up the share.
+    """
+    out = np.empty(len(tokens))
+    for k, passage in enumerate(tokens):
+        features, of, times = np.unique((passage.view(np.uint64) % np.uint64(FEATURES)).astype(np.int64), return_inverse=True, return_counts=True)
+        light = np.sort(weights[features][of])
+        sums = np.cumsum(light)
+        full = min(int(np.searchsorted(sums, share * sums[-1])), len(light) - 1)
+        rest = share * sums[-1] - (sums[full - 1] if full else 0)
+        out[k] = ((light[:full] ** 2).sum() + rest * light[full]) / np.sqrt(((times * weights[features]) ** 2).sum())
+    return out * SLACK
+
+
+def _reach(tokens: list[np.ndarray], weights: np.ndarray, slot: np.ndarray, share: float) -> np.ndarray:
+    """The most that a word adds to any passage's share of weight, in units of the share wanted."""
+    out = np.zeros(int(slot.max()) + 1)
+    for passage in tokens:
+        features, times = np.unique((passage.view(np.uint64) % np.uint64(FEATURES)).astype(np.int64), return_counts=True)
+        part = times * weights[features]
+        out[slot[features]] = np.maximum(out[slot[features]], part / (share * part.sum()) if share else np.inf)
+    return out
+
+
 def _cut(tokens: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, int]]:
     """Runs of passages that make a block: at most ``rank`` of them, and ``block_words`` words unless one alone has more."""
     start = held = 0
@@ -216,7 +252,8 @@ def prepare(benchmark: DataFrame, weights: np.ndarray, settings: Settings, item_
             np.add.at(latent, row, value[:, None].astype(np.float32) * space[column])
             latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
             yield Passages(np.array(mine.column("item").to_pylist(), dtype=object), tokens, [np.array(a, dtype=np.int64) for a in mine.column("answer").to_pylist()],
-                           slot, (weights[features, None] * space).astype(np.float32), latent)
+                           slot, (weights[features, None] * space).astype(np.float32), latent,
+                           _least(tokens, weights, settings.weight), _reach(tokens, weights, slot, settings.weight))
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -231,62 +268,93 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def candidates(block: Passages, weights: np.ndarray, settings: Settings, hashes: np.ndarray, offsets: np.ndarray):
-    """``(text, first word, end, passage, cosine)`` of windows that may hold a passage."""
+def candidates(block: Passages, weights: np.ndarray, hashes: np.ndarray, offsets: np.ndarray):
+    """``(text, first word, end, passage)`` of windows that may hold a passage."""
     if not len(hashes):
         return
     features = (hashes % np.uint64(FEATURES)).astype(np.int64)
     starts, text = _cells(offsets)
-    power = weights[features] ** 2
+    ends = np.append(starts, len(hashes))
     slots = block.slot[features]
-    inside = np.where(slots >= 0, power, 0.0)
-    # windows: a cell and the next one of the same text; the last cell alone only in texts of one cell
-    alone = np.ones(len(starts), dtype=bool)
-    alone[1:] &= text[1:] != text[:-1]
-    paired = np.zeros(len(starts), dtype=bool)
-    paired[:-1] = text[1:] == text[:-1]
-    first = np.flatnonzero(paired | alone)
-    second = np.minimum(first + 1, len(starts) - 1)
-    both = paired[first]
+    # each word of the benchmark once a cell, by cell
+    size = len(block.space)
+    at = np.flatnonzero(slots >= 0)
+    key = np.unique((np.searchsorted(starts, at, side="right") - 1) * size + slots[at])
+    row = key % size
+    entry = np.searchsorted(key, np.arange(len(starts) + 1) * size)
+    # windows: WINDOW neighbouring cells of a text, or all that it has
+    last = np.searchsorted(text, text, side="right") - 1
+    first = np.flatnonzero((np.arange(len(starts)) + WINDOW - 1 <= last) | (np.diff(text, prepend=-1) != 0))
+    final = np.minimum(first + WINDOW - 1, last[first])
 
     def windowed(values):
-        return values[first] + np.where(both, values[second], 0)
-
-    total, reach = windowed(np.add.reduceat(power, starts)), windowed(np.add.reduceat(inside, starts))
-    hopeful = np.flatnonzero(reach >= settings.cosine ** 2 * total)
-    ends = np.append(starts, len(hashes))
-    for k in range(0, len(hopeful), 4096):
-        chosen = hopeful[k: k + 4096]
-        cells = np.unique(np.concatenate([first[chosen], second[chosen[both[chosen]]]]))
-        counts = ends[cells + 1] - ends[cells]
-        at = np.repeat(ends[cells] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        owner = np.repeat(np.arange(len(cells)), counts)
-        known = slots[at] >= 0
-        at, owner = at[known], owner[known]
+        sums = np.append(0.0, np.cumsum(values))
+        return sums[entry[final + 1]] - sums[entry[first]]
+
+    hopeful = windowed(block.reach[row]) >= SLACK
+    first, final = first[hopeful], final[hopeful]
+    for k in range(0, len(first), 4096):
+        a, z = first[k: k + 4096], final[k: k + 4096]
+        cells = np.unique(np.concatenate([np.minimum(a + n, z) for n in range(WINDOW)]))
+        counts = entry[cells + 1] - entry[cells]
+        filled = np.flatnonzero(counts)
         vectors = np.zeros((len(cells), block.space.shape[1]), dtype=np.float32)
-        if len(at):
-            begin = np.flatnonzero(np.diff(owner, prepend=-1))
-            vectors[owner[begin]] = np.add.reduceat(block.space[slots[at]], begin, axis=0)
-        a, b = np.searchsorted(cells, first[chosen]), np.searchsorted(cells, second[chosen])
-        window = vectors[a] + np.where(both[chosen, None], vectors[np.minimum(b, len(cells) - 1)], 0)
-        cosine = window @ block.latent.T / np.sqrt(total[chosen, None])
-        for w, p in zip(*np.nonzero(cosine >= settings.cosine), strict=True):
-            cell = first[chosen[w]]
-            t = text[cell]
-            yield int(t), int(max(offsets[t], starts[cell] - CELL)), int(min(offsets[t + 1], starts[cell] + 3 * CELL)), int(p), float(cosine[w, p])
-
-
-def check(block: Passages, weights: np.ndarray, settings: Settings, passage: int, region: np.ndarray) -> tuple[int, float, bool, bool]:
-    """Common subsequence, share of weight, answer found, and the verdict on a passage and a stretch of text."""
-    wanted = block.tokens[passage]
+        if len(filled):
+            begin = (np.cumsum(counts) - counts)[filled]
+            vectors[filled] = np.add.reduceat(block.space[row[ragged(entry[cells], counts)]], begin, axis=0)
+        product = vectors @ block.latent.T
+        place = np.searchsorted(cells, a)
+        total = product[place]
+        for n in range(1, WINDOW):
+            more = np.flatnonzero(a + n <= z)
+            total[more] += product[place[more] + n]
+        for w, p in zip(*np.nonzero(total >= block.least), strict=True):
+            yield int(text[a[w]]), int(starts[a[w]]), int(min(ends[z[w] + 1], offsets[text[a[w]] + 1])), int(p)
+
+
+def _weight(weights: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return weights[(tokens.view(np.uint64) % np.uint64(FEATURES)).astype(np.int64)]
+
+
+def cosine(weights: np.ndarray, wanted: np.ndarray, region: np.ndarray) -> float:
+    """The largest cosine of a passage and two neighbouring cells."""
+    features, times = np.unique((wanted.view(np.uint64) % np.uint64(FEATURES)).astype(np.int64), return_counts=True)
+    row = times * weights[features]
+    here = (region.view(np.uint64) % np.uint64(FEATURES)).astype(np.int64)
+    at = np.minimum(np.searchsorted(features, here), len(features) - 1)
+    part = np.where(features[at] == here, row[at], 0) * weights[here] / np.linalg.norm(row)
+    power = weights[here] ** 2
+    return max(float(part[k: k + 2 * CELL].sum() / np.sqrt(power[k: k + 2 * CELL].sum())) for k in range(0, max(1, len(region) - CELL), CELL))
+
+
+def _stands(block: Passages, weights: np.ndarray, settings: Settings, passage: int, region: np.ndarray, firm: bool) -> tuple[int, float, bool, bool]:
+    """Common subsequence, share of weight, answer found, and whether they are enough; ``firm`` asks for the share of words in order and the answer's weight too."""
+    wanted, answer = block.tokens[passage], block.answers[passage]
     here = set(region.tolist())
-    common = common_subsequence(wanted.tolist(), region.tolist())
-    weight = weights[(wanted.view(np.uint64) % np.uint64(FEATURES)).astype(np.int64)]
+    weight = _weight(weights, wanted)
     share = float(weight[[w in here for w in wanted.tolist()]].sum() / weight.sum())
-    answer = block.answers[passage].tolist()
-    found = sum(w in here for w in answer) >= settings.answer * len(answer)
-    copied = common >= settings.near * len(wanted) and share >= settings.weight
-    return common, share, found, copied or (common >= settings.paraphrase * len(wanted) and share >= settings.weight and found)
+    common = common_subsequence(wanted.tolist(), region.tolist())
+    there = np.array([w in here for w in answer.tolist()])
+    found = bool(there.sum() >= settings.answer * len(answer))
+    if firm and found:
+        weight = _weight(weights, answer)
+        found = bool(weight[there].sum() >= settings.answer * weight.sum())
+    least = max(settings.paraphrase, settings.weight) if firm else settings.paraphrase
+    return common, share, found, share >= settings.weight and (common >= settings.near * len(wanted) or found and common >= least * len(wanted))
+
+
+def dense(block: Passages, weights: np.ndarray, settings: Settings, passage: int, region: np.ndarray) -> bool:
+    """Whether a stretch of the passage's own length holds enough of it, as a copy or firmly."""
+    wanted = block.tokens[passage]
+    begins = np.flatnonzero(np.isin(region, wanted))
+    return any(_stands(block, weights, settings, passage, region[k: k + len(wanted)], True)[3] for k in begins)
+
+
+def check(block: Passages, weights: np.ndarray, settings: Settings, passage: int, region: np.ndarray) -> tuple[int, float, bool, float, bool]:
+    """Common subsequence, share of weight, answer found, cosine, and the verdict on a passage and a window."""
+    common, share, found, good = _stands(block, weights, settings, passage, region, False)
+    near = cosine(weights, block.tokens[passage], region) if good else 0.0
+    return common, share, found, near, good and (near >= settings.cosine or dense(block, weights, settings, passage, region))
 
 
 def _hits(shared, settings: Settings, column: pa.Array):
@@ -296,9 +364,9 @@ def _hits(shared, settings: Settings, column: pa.Array):
     signed = hashes.view(np.int64)
     best: dict[tuple, tuple] = {}
     for block in blocks:
-        for t, a, b, p, cosine in candidates(block, weights, settings, hashes, offsets):
-            common, share, found, bad = check(block, weights, settings, p, signed[a:b])
-            key, value = (t, block.items[p]), (common / len(block.tokens[p]), cosine, common, len(block.tokens[p]), share, found)
+        for t, a, b, p in candidates(block, weights, hashes, offsets):
+            common, share, found, near, bad = check(block, weights, settings, p, signed[a:b])
+            key, value = (t, block.items[p]), (common / len(block.tokens[p]), near, common, len(block.tokens[p]), share, found)
             if bad and (key not in best or value > best[key]):
                 best[key] = value
     return best
@@ -321,7 +389,8 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text: str, settings: Settings
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row and benchmark item found in it:
-    ``doc_id, item_id, cosine, common_words, passage_words, weight_share, answer_found``.
+    ``doc_id, item_id, cosine, common_words, passage_words, weight_share, answer_found``; the cosine is
+    the largest of two neighbouring cells and the passage.
 
     Null and empty texts hold nothing; items that are null or shorter than ``min_words`` are not looked
     for; repeated items are found each; documents of equal or null id are searched each; other columns play

@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 
+from shelfmark.llm import contamination as C
 from shelfmark.llm import language_model as L
 from shelfmark.llm.contamination import Settings, common_subsequence, contamination, without_contamination
 from shelfmark.llm.sharding import Rooms, best_fit, even_bins, least_capacity, shard
@@ -224,3 +225,30 @@ def test_contamination_of_many_short_items(spark):
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contamination(df, benchmark).collect()}
     assert {(k, k) for k, _ in docs} <= got
+
+
+def test_contamination_finds_what_the_verdict_accepts(spark):
+    """Short items, whole or in part, are found wherever a stretch of four cells would be accepted."""
+    rng = random.Random(32)
+    word = lambda: f"w{int(1.0008 ** rng.randrange(12000))}"
+    items = {k: [word() for _ in range(rng.choice([5, 6, 7, 9, 12, 16, 40]))] for k in range(200)}
+    docs = []
+    for k in range(400):
+        body, copy = [word() for _ in range(rng.randrange(60, 200))], items[k % 200]
+        at = rng.randrange(len(body))
+        kept = copy if k < 200 else [w for w in copy if rng.random() < 0.75]
+        docs.append((k, " ".join([*body[:at], *kept, *body[at:]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    weights, settings = C.feature_weights(df), Settings()
+    [block] = C.prepare(benchmark, weights, settings)
+    want = set()
+    for k, text in docs:
+        hashes = C.words(*C.text_bytes(C.pa.array([text])))[0].view(C.np.int64)
+        stretches = [hashes[a: a + 128] for a in range(0, max(1, len(hashes) - 96), 32)]
+        here = set(hashes.tolist())
+        for p, tokens in enumerate(block.tokens):
+            if sum(t in here for t in tokens.tolist()) >= len(tokens) / 2 and any(C.check(block, weights, settings, p, s)[-1] for s in stretches):
+                want.add((k, int(block.items[p])))
+    assert {(k, k) for k in range(200)} <= want and sum(k % 200 == i for k, i in want) > 290
+    assert {(r.doc_id, r.item_id) for r in contamination(df, benchmark).collect()} == want
