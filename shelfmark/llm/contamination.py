@@ -357,13 +357,23 @@ def check(block: Passages, weights: np.ndarray, settings: Settings, passage: int
     return common, share, found, near, good and (near >= settings.cosine or dense(block, weights, settings, passage, region))
 
 
-def _hits(shared, settings: Settings, column: pa.Array):
-    """``{(text, item): (cosine, common, words, share, answer)}`` for the texts of a column; the best passage of each item."""
-    blocks, weights = shared
+def _loaded(passes: list) -> Iterator[tuple[Passages, np.ndarray]]:
+    """Each block and the weights; of several passes a worker holds one at a time."""
+    for shared in passes:
+        blocks, weights = shared.value
+        for block in blocks:
+            yield block, weights
+        if len(passes) > 1:
+            blocks = block = None
+            vars(shared).pop("_value", None)
+
+
+def _hits(passes: list, settings: Settings, column: pa.Array):
+    """``{(text, item): (part found, cosine, common, words, share, answer)}`` for the texts of a column; the best passage of each item."""
     hashes, offsets = words(*text_bytes(column))
     signed = hashes.view(np.int64)
     best: dict[tuple, tuple] = {}
-    for block in blocks:
+    for block, weights in _loaded(passes):
         for t, a, b, p in candidates(block, weights, hashes, offsets):
             common, share, found, near, bad = check(block, weights, settings, p, signed[a:b])
             key, value = (t, block.items[p]), (common / len(block.tokens[p]), near, common, len(block.tokens[p]), share, found)
@@ -372,7 +382,7 @@ def _hits(shared, settings: Settings, column: pa.Array):
     return best
 
 
-BLOCKS_AT_ONCE = 4  # blocks' words of the benchmark in one pass over the documents; bounds what is broadcast
+BLOCKS_AT_ONCE = 4  # blocks' words of the benchmark in one broadcast; bounds what a worker holds
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, text: str, settings: Settings):
@@ -400,26 +410,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | No
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     key, item = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {key}, item_id {item}, cosine double, common_words int, passage_words int, weight_share double, answer_found boolean"
-    found = docs.sparkSession.createDataFrame([], schema)
+    passes = list(_passes(rows, benchmark, "text", settings))
 
-    def search(shared):
-        def run(batches):
-            claim("contamination")
-            for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
-                    hits = _hits(shared.value, settings, part.column("text"))
-                    if hits:
-                        keys = list(hits)
-                        columns = list(zip(*hits.values(), strict=True))
-                        yield pa.RecordBatch.from_arrays([
-                            part.column("doc_id").take(pa.array([t for t, _ in keys])), pa.array([i for _, i in keys]), pa.array(columns[1]), pa.array(columns[2], pa.int32()),
-                            pa.array(columns[3], pa.int32()), pa.array(columns[4]), pa.array(columns[5])], schema.replace(",", "").split()[::2])
-
-        return run
+    def search(batches):
+        claim("contamination")
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                hits = _hits(passes, settings, part.column("text"))
+                if hits:
+                    keys = list(hits)
+                    columns = list(zip(*hits.values(), strict=True))
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("doc_id").take(pa.array([t for t, _ in keys])), pa.array([i for _, i in keys]), pa.array(columns[1]), pa.array(columns[2], pa.int32()),
+                        pa.array(columns[3], pa.int32()), pa.array(columns[4]), pa.array(columns[5])], schema.replace(",", "").split()[::2])
 
-    for shared in _passes(rows, benchmark, "text", settings):
-        found = found.unionByName(rows.mapInArrow(search(shared), schema))
-    return found
+    return rows.mapInArrow(search, schema) if passes else docs.sparkSession.createDataFrame([], schema)
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text: str = "text") -> DataFrame:
@@ -427,16 +432,13 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, settings: Setti
     settings = settings or Settings()
     kept = docs.withColumn("__text", F.col(text).cast("string"))
 
-    def keep(shared):
-        def run(batches):
-            claim("contamination")
-            for batch in batches:
-                for part in slices(batch, "__text", 4 << 20):
-                    bad = {t for t, _ in _hits(shared.value, settings, part.column("__text"))}
-                    yield part.filter(pa.array([t not in bad for t in range(part.num_rows)]))
+    passes = list(_passes(docs, benchmark, text, settings))
 
-        return run
+    def keep(batches):
+        claim("contamination")
+        for batch in batches:
+            for part in slices(batch, "__text", 4 << 20):
+                bad = {t for t, _ in _hits(passes, settings, part.column("__text"))}
+                yield part.filter(pa.array([t not in bad for t in range(part.num_rows)], pa.bool_()))
 
-    for shared in _passes(docs, benchmark, text, settings):
-        kept = kept.mapInArrow(keep(shared), T.StructType(kept.schema.fields))
-    return kept.drop("__text")
+    return (kept.mapInArrow(keep, T.StructType(kept.schema.fields)) if passes else kept).drop("__text")

@@ -252,3 +252,13 @@ def test_contamination_finds_what_the_verdict_accepts(spark):
                 want.add((k, int(block.items[p])))
     assert {(k, k) for k in range(200)} <= want and sum(k % 200 == i for k, i in want) > 290
     assert {(r.doc_id, r.item_id) for r in contamination(df, benchmark).collect()} == want
+
+
+def test_contamination_gives_one_row_for_an_item_of_several_passes(spark):
+    """The passages of a long item may come in different broadcasts; the best of them is its row."""
+    rng = random.Random(33)
+    item = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    df = spark.createDataFrame([(1, " ".join(item)), (None, " ".join(item)), (2, "nothing here")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = contamination(df, benchmark, Settings(block_words=100)).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.common_words) for r in rows) == [(0, 7, 64), (1, 7, 64)]
