@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.centroid_clusters import cluster
 from shelfmark.llm.contamination import contamination
+from shelfmark.llm.conversation_repair import damage, repair
 from shelfmark.llm.encoding import tokenizer_path
+from shelfmark.llm.exact_search import top_k
 from shelfmark.llm.language_model import score_texts
 from shelfmark.llm.metric_join import range_join
 from shelfmark.llm.near_duplicates import near_duplicates
@@ -134,3 +137,109 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     network = fit_quality(documents, table(spark, folder, "labels"))
     scores = score_quality(documents.select("doc_id", "text"), network)
     return scores.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_WHOLE_NUMBERS = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    nearest = """SELECT vec_id, v, c, d FROM (
+      SELECT kept.vec_id, kept.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - m.v[i]) * (kept.v[i] - m.v[i]))) AS d,
+             row_number() OVER (PARTITION BY kept.vec_id ORDER BY d, m.c) AS n FROM kept, m{0} m) WHERE n = 1"""
+    steps = ""
+    for r in range(rounds):
+        steps += f""", a{r} AS MATERIALIZED ({nearest.format(r)}),
+  m{r + 1} AS MATERIALIZED (
+    SELECT m.c, coalesce(s.v, m.v) AS v FROM m{r} m LEFT JOIN (
+      SELECT c, list(floor(x / n)::BIGINT ORDER BY i) AS v FROM (
+        SELECT c, i, sum(x)::DOUBLE AS x, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i)
+      GROUP BY c) s ON s.c = m.c)"""
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND {_WHOLE_NUMBERS}),
+  m0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {k})){steps},
+  found AS MATERIALIZED ({nearest.format(rounds)}),
+  per AS (SELECT c, sum(d)::BIGINT AS s FROM found GROUP BY c)
+SELECT vec_id, found.c::INTEGER AS cluster, d::BIGINT AS distance, s AS cluster_inertia, (SELECT sum(d)::BIGINT FROM found) AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM found JOIN per ON per.c = found.c JOIN m{rounds} m ON m.c = found.c"""
+
+
+@query(_clusters_sql())
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster(table(spark, folder, "embeddings"))
+
+
+_SEARCH_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND {_WHOLE_NUMBERS}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM ranked WHERE n <= 10"""
+
+
+@query(_SEARCH_SQL)
+def op12_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def _repair_sql() -> str:
+    """Rests of conversations from the last row backwards: ``cost audit|repaired`` for each state of the grammar as one text."""
+    after, put = {"_": "u", "s": "u", "u": "a", "a": "u"}, {"_": "user", "s": "user", "u": "assistant", "a": "user"}
+
+    def more(rest: str, cost: str, edit: str, line: str = "''") -> str:
+        audit, text = f"split_part(substr({rest}, 9), '|', 1)", f"substr({rest}, 9 + strpos(substr({rest}, 9), '|'))"
+        return f"lpad((substr({rest}, 1, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || '{edit}' || {audit} || '|' || {line} || {text}"
+
+    inserted = {q: f"'{put[q]}:' || chr(10)" for q in put}
+    raw = []
+    for q in put:
+        line = f"'{put[q]}:' || text || chr(10)"
+        system = f"WHEN 's' THEN {more('r.s', 'late', 'K', 'own')}" if q == "_" else ""
+        kept = f"CASE left(role, 1) {system} WHEN '{after[q]}' THEN {more('r.' + after[q], 'late', 'K', 'own')} END"
+        rerole = more("r." + after[q], "3 + late", "R", line)
+        allowed = "CASE WHEN fault NOT IN ('b', 'd') THEN"
+        raw.append(f"least({more('r.' + q, '4', 'D')}, {allowed} {rerole} END, {allowed} {kept} END) AS {q}")
+    u = f"least(u, {more('a', '3', 'I', inserted['u'])})"
+    closed = [f"least(_, {more('v', '3', 'I', inserted['_'])}) AS _", f"least(s, {more('v', '3', 'I', inserted['s'])}) AS s", "v AS u",
+              f"least(a, {more('u', '3', 'I', inserted['a'])}) AS a"]
+    crc = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda ch: ord(ch)::BIGINT)), lambda sum, byte:
+      list_reduce(list_prepend(xor(sum, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (SELECT *, {crc} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END) FROM kinds)
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM (SELECT *, rtrim(text, {space}) AS solid FROM placed)
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), rest AS (
+  SELECT conv_id, n AS i, '00000000|' AS _, '00000006II|user:' || chr(10) || 'assistant:' || chr(10) AS s,
+         '00000003I|assistant:' || chr(10) AS u, '00000000|' AS a FROM counted
+  UNION ALL
+  SELECT conv_id, i, {', '.join(closed)} FROM (SELECT *, {u} AS v FROM (
+    SELECT conv_id, i - 1 AS i, {', '.join(raw)} FROM (
+      SELECT f.*, struct_pack(_ := r._, s := r.s, u := r.u, a := r.a) AS r, CASE fault WHEN 't' THEN 3 ELSE 0 END AS late, role || ':' || text || chr(10) AS own
+      FROM rest r JOIN faulty f ON f.conv_id = r.conv_id AND f.i = r.i)))
+), found AS (SELECT conv_id, substr(_, 1, 8)::BIGINT AS cost, split_part(substr(_, 9), '|', 1) AS audit, substr(_, 9 + strpos(substr(_, 9), '|')) AS text FROM rest WHERE i = 0)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(text, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counted USING (conv_id) LEFT JOIN found USING (conv_id)"""
+
+
+@query(_repair_sql())
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair(damage(table(spark, folder, "conversations")))
