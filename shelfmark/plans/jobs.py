@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schema as S
 from shelfmark import vocabulary as V
+from shelfmark.functions import vectors as VX
 from shelfmark.operators import catalogue as C
 from shelfmark.operators import embedding as E
 from shelfmark.operators import quality as Q
@@ -17,6 +18,7 @@ from shelfmark.operators.redaction import with_record_text
 from shelfmark.session import stored
 from shelfmark.sources import readers as R
 from shelfmark.sources import writers as W
+from shelfmark.sources.commits import CommitLog, plan_commits, read_committed
 
 SCHEMA_VERSION = "catalogue-v2"
 IMAGE_POLICY = "Only rows with a stored image are searchable"
@@ -86,16 +88,20 @@ class FieldIncomplete(RuntimeError):
     """Rows are left without a complete vector."""
 
 
+COMMIT_ROWS = 1 << 20  # rows embedded between two entries of the log
+
+
 def build_field(
     spark: SparkSession, inventory: DataFrame, out: str, model: E.TextsToVectors, model_name: str, dim: int,
-    use_freq: bool = True, keep_unchanged: bool = False, batch: int = 64,
+    use_freq: bool = True, keep_unchanged: bool = False, batch: int = 64, commit_rows: int = COMMIT_ROWS,
 ) -> DataFrame:
     """VEC-9: vectors of every row under ``out/vectors``, with ``out/state`` and ``out/manifest``.
 
-    A finished field of the same configuration is reused; an unfinished one is
-    resumed; any other is started anew in its own folder (nothing is deleted).
-    With ``keep_unchanged`` vectors of the same model and text are carried over even
-    though the inventory changed, so only new and changed rows are embedded.
+    Rows are embedded in commits of about ``commit_rows`` rows, each durable by itself (SNK-7), so a build that
+    broke is resumed at the first range that the log does not have.  A finished field of the same configuration
+    is reused; any other is started anew in its own folder (nothing is deleted).  With ``keep_unchanged``
+    vectors of the same model and text are carried over even though the inventory changed, so only new and
+    changed rows are embedded.  ``out/state`` tells how far the last build came, and its error.
     """
     if not inventory.filter(_blank("image")).isEmpty():
         raise ValueError("the inventory holds rows without a stored image")
@@ -105,28 +111,51 @@ def build_field(
     kept = ("schema_version", "dim", "embed_url", "use_freq") if keep_unchanged else config.columns
     tag = wanted.select(F.sha2(F.to_json(F.struct(*kept)), 256).alias("t")).first()["t"][:16]
     vectors_path = f"{out}/vectors/config={tag}"
+    log = CommitLog(spark, vectors_path, settings["source_fingerprint"][:16])
 
-    texts = E.with_text_hash(with_record_text(inventory)).select("id", "name", "brand", "record_text", "text_hash")
-    texts = stored(texts, "texts")  # read four times below
+    texts_path = f"{out}/texts/build={log.build}"
+    if not R.path_exists(spark, f"{texts_path}/_SUCCESS"):  # made once for each inventory, whatever breaks later
+        texts = E.with_text_hash(with_record_text(inventory)).select("row_index", "id", "record_text", "text_hash")
+        texts.write.mode("overwrite").parquet(texts_path)
+    texts = spark.read.parquet(texts_path)
     if not E.empty_texts(texts).isEmpty():
         raise ValueError("one or more rows produced an empty text")
 
     def finish() -> DataFrame:
-        vectors = R.read_vectors(spark, vectors_path).join(texts.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
-        return vectors.select("id", "text_hash", "embedding")
-
-    old = R.read_manifest(spark, f"{out}/manifest", config.schema)
-    if E.config_matches(old, wanted) and E.missing_rows(texts, R.read_vectors(spark, vectors_path), dim).isEmpty():
+        vectors = read_committed(spark, vectors_path).filter(VX.is_complete(F.col("embedding"), dim))
+        return vectors.join(texts.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
+
+    open_rows = log.outside(texts).select("row_index", "id", "text_hash")
+    todo = E.missing_rows(open_rows, read_committed(spark, vectors_path), dim).select("row_index", F.lit(False).alias("done"))
+    todo = stored(todo, "todo")
+    plan = plan_commits(E.missing_batches(todo, commit_rows), commit_rows)
+    if not plan and E.config_matches(R.read_manifest(spark, f"{out}/manifest", config.schema), wanted):
         return finish()
-    todo = E.missing_rows(texts, R.read_vectors(spark, vectors_path), dim)
-    W.append_vectors(E.embed_column(todo, "record_text", "embedding", model, dim, batch), vectors_path)
-
-    counts = E.progress(texts, R.read_vectors(spark, vectors_path), dim).first()
-    state = wanted.withColumns({name: F.lit(counts[name]) for name in ("completed", "remaining")})
-    W.write_manifest(state.withColumn("updated_at", F.current_timestamp()), f"{out}/state")
-    left = E.missing_rows(texts, R.read_vectors(spark, vectors_path), dim).select("id").limit(Q.SAMPLE).collect()
-    if left:
-        raise FieldIncomplete(f"rows without a complete vector, e.g. {[r['id'] for r in left]}")
+
+    def save_state(left: int, error: str | None = None) -> None:
+        W.write_manifest(wanted.withColumns({
+            "completed": F.lit(settings["count"] - left), "remaining": F.lit(left), "last_error": F.lit(error).cast("string"),
+            "updated_at": F.current_timestamp()}), f"{out}/state")
+
+    left = sum(rows for _, _, rows in plan)
+    try:
+        for first, after, rows in plan:
+            within = F.col("row_index").between(first, after - 1)
+            part = texts.where(within)
+            if rows < after - first:  # some rows of the range have a vector
+                part = part.join(todo.where(within).select("row_index"), "row_index", "left_semi")
+            part = part.repartition(max(1, min(rows // (4 * batch), 4 * spark.sparkContext.defaultParallelism)))
+            log.commit(E.embed_column(part, "record_text", "embedding", model, dim, batch), first, after, dim)
+            left -= rows
+    except Exception as error:
+        save_state(left, f"{type(error).__name__}: {str(error)[:500]}")
+        raise
+    vectors = read_committed(spark, vectors_path)
+    counts = E.progress(texts, vectors, dim).first()
+    save_state(counts["remaining"])
+    if counts["remaining"]:
+        some = E.missing_rows(texts, vectors, dim).select("id").limit(Q.SAMPLE).collect()
+        raise FieldIncomplete(f"rows without a complete vector, e.g. {[r['id'] for r in some]}")
     W.write_manifest(wanted.withColumn("built_at", F.current_timestamp()), f"{out}/manifest")
     return finish()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -611,22 +612,23 @@ def missing_rows(spark, folder):
 # RE2 word edges are ASCII, so the SQL marks them by hand as "not next to a letter, digit or underscore"
 SQL_RECORD = f"""
   WITH r AS (
-    SELECT p_partkey, p_name, p_brand, p_type, lang, source, 'The ' || p_name || ' by ' || p_brand || ': ' || text AS told
-    FROM part JOIN documents ON p_partkey = doc_id),
+    SELECT p_partkey, p_name, p_brand, p_type, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           coalesce('The ' || p_name || ' by ' || p_brand || ': ' || text, '') AS told
+    FROM part LEFT JOIN documents ON p_partkey = doc_id),
   w AS (
     SELECT *, list_filter(string_split({sql_norm("p_name || ' ' || p_brand")}, ' '), lambda t: length(t) >= 3 AND t <> {sql_norm('p_type')}
       AND t <> {sql_norm('lang')} AND t <> {sql_norm('source')} AND NOT list_contains({sql_list(V.PROTECTED_WORDS)}, t)) AS words FROM r),
   p AS (SELECT *, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:' || array_to_string(words, '|') || ')($|[^\\p{{L}}\\p{{N}}_])' AS pat,
                regexp_replace(regexp_replace({sql_clean('told')}, '(?i)' || p_name, ' ', 'g'), '(?i)' || p_brand, ' ', 'g') AS t0 FROM w),
-  x AS (SELECT *, regexp_replace(regexp_replace(t0, pat, '\\1 \\2', 'g'), pat, '\\1 \\2', 'g') AS t1 FROM p)
-  SELECT p_partkey, 'Cannabis retail inventory product. Product category: ' || p_type || '. Format: ' || lang || '. Strain type: ' || source
-    || '. Product description: ' || trim(regexp_replace(t1, '\\s+', ' ', 'g'), ' .,:;-' || chr(10)) AS record_text FROM x"""
+  x AS (SELECT *, regexp_replace(regexp_replace(t0, pat, '\\1 \\2', 'g'), pat, '\\1 \\2', 'g') AS t1 FROM p),
+  d AS (SELECT *, trim(regexp_replace(t1, '\\s+', ' ', 'g'), ' .,:;-' || chr(10)) AS body FROM x)
+  SELECT p_partkey, concat_ws(' ', 'Cannabis retail inventory product.', 'Product category: ' || p_type || '.', CASE WHEN lang <> '' THEN 'Format: ' || lang || '.' END,
+    CASE WHEN source <> '' THEN 'Strain type: ' || source || '.' END, CASE WHEN body <> '' THEN 'Product description: ' || body END) AS record_text FROM d"""
 
 
 def part_records(spark, folder) -> DataFrame:
-    rows = part_inventory(spark, folder).filter(c("description") != "")
     empty = F.array().cast("array<string>")
-    return with_record_text(rows.withColumns({"effects": empty, "flavors": empty}))
+    return with_record_text(part_inventory(spark, folder).withColumns({"effects": empty, "flavors": empty}))
 
 
 @query(SQL_RECORD)
@@ -654,6 +656,13 @@ def part_index(spark, folder) -> DataFrame:
     return stored(I.search_index(rows).drop("descriptor"), "index")
 
 
+def _searched(spark, folder) -> DataFrame:
+    """The parts' search index with descriptors, ranks and the embeddings table's vectors."""
+    rows = part_inventory(spark, folder).withColumn("strain", c("category"))
+    vectors = table(spark, folder, "embeddings").select(F.concat(F.lit("item-"), c("vec_id").cast("string")).alias("id"), "embedding")
+    return I.with_vectors(I.with_browse_ranks(I.search_index(rows)), vectors)
+
+
 SQL_PART = f"""
   item AS (SELECT p_partkey, p_type, p_brand, p_name, {sql_norm('p_type')} AS scope,
                   {sql_norm('p_name')} AS n1, {sql_norm('p_brand')} AS n2, {sql_norm('p_type')} AS n3 FROM part)"""
@@ -807,9 +816,7 @@ def unified_search(spark, folder):
     Vectors are the embeddings table's, so some rows have none; a request's vector is the mean of a label.
     """
     part, bench = table(spark, folder, "part"), table(spark, folder, "benchmark")
-    rows = part_inventory(spark, folder).withColumn("strain", c("category"))
-    vectors = table(spark, folder, "embeddings").select(F.concat(F.lit("item-"), c("vec_id").cast("string")).alias("id"), "embedding")
-    index = stored(I.with_vectors(I.with_browse_ranks(I.search_index(rows)), vectors), "index")
+    index = stored(_searched(spark, folder), "index")
     first = part.agg(F.min("p_type").alias("p_type")).scalar()
 
     def asked(frame, number, q, category, offset, limit):
@@ -1064,6 +1071,47 @@ def field_resume(spark, folder):
     return vectors.groupBy("id").agg(F.count("text_hash").alias("versions"))
 
 
+def shape_model(sign: int, fails: bool = False) -> E.TextsToVectors:
+    """Lengths and counts of a text, which SQL can tell too, and ``sign``; with ``fails`` it breaks down at the word "outage"."""
+
+    def embed(texts: list[str]):
+        if fails and any("outage" in text for text in texts):
+            raise ConnectionError("the model is down")
+        return [[len(t), t.count(" "), t.count("e"), t.count("\n"), 100.0 * sign] for t in texts]
+
+    return embed
+
+
+@query(f"""
+  WITH told AS ({SQL_RECORD}),
+  span AS (SELECT min(p_partkey) AS a, (min(p_partkey) + max(p_partkey)) // 2 AS mid, (count(*) + 5) // 6 AS n FROM part),
+  text AS (SELECT p_partkey, CASE WHEN p_partkey = mid THEN record_text || ' Listed THC potency: outage.' ELSE record_text END AS t,
+                  CASE WHEN p_partkey < a + (mid - a) // n * n THEN 1 ELSE -1 END AS run FROM told, span),
+  raw AS (SELECT *, [length(t), length(t) - length(replace(t, ' ', '')), length(t) - length(replace(t, 'e', '')), length(t) - length(replace(t, chr(10), '')), 100 * run]::DOUBLE[] AS v FROM text)
+  SELECT 'item-' || p_partkey AS id, p_partkey AS row_index, (axis - 1)::INTEGER AS axis,
+         round(v[axis] / sqrt(list_dot_product(v, v)), 4) AS value, CASE WHEN run = 1 THEN 1 ELSE 2 END AS embedded_by
+  FROM raw, (SELECT unnest([1, 2, 3, 4, 5]) AS axis)""")
+def field_restart(spark, folder):
+    """SNK-7, VEC-9, WIN-2, SNK-5: a build whose model breaks down half-way, resumed by one that embeds only the rest, then found complete."""
+    empty = F.array().cast("array<string>")
+    rows = part_inventory(spark, folder).withColumns({"image": F.lit("assets/a.webp"), "effects": empty, "flavors": empty})
+    low, high, count = table(spark, folder, "part").agg(F.min("p_partkey"), F.max("p_partkey"), F.count("*")).first()
+    potency = F.when(c("row_index") == (low + high) // 2, F.lit("outage"))
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in R.INVENTORY.fields if f.name not in rows.columns}
+    inventory = stored(rows.withColumn("thc_text", potency).withColumns(missing).select(*R.INVENTORY.names), "inventory")
+    out, commit = work_dir(spark, "field"), -(-count // 6)
+    for model in (shape_model(1, fails=True), shape_model(-1), shape_model(-1, fails=True)):  # the last has nothing to do
+        try:
+            vectors = J.build_field(spark, inventory, out, model, "shape", 5, commit_rows=commit)
+        except PythonException as error:
+            if "the model is down" not in str(error):
+                raise
+    kept = W.metadata(inventory, vectors).select("id", "row_index").join(vectors, "id")
+    run = F.when(c("embedding")[4] > 0, 1).otherwise(2).alias("embedded_by")
+    return kept.select("id", "row_index", F.posexplode("embedding").alias("axis", "x"), run).select(
+        "id", "row_index", "axis", F.round(c("x").cast("double"), 4).alias("value"), "embedded_by")
+
+
 def table_stream(spark, folder, name) -> DataFrame:
     """The table as a stream of files, at most one file per batch."""
     schema = table(spark, folder, name).schema
@@ -1096,6 +1144,67 @@ def stream_latest_request(spark, folder):
     return spark.read.parquet(f"{out}/log").select(c("session").alias("conv_id"), c("seq").alias("turn"), "canonical")
 
 
+_MODES = " ".join(
+    f"WHEN '{kind}' THEN {sql}" for kind, sql in (("view", "' '"), ("click", "p_brand"), ("signup", "'zzzq ' || p_brand"), ("purchase", "p_name")))
+
+
+@query(f"""
+  WITH {SQL_CENTROIDS}, {SQL_PART},
+  newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1),
+  req AS (SELECT user_id AS session, event_id AS seq, CASE event_type {_MODES} ELSE 'Give me the ' || p_name || ' for social ' || p_type || ', not sleepy' END AS q,
+                 CASE WHEN event_id % 3 = 0 THEN p_type WHEN event_id % 3 = 1 THEN 'all' ELSE 'nope' END AS category, event_id % 4 AS o, 1 + event_id % 9 AS n
+          FROM newest LEFT JOIN part ON p_partkey = user_id),
+  known AS (SELECT n1 AS v FROM item UNION SELECT n2 FROM item UNION SELECT n3 FROM item),
+  shaped AS (SELECT *, {sql_norm('q')} AS phrase, {sql_norm('category')} AS category_norm FROM req),
+  moded AS (SELECT *, CASE WHEN trim(q) = '' THEN 'browse' WHEN phrase IN (SELECT v FROM known) THEN 'identity'
+      WHEN len(list_filter(string_split(phrase, ' '), lambda w: w <> '')) <= 3 AND length(phrase) >= 3
+           AND NOT list_has_any({sql_terms('phrase')}, {sql_list(V.INTENT_WORDS)}) THEN 'identity' ELSE 'outcome' END AS query_mode FROM shaped),
+  routed AS (SELECT *, CASE WHEN query_mode = 'browse' THEN CASE WHEN category_norm IN (SELECT scope FROM item) THEN category_norm ELSE '*' END
+                            WHEN category = 'all' THEN '*' ELSE category_norm END AS wanted,
+                    CASE WHEN query_mode = 'outcome' THEN {sql_canonical('phrase')} END AS query_text FROM moded),
+  asked AS (SELECT *, list_distinct({sql_terms(sql_norm('query_text'))}) AS terms FROM routed),
+  told AS (SELECT item.*, e.embedding, {sql_norm("concat_ws(' ', p_type, lang, source, 'The ' || p_name || ' by ' || p_brand || ': ' || text, p_name, p_type)")} AS descriptor
+           FROM item LEFT JOIN embeddings e ON vec_id = p_partkey LEFT JOIN documents ON doc_id = p_partkey),
+  fit AS (SELECT a.session, t.p_partkey, t.p_type, t.p_brand, t.p_name, query_mode,
+                 CASE WHEN query_mode = 'identity' THEN greatest({_WEIGHTS}) ELSE 1 END AS weight,
+                 CASE WHEN query_mode = 'outcome' THEN round({SQL_DOT.format('t.embedding', 'u.q')}
+                   + least(0.12::DOUBLE, 0.012::DOUBLE * len(list_filter(terms, lambda w: contains(descriptor, w)))), 7) END AS score
+          FROM asked a JOIN told t ON wanted = '*' OR wanted = t.scope LEFT JOIN unit_centroid u ON query_mode = 'outcome' AND u.label = length(query_text) % 10
+          WHERE query_mode <> 'outcome' OR t.embedding IS NOT NULL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC NULLS LAST, weight DESC, CASE WHEN query_mode = 'browse' THEN p_type END,
+                    CASE WHEN query_mode <> 'outcome' THEN p_brand END, CASE WHEN query_mode <> 'outcome' THEN p_name END, p_partkey) AS rank FROM fit WHERE weight > 0),
+  found AS (SELECT session, count(*) AS found FROM ranked GROUP BY session),
+  sizes AS (SELECT scope, count(*) AS size FROM item GROUP BY scope UNION ALL SELECT '*', count(*) FROM item)
+  SELECT r.session, r.seq, r.query_mode, CASE WHEN r.query_mode = 'identity' THEN coalesce(found, 0) ELSE coalesce(size, 0) END AS total, r.query_text,
+         coalesce(k.rank, 0) AS rank, coalesce(k.p_partkey, -1) AS row_index, coalesce(round(k.score * 1e4)::BIGINT, -1) AS score_e4
+  FROM routed r LEFT JOIN found USING (session) LEFT JOIN sizes ON sizes.scope = r.wanted
+  LEFT JOIN ranked k ON k.session = r.session AND k.rank > r.o AND k.rank <= r.o + r.n""")
+def stream_search(spark, folder):
+    """STR-2 into SCH-3: each user's events are requests of a session; the last one is answered, by browsing, identity or meaning."""
+    index = stored(_searched(spark, folder), "index")
+    means = stored(centroids(table(spark, folder, "embeddings"), ["label"]), "means")
+    part = table(spark, folder, "part").select(c("p_partkey").alias("session"), "p_name", "p_brand", "p_type")
+    text = F.concat(F.lit("Give me the "), "p_name", F.lit(" for social "), "p_type", F.lit(", not sleepy"))
+    for kind, told in (("view", F.lit(" ")), ("click", c("p_brand")), ("signup", F.concat(F.lit("zzzq "), "p_brand")), ("purchase", c("p_name"))):
+        text = F.when(c("event_type") == kind, told).otherwise(text)
+    category = F.when(c("seq") % 3 == 0, c("p_type")).when(c("seq") % 3 == 1, "all").otherwise("nope")
+    events = table_stream(spark, folder, "events").select(c("user_id").alias("session"), c("event_id").alias("seq"), c("ts").alias("asked_at"), "event_type")
+    stream = events.join(part, "session", "left").select(
+        "session", "seq", "asked_at", text.alias("q"), category.alias("category"), (c("seq") % 4).cast("int").alias("offset"), (1 + c("seq") % 9).cast("int").alias("limit"))
+
+    def embed(texts: DataFrame, text: str, vector: str) -> DataFrame:
+        label = (F.length(text) % 10).cast("int")
+        return texts.withColumn("label", label).join(means.withColumnRenamed("vector", vector), "label").drop("label")
+
+    out = work_dir(spark, "requests")
+    ST.latest_request_stream(stream, lambda requests: S.search(requests, index, embed, DIM), f"{out}/log", f"{out}/checkpoint", delay="30 days").awaitTermination()
+    log = spark.read.parquet(f"{out}/log")
+    last = log.groupBy("session").agg(F.max("seq").alias("seq"))  # of several batches each has answered its latest
+    return log.join(last, ["session", "seq"], "left_semi").select(
+        "session", "seq", "query_mode", "total", "query_text", F.coalesce(c("rank").cast("long"), F.lit(0)).alias("rank"),
+        F.coalesce("row_index", F.lit(-1)).alias("row_index"), F.coalesce(F.round(c("score") * 1e4).cast("long"), F.lit(-1)).alias("score_e4"))
+
+
 @query("SELECT doc_id::VARCHAR AS id, sha256(text) AS text_hash FROM documents WHERE regexp_matches(text, '\\S')")
 def stream_embedding(spark, folder):
     """STR-3: a second run over the same stream finds nothing left to embed."""

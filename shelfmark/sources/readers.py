@@ -9,29 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.staging import stage
 from shelfmark.schema import INVENTORY, LOOKUP_POST, RAW_POST, VECTOR
+from shelfmark.sources.files import path_exists
+from shelfmark.sources.json_arrays import read_json_arrays
 
 
 class InvalidSnapshot(ValueError):
     """A snapshot file is not a list of posts."""
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
 def read_posts(spark: SparkSession, path: str, schema: T.StructType = RAW_POST) -> DataFrame:
-    """SRC-1: all pages of a snapshot folder; every file must hold a list of posts.
+    """SRC-1: all pages of a snapshot folder, each a list of posts, with ``seq``, the order of the source.
 
-    A file that holds something else raises when the rows are first read.
+    Pages are cut into tasks by byte ranges, whatever their size.  A page that holds something else raises, at the latest
+    when the rows are read.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    posts = spark.read.schema(with_corrupt).option("multiLine", True).json(path)
+    parsed = stage(read_json_arrays(spark, path).select("seq", F.from_json("text", with_corrupt, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("post")))
+    posts = parsed.select("seq", "post.*")
     bad = F.col("_corrupt_record").isNotNull() | F.col("id").isNull()
     message = F.concat(F.lit("not a list of posts: "), F.coalesce(F.substring("_corrupt_record", 1, 80), F.lit("no id")))
     checked = posts.withColumn("id", F.when(bad, F.raise_error(message).cast("long")).otherwise(F.col("id")))

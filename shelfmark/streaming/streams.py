@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators.catalogue import latest_per_key
+from shelfmark.operators.catalogue import latest_per_key  # noqa: F401  the batch form of STR-1
 from shelfmark.operators.embedding import TextsToVectors, embed_column, missing_rows
+from shelfmark.session import stored
+from shelfmark.sources.merged import MergedTable
 from shelfmark.sources.readers import read_vectors
 from shelfmark.sources.writers import append_vectors
+from shelfmark.streaming.sessions import PROVIDER, ROCKS, latest_requests
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict, mode="append") -> StreamingQuery:
@@ -24,51 +27,51 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     return writer.foreachBatch(each).trigger(**trigger).start()
 
 
-def running_latest(stream: DataFrame, key, version, seq) -> DataFrame:
-    """STR-1, STR-2: the newest row of each key, kept in the state store.
-
-    Run it in update mode: a batch then emits only the keys it changed.
-    """
-    return latest_per_key(stream, key, version, seq)
-
-
 def upsert_stream(
     stream: DataFrame, key, version, seq, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """STR-1: each batch writes the rows that became the newest of their key under ``batch=<n>``.
+    """STR-1: each batch is merged into the table under ``out``, which holds the newest row of each key.
 
-    A replayed batch overwrites its own folder, so the log never holds one twice.
+    The table is its own state: a batch adds the newest row of each of its keys as a run, and runs are merged now and then.
     """
+    table = MergedTable(stream.sparkSession, out, key, version, seq)
+    return _start(stream, lambda rows, batch: table.add(rows, checkpoint, batch), checkpoint, trigger or {"availableNow": True})
 
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    return _start(running_latest(stream, key, version, seq), write, checkpoint, trigger or {"availableNow": True}, "update")
+def read_upserts(spark, out: str, key, version, seq) -> DataFrame:
+    """The current table of ``upsert_stream``."""
+    return MergedTable(spark, out, key, version, seq).read()
 
 
-def read_upserts(spark, out: str, key, version, seq) -> DataFrame:
-    """The current table behind an upsert log: the newest change of each key."""
-    return latest_per_key(spark.read.parquet(out).drop("batch"), key, version, seq)
+DAY_MS = 24 * 3600 * 1000
 
 
 def latest_request_stream(
-    stream: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, trigger: dict | None = None
+    stream: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, trigger: dict | None = None,
+    ttl_ms: int = DAY_MS, delay: str = "1 hour",
 ) -> StreamingQuery:
     """STR-2: only the latest request of each session is answered; earlier ones are superseded.
 
-    ``stream``: ``session, seq, q, category, offset, limit``.  ``answer`` gets the request
-    table of a batch with a ``query_id`` of its own for each session and turn, and returns it
-    with each row; the log has ``session`` and ``seq`` instead.
+    ``stream``: ``session, seq, q, category, offset, limit`` and perhaps ``asked_at``.  ``answer``, which may be ``search``, gets
+    the requests of a batch numbered by ``query_id`` (long) and returns it with each row; the log has
+    ``session`` and ``seq`` instead.  A session is forgotten ``ttl_ms`` after its last request.
     """
 
     def write(latest: DataFrame, batch: int) -> None:
-        requests = latest.withColumn("query_id", F.to_json(F.struct("session", "seq")))
+        requests = stored(latest.withColumn("query_id", F.monotonically_increasing_id()), "requests")
+        if requests.isEmpty():
+            return
         asked = requests.select("query_id", "session", "seq")
-        answered = answer(requests).join(asked, "query_id").drop("query_id")
+        answered = answer(requests.drop("session", "seq", "asked_at")).join(asked, "query_id").drop("query_id")
         answered.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    latest = stream.groupBy("session").agg(F.max_by(F.struct(*[c for c in stream.columns if c != "session"]), "seq").alias("r"))
-    return _start(latest.select("session", "r.*"), write, checkpoint, trigger or {"availableNow": True}, "update")
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKS)  # of this query: it is read when the query starts
+    try:
+        return _start(latest_requests(stream, ttl_ms, delay), write, checkpoint, trigger or {"availableNow": True})
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
 
 
 def embedding_stream(
