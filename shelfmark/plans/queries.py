@@ -1071,6 +1071,89 @@ def field_resume(spark, folder):
     return vectors.groupBy("id").agg(F.count("text_hash").alias("versions"))
 
 
+PAGE = 2000  # posts in a page of the made snapshots
+
+
+def write_pages(posts: DataFrame, page, order, path: str) -> None:
+    """Posts as snapshot pages: one JSON array a file, in the given order."""
+    told = posts.select(page.alias("page"), order.alias("o"), F.to_json(F.struct(*posts.columns)).alias("post"))
+    pages = told.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "post"))), lambda p: p["post"]).alias("posts"))  # PAGE posts
+    text = F.concat(F.lit("[\n"), F.array_join("posts", ",\n"), F.lit("\n]\n"))
+    pages.select("page", text.alias("value")).repartition("page").write.partitionBy("page").option("lineSep", "\n").text(path)
+
+
+@query(f"""
+  SELECT row_number() OVER (ORDER BY p_partkey // {PAGE}, p_partkey DESC) AS place, p_partkey AS id, p_name || ' "quoted\\" }}]{{[ ' || p_brand AS title
+  FROM part""")
+def snapshot_scan(spark, folder):
+    """SRC-1: pages of posts, newest first, cut into small blocks, with the order of the source."""
+    name = F.concat("p_name", F.lit(' "quoted\\" }]{[ '), "p_brand")
+    none = F.lit(None).cast("string")
+    posts = table(spark, folder, "part").select(c("p_partkey").alias("id"), F.struct(name.alias("rendered"), none.alias("raw")).alias("title"))
+    out = work_dir(spark, "snapshot")
+    write_pages(posts, F.floor(c("id") / PAGE), -c("id"), out)
+    read = R.read_posts(spark, out)
+    return global_rank(read.select("seq", "id", c("title.rendered").alias("title")), [], ["seq"], "place").select("place", "id", "title")
+
+
+@query(f"""
+  WITH post AS (
+    SELECT *, 'item-P' || p_partkey AS id, 'http://img.example/' || p_partkey || '.png' AS url,
+           CASE WHEN p_partkey % 4 = 1 THEN p_name || ' newer' ELSE p_name END AS name FROM part
+    LEFT JOIN nation ON p_size = n_nationkey LEFT JOIN region ON p_size = r_regionkey WHERE p_type <> 'PROMO'),
+  file AS (SELECT *, substr(sha256(id || chr(10) || url), 1, {V.ASSET_DIGEST_CHARS}) || '.webp' AS file,
+                  p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AS usable FROM post),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY usable ORDER BY coalesce(r_name, 'Cannabis'), coalesce(n_name, ''), name, id) - 1 AS place FROM file),
+  counts AS (SELECT count(*) FILTER (usable) AS searchable_products, count(*) FILTER (NOT usable) AS missing_image_products,
+                    (SELECT count(*) + count(*) FILTER (p_partkey % 4 < 2) FROM part) AS raw_products, (SELECT count(*) FROM part) AS deduped_products FROM file)
+  SELECT id, name, n_name AS brand, coalesce(r_name, 'Cannabis') AS category, CASE WHEN usable THEN place ELSE -1 END AS row_index,
+         CASE WHEN usable THEN 'assets/inventory/' || file END AS image, CASE WHEN NOT usable THEN 'no usable image file' END AS image_error, counts.*
+  FROM placed, counts""")
+def catalogue_job(spark, folder):
+    """SRC-1, SRC-2, SRC-5, SRC-6, SRC-7, AGG-1, AGG-2, AGG-7, SNK-1 … SNK-4: the whole catalogue job over files.
+
+    Posts come newest first, so that of two versions of one time the first seen has the greater number; every lookup
+    id stands twice, the last name counts; some assets are missing or stubs; a second run finds the work done.
+    """
+    out = work_dir(spark, "catalogue")
+    posts = part_posts(spark, folder)
+    later = F.when(c("id") % 4 == 0, F.lit(" later")).when(c("id") % 4 == 1, F.lit(" newer"))
+    versions = F.when(later.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    both = posts.withColumns({"later": later, "v": F.explode(versions)})
+    second = c("v") == 1
+    made = both.select(
+        (2 * c("id") + 1 - c("v")).alias("id"),
+        F.struct(F.when(second, F.concat("title.rendered", "later")).otherwise(c("title.rendered")).alias("rendered"), c("title.raw").alias("raw")).alias("title"),
+        "content", "excerpt", "meta", "link",
+        F.when(second & (c("later") == " newer"), F.lit("2026-02-01T00:00:00")).otherwise(c("modified_gmt")).alias("modified_gmt"), "modified")
+    write_pages(made, F.floor(c("id") / PAGE), -c("id"), f"{out}/products")
+
+    def lookup(name, key, shown, folder_name):
+        old = F.struct(F.concat(F.lit("old "), shown).alias("rendered"))
+        rows = table(spark, folder, name).select(c(key).cast("long").alias("id"), F.explode(F.array(old, F.struct(c(shown).alias("rendered")))).alias("title"))
+        write_pages(rows, F.lit(0), F.when(F.startswith("title.rendered", F.lit("old ")), F.lit(0)).otherwise(1), f"{out}/{folder_name}")
+
+    lookup("nation", "n_nationkey", "n_name", "brands")
+    lookup("region", "r_regionkey", "r_name", "categories")
+    key = c("p_partkey").cast("string")
+    digest = L.asset_digest(F.concat(F.lit("item-P"), key), F.concat(F.lit("http://img.example/"), key, F.lit(".png")))
+    files = table(spark, folder, "part").where("p_partkey % 5 <> 0").select(
+        F.concat(F.lit("store/"), digest, F.lit(".webp")).alias("path"), F.when(c("p_partkey") % 3 == 0, 100).otherwise(600).alias("length"))
+    files.write.parquet(f"{out}/listing.parquet")
+    options = J.CatalogueOptions(
+        base="https://shop.example", products=f"{out}/products", assets=f"{out}/listing.parquet", minimum=1,
+        lookups={name: f"{out}/{name}" for name in ("brands", "categories", "strains")})
+    for _ in range(2):
+        inventory = J.build_catalogue(spark, options, f"{out}/site")
+    shown = ["id", "name", F.nullif("brand", F.lit("")).alias("brand"), "category", "row_index", "image", "image_error"]
+    rejects = spark.read.schema(T.StructType([*R.INVENTORY.fields, T.StructField("image_error", T.StringType())])).json(f"{out}/site/rejects")
+    rows = inventory.withColumn("image_error", F.lit(None).cast("string")).select(*shown).unionByName(
+        rejects.withColumns({"row_index": F.lit(-1).cast("long"), "image": F.lit(None).cast("string")}).select(*shown))
+    counts = ("raw_products", "deduped_products", "searchable_products", "missing_image_products")
+    manifest = R.read_manifest(spark, f"{out}/site/manifest", T.StructType([T.StructField(n, T.LongType()) for n in counts]))
+    return rows.select("*", *[manifest.select(n).scalar().alias(n) for n in counts])
+
+
 def shape_model(sign: int, fails: bool = False) -> E.TextsToVectors:
     """Lengths and counts of a text, which SQL can tell too, and ``sign``; with ``fails`` it breaks down at the word "outage"."""
 

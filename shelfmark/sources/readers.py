@@ -81,8 +81,15 @@ def read_flat_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: names and sizes of stored files; their content is never read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    """SRC-5: names and sizes of stored files; their content is never read.
+
+    ``path``: the folder, or a listing of it as a Parquet table of ``path, length`` (a name ending in .parquet), such as stores
+    make of folders that are too large to be listed by one machine.
+    """
+    if path.rstrip("/").endswith(".parquet"):
+        files = spark.read.parquet(path).select("path", F.col("length").cast("long").alias("length"))
+    else:
+        files = spark.read.format("binaryFile").load(path).select("path", "length")
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
