@@ -35,10 +35,16 @@ def clamp(offset: Column, limit: Column, default: int, most: int) -> list[Column
     ]
 
 
+def named(requests: DataFrame, *names: str) -> list[Column]:
+    """SRT-4: the columns of a request that may stand for one of its fields, those that are there."""
+    return [F.col(name) for name in names if name in requests.columns]
+
+
 def prepare_requests(requests: DataFrame) -> DataFrame:
+    """A category may also be told as ``type``."""
     c = F.col
     trimmed = X.strip_space(F.coalesce(c("q"), F.lit("")))
-    category = X.first_filled(c("category"), F.lit("all"))
+    category = X.first_filled(*named(requests, "category", "type"), F.lit("all"))
     shaped = requests.select("query_id", trimmed.alias("q"), category.alias("category"),
                              *clamp(c("offset"), c("limit"), 24, 100))
     return shaped.select(
@@ -149,11 +155,77 @@ def identity_matches(requests: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def identity_pages(requests: DataFrame, matches: DataFrame) -> DataFrame:
-    most = requests.agg(F.max("need")).first()[0] or 1
-    order = [F.desc("weight"), F.asc("brand"), F.asc("name"), F.asc("row_index")]
-    ranked = top_n(matches, ["query_id"], order, int(most))
-    return _cut(ranked.withColumn("score", F.lit(None).cast("double")), requests)
+_BEST = ("brand", "name", "row_index")  # of rows of one weight
+
+
+def _posting_lists(index: DataFrame, hits: DataFrame, need: int) -> DataFrame:
+    """The first ``need`` rows of each matched value, in the whole catalogue and in each scope, as ``value, place, rank, ...``.
+
+    A literal bound cuts every partition before the shuffle, so a value with very many rows sends few of them.
+    """
+    rows = index.select("row_index", "id", "scope", "brand", "name", F.explode(F.array_distinct("identity")).alias("value"))
+    rows = rows.join(hits.select("value").distinct(), "value", "left_semi")
+    order = [F.asc(n) for n in _BEST]
+    whole = top_n(rows.withColumn("place", F.lit(WHOLE)), ["value"], order, need)
+    scoped = top_n(rows.withColumn("place", F.col("scope")), ["value", "place"], order, need)
+    return whole.unionByName(scoped).drop("scope")
+
+
+def identity_pages(requests: DataFrame, hits: DataFrame, index: DataFrame) -> DataFrame:
+    """SCH-2: the page of each request by merging the posting lists of the values that hold its phrase.
+
+    ``hits``: ``phrase_matches``, stored.  A row of the first ``need`` stands among the first ``need`` of a list, and the list's first
+    row stands before it; a row has three values at most.  So of a request's values, in order of weight and of their
+    first rows, three times ``need`` are looked at, and ``need`` rows of each: never all rows that hold a phrase.
+    """
+    c = F.col
+    need = int(requests.agg(F.max("need")).first()[0] or 1)
+    lists = stored(_posting_lists(index, hits, need), "postings")
+    asked = requests.filter(c("phrase") != "").groupBy("phrase", c("scope").alias("place")).agg(F.max("need").alias("need"))
+    heads = lists.filter("rank = 1").select("value", "place", *_BEST)
+    order = [F.desc("weight"), *[F.asc(n) for n in _BEST]]
+    values = top_n(asked.join(hits, "phrase").join(heads, ["value", "place"]), ["phrase", "place"], order, 3 * need, "turn")
+    values = values.filter(c("turn") <= 3 * c("need")).select("phrase", "place", "need", "value", "weight")
+    rows = values.join(lists, ["value", "place"]).filter(c("rank") <= c("need")).groupBy("phrase", "place", "row_index").agg(
+        F.max("weight").alias("weight"), *[F.first(n).alias(n) for n in ("id", "brand", "name")])
+    ranked = top_n(rows, ["phrase", "place"], order, need).withColumnRenamed("place", "scope")
+    pages = ranked.join(requests.select("query_id", "phrase", "scope", "offset", "need"), ["phrase", "scope"])
+    return pages.filter((c("rank") > c("offset")) & (c("rank") <= c("need"))).drop("offset", "need").withColumn(
+        "score", F.lit(None).cast("double"))
+
+
+def identity_totals(requests: DataFrame, hits: DataFrame, index: DataFrame) -> DataFrame:
+    """AGG-6: ``query_id, found``, the rows that hold each request's phrase, from counts of values.
+
+    A row counts once although it may hold the phrase in several values: rows of single values are added, those of pairs of
+    values that both hold it taken away, and those of triples added again.
+    """
+    c = F.col
+    values = F.filter(F.array_sort(F.array_distinct("identity")), lambda v: v != "")
+    phrases = hits.groupBy("value").agg(F.collect_set("phrase").alias("phrases"))  # parts of one value
+    rows = index.select("scope", values.alias("v")).groupBy("scope", "v").agg(F.count("*").alias("n"))
+    rows = rows.filter(F.size("v") > 0)
+
+    def some(k: int) -> DataFrame:
+        if k == 1:
+            sets = F.transform("v", lambda x: F.array(x))
+        elif k == 2:
+            sets = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, 3), lambda y: F.array(x, y))))
+        else:
+            sets = F.when(F.size("v") == 3, F.array(c("v"))).otherwise(F.array().cast("array<array<string>>"))
+        counted = rows.select("scope", "n", F.explode(sets).alias("s")).groupBy("scope", "s").agg(F.sum("n").alias("n"))
+        for i in range(k):
+            one = phrases.select(c("value").alias(f"v{i}"), c("phrases").alias(f"p{i}"))
+            counted = counted.withColumn(f"v{i}", c("s")[i]).join(one, f"v{i}")
+        both = c("p0")
+        for i in range(1, k):
+            both = F.array_intersect(both, f"p{i}")
+        return counted.select("scope", (c("n") * (1 if k % 2 else -1)).alias("n"), F.explode(both).alias("phrase"))
+
+    per_scope = some(1).unionByName(some(2)).unionByName(some(3)).groupBy("phrase", "scope").agg(F.sum("n").alias("found"))
+    per_scope = stored(per_scope, "found")
+    whole = per_scope.groupBy("phrase").agg(F.sum("found").alias("found")).withColumn("scope", F.lit(WHOLE))
+    return requests.select("query_id", "phrase", "scope").join(per_scope.unionByName(whole), ["phrase", "scope"]).select("query_id", "found")
 
 
 def _cut(ranked: DataFrame, requests: DataFrame) -> DataFrame:
@@ -183,10 +255,10 @@ def hybrid_pages(requests: DataFrame, index: DataFrame, embed: Embedder, dim: in
 # ---------------------------------------------------------------- the service as one job
 
 def totals(routed: DataFrame, index: DataFrame, matches: DataFrame) -> DataFrame:
-    """AGG-6: rows each request ranges over before paging."""
+    """AGG-6: rows each request ranges over before paging.  ``matches``: ``query_id, found``, or a row for each row found."""
     c = F.col
     sized = routed.join(scope_sizes(index), "scope", "left")
-    found = matches.groupBy("query_id").agg(F.count("*").alias("found"))
+    found = matches if "found" in matches.columns else matches.groupBy("query_id").agg(F.count("*").alias("found"))
     total = F.when(c("query_mode") == "identity", c("found")).otherwise(c("total"))
     text = F.when(c("query_mode") == "outcome", X.canonical_query(c("q")))
     return sized.join(found, "query_id", "left").select(
@@ -202,31 +274,36 @@ def search(requests: DataFrame, index: DataFrame, embed: Embedder, dim: int) ->
     """
     routed = stored(route(prepare_requests(requests), index), "routed")  # read by every branch below
     branch = {m: routed.filter(F.col("query_mode") == m) for m in ("browse", "identity", "outcome")}
-    matches = stored(identity_matches(branch["identity"], index), "matches")  # pages and totals
+    phrases = branch["identity"].select("phrase").filter(F.col("phrase") != "").distinct()
+    hits = stored(phrase_matches(phrases, identity_values(index)), "hits")  # pages and totals
     columns = ["query_id", "rank", "row_index", "id", "score"]
     pages = (
         browse_pages(branch["browse"], index).select(*columns)
-        .unionByName(identity_pages(branch["identity"], matches).select(*columns))
+        .unionByName(identity_pages(branch["identity"], hits, index).select(*columns))
         .unionByName(hybrid_pages(branch["outcome"], index, embed, dim).select(*columns))
     )
-    return totals(routed, index, matches).join(pages, "query_id", "left").select(*RESULT)
+    return totals(routed, index, identity_totals(branch["identity"], hits, index)).join(pages, "query_id", "left").select(*RESULT)
 
 
 # ---------------------------------------------------------------- VEC-3, the second service
 
-def semantic_search(requests: DataFrame, rows: DataFrame, embed: Embedder, dim: int) -> DataFrame:
+def semantic_search(requests: DataFrame, rows: DataFrame, embed: Embedder, dim: int, browser: bool = False) -> DataFrame:
     """Pure dot-product order.  ``rows``: a stored table of ``row_index, id, category_label, embedding``.
 
+    A text may also be told as ``query`` or ``text``, a category as ``type``, a limit as ``k``.  The service compares a
+    request's trimmed category with a row's own; ``browser`` has the rule of the page, which trims both (FLT-4).
     A request whose page is empty has one row without ``rank``.
     """
     c = F.col
-    scope = F.lower(X.strip_space(X.first_filled(c("category"), F.lit("all"))))
+    scope = F.lower(X.strip_space(X.first_filled(*named(requests, "category", "type"), F.lit("all"))))
+    limits = [F.nullif(limit, F.lit(0)) for limit in named(requests, "limit", "k")]
     asked = requests.select(
-        "query_id", X.strip_space(F.coalesce(c("q"), F.lit(""))).alias("q"),
+        "query_id", X.strip_space(X.first_filled(*named(requests, "q", "query", "text"), F.lit(""))).alias("q"),
         F.when(scope == "all", F.lit(WHOLE)).otherwise(scope).alias("scope"),
-        *clamp(c("offset"), c("limit"), 50, 250),
+        *clamp(c("offset"), F.coalesce(*limits), 50, 250),
     ).withColumn("need", c("offset") + c("limit"))
-    items = rows.select("row_index", "id", "embedding", F.lower("category_label").alias("scope"))
+    own = F.lower(X.strip_space(c("category_label")) if browser else c("category_label"))
+    items = rows.select("row_index", "id", "embedding", own.alias("scope"))
 
     texts = asked.filter(c("q") != "")
     queries = embed(texts, "q", "vector").select(

@@ -713,9 +713,10 @@ def identity_lookup(spark, folder):
     requests = S.prepare_requests(asked.select(
         F.xxhash64("q").alias("query_id"), "q", F.lit("all").alias("category"), F.lit(0).alias("offset"), F.lit(0).alias("limit")))
     requests = requests.filter(c("phrase") != "").withColumn("scope", F.lit(I.WHOLE))
-    matches = stored(S.identity_matches(requests, index), "matches")
-    found = matches.groupBy("query_id").agg(F.count("*").alias("total"))
-    pages = S.identity_pages(requests, matches).join(found, "query_id").join(requests.select("query_id", "q"), "query_id")
+    requests = stored(requests, "requests")
+    hits = stored(S.phrase_matches(requests.select("phrase").distinct(), I.identity_values(index)), "hits")
+    found = S.identity_totals(requests, hits, index).withColumnRenamed("found", "total")
+    pages = S.identity_pages(requests, hits, index).join(found, "query_id").join(requests.select("query_id", "q"), "query_id")
     return pages.select("q", c("rank").cast("long"), c("row_index").alias("p_partkey"), "total")
 
 
