@@ -56,6 +56,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of rolling hashes and of its inverse, ``n`` at least."""
+    return _power_tables(n)
+
+
 _holder: list = []
 
 

@@ -145,8 +145,13 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
 
 
 def read_ids(spark: SparkSession, folder: str, doc_id: int, start: int = 0, count: int | None = None) -> np.ndarray:
-    """Random access: ids ``start ..`` of one document; only its block is read."""
-    row = spark.read.parquet(folder).where(F.array_contains("doc_ids", doc_id)).select(
-        "offsets", "bits", "payload", F.array_position("doc_ids", doc_id).alias("at")).head()
+    """Random access: ids ``start ..`` of one document; only the payload of its block is unpacked, and there from its first id on.
+
+    No ids if no document has this id; those of the first in the order of the files if several have it.
+    """
+    held = spark.read.parquet(folder).where(F.array_contains("doc_ids", doc_id))
+    row = held.orderBy("part", "block").select("offsets", "bits", "payload", F.array_position("doc_ids", doc_id).alias("at")).head()
+    if row is None:
+        return np.zeros(0, dtype=np.uint32)
     first, end = row.offsets[row.at - 1], row.offsets[row.at]
     return unpack_bits(bytes(row.payload), row.bits, first + start, max(0, end - first - start if count is None else min(count, end - first - start)))

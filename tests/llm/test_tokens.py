@@ -120,3 +120,29 @@ def test_packing(odd_docs, length, windows):
 
 def test_packing_of_nothing(no_docs):
     assert pack(no_docs, WORD, end_id=2).count() == 0
+
+
+def test_ids_of_absent_and_repeated_documents(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "three"), (4, "")], "doc_id long, text string")
+    folder = work_dir(spark, "test-files")
+    write_token_files(docs, BYTE, folder, end_id=0)
+    assert read_ids(spark, folder, 2).tolist() == [] and read_ids(spark, folder, 4).tolist() == [0]
+    assert read_ids(spark, folder, 1).tolist() == [*whole(BYTE, ["one two"])[0], 0]
+    assert read_ids(spark, folder, 1, start=1, count=1).tolist() == whole(BYTE, ["one two"])[0][1:2]
+
+
+def test_encoder_on_pieces_of_every_kind():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    parts = [" ", "\n", "\n\n", "\r\n", "\t", "a", "B", "é", "É", "×", "÷", "à,", "ab.", "<|endoftext|>", "<|EndOfText|>", "1", "23", "'s", "'S", "!", "...", "_", "́",
+             "\x00", "\x1f", "\x85", "\xa0", "İ", "ß", "’", '"', "%", "º", "Ã", "x" * 70, "y" * 63]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for path in (BYTE, WORD):
+        encoder = Encoder(path, 40)                                   # the table overflows again and again
+        for start in range(0, 3000, 700):
+            part = texts[start: start + 700]
+            ids, offsets = encoder.encode(pa.array(part))
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == whole(path, part)
