@@ -58,14 +58,20 @@ def _joined(names):
     return F.array_join(F.array_distinct(kept), ", ")
 
 
+HOT = 1000  # of a join's keys so many, the most frequent, are met by broadcast
+
+
 def resolve_lookups(rows: DataFrame, columns: dict[str, str], lookups: dict[str, DataFrame]) -> DataFrame:
     """Replace each ``array<struct<key, text>>`` column by its names joined with ', '.
 
     A key without a name is dropped.  The names of a row depend on its items alone, so each distinct
     set of items is resolved once, by an equi-join with the lookup tables, and joined back by content:
-    rows need no key of their own.
+    rows need no key of their own.  Items without a key have no part in the join, and keys that many sets share are
+    joined by broadcast as far as they are frequent; so are frequent sets when they go back to their rows.
+    ``rows`` is read more than once and should be stored.
     """
-    given = F.struct(*[F.col(column) for column in columns])
+    c = F.col
+    given = F.struct(*[c(column) for column in columns])
     rows = rows.withColumn("__items", F.sha2(F.to_json(given), 256))
     tagged = F.concat(*[
         F.transform(F.coalesce(column, F.array().cast("array<struct<key: bigint, text: string>>")), lambda i, n: F.struct(
@@ -73,23 +79,36 @@ def resolve_lookups(rows: DataFrame, columns: dict[str, str], lookups: dict[str,
             i["text"].alias("text")))
         for column, table in columns.items()
     ])
-    distinct = rows.groupBy("__items").agg(F.first(given).alias("given")).select("__items", "given.*")
+    distinct = rows.groupBy("__items").agg(F.first(given).alias("given"), F.count("*").alias("__n")).select("__items", "__n", "given.*")
     items = distinct.select("__items", F.explode(tagged).alias("item")).select("__items", "item.*")
     names = None
     for table in sorted(set(columns.values())):
         mine = lookups[table].select(F.lit(table).alias("lookup"), "key", "name")
         names = mine if names is None else names.unionByName(mine)
-    resolved = items.join(names, ["lookup", "key"], "left").withColumn(
-        "shown", F.when(F.col("key").isNotNull(), F.col("name")).otherwise(F.col("text")))
-    per_set = resolved.groupBy("__items").agg(*[
+    keyed = items.where("key is not null")
+    named = _join_frequent(keyed, names, ["lookup", "key"], keyed.groupBy("lookup", "key").agg(F.count("*").alias("__n")), "left").select("__items", "column", "pos", c("name").alias("shown"))
+    free = items.where("key is null").select("__items", "column", "pos", c("text").alias("shown"))
+    per_set = named.unionByName(free).groupBy("__items").agg(*[
         _joined(F.transform(F.sort_array(F.collect_list(
-            F.when(F.col("column") == column, F.struct("pos", "shown")))), lambda i: i["shown"])).alias(column)
+            F.when(c("column") == column, F.struct("pos", "shown")))), lambda i: i["shown"])).alias(column)
         for column in columns
     ])
-    filled = rows.drop(*columns).join(per_set, "__items", "left").drop("__items")
+    filled = _join_frequent(rows.drop(*columns), per_set, ["__items"], distinct.select("__items", "__n"), "left").drop("__items")
     return filled.fillna("", list(columns))
 
 
+def _join_frequent(rows: DataFrame, side: DataFrame, on: list[str], counts: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``side``, one row per key, by keys that are never null; ``counts``: ``__n`` rows of each key.
+
+    Every key with more than a HOT-th of the rows is among the HOT most frequent: these meet their part of ``side`` by
+    broadcast, and their rows are not shuffled.
+    """
+    hot = counts.orderBy(F.desc("__n"), *on).limit(HOT).select(*on)
+    often = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(side.join(F.broadcast(hot), on, "left_semi")), on, how)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(side, on, how)
+    return often.unionByName(rest)
+
+
 # ---------------------------------------------------------------- FLD-10 normalise
 
 def normalize_posts(

@@ -34,6 +34,7 @@ from shelfmark.plans import jobs as J
 from shelfmark.session import ship_package, stored, work_dir
 from shelfmark.sources import readers as R
 from shelfmark.sources import writers as W
+from shelfmark.sources import zones as Z
 from shelfmark.streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -693,6 +694,24 @@ def browse_page(spark, folder):
         "category", c("rank").cast("long"), c("row_index").alias("p_partkey"), "total")
 
 
+@query(ORACLES["browse_page"])
+def browse_zones(spark, folder):
+    """SRT-2, SNK-1: the same pages from the files that the zone map names."""
+    part = table(spark, folder, "part")
+    index = part_index(spark, folder)
+    asked = part.select(c("p_type").alias("category")).distinct().unionByName(
+        spark.range(1).select(F.lit("no such category").alias("category")))
+    requests = S.prepare_requests(asked.select(
+        F.xxhash64("category").alias("query_id"), F.lit(" ").alias("q"), "category", F.lit(10).alias("offset"),
+        F.lit(None).cast("int").alias("limit")))
+    routed = stored(S.route(requests, index), "routed")
+    path = work_dir(spark, "zones")
+    Z.write_zones(I.with_browse_ranks(index.select("row_index", "id", "scope", "category", "brand", "name")), path, file_rows=500)
+    pages = Z.zone_pages(spark, path, routed).join(routed.select("query_id", "category"), "query_id")
+    sizes = routed.select("query_id", "scope").join(I.scope_sizes(index), "scope").select("query_id", "total")
+    return pages.join(sizes, "query_id").select("category", "rank", c("row_index").alias("p_partkey"), "total")
+
+
 @query(f"""
   WITH {SQL_PART},
   req AS (SELECT DISTINCT q, {sql_norm('q')} AS phrase FROM (SELECT p_brand AS q FROM part UNION ALL SELECT p_name FROM part
