@@ -23,6 +23,7 @@ from shelfmark.functions.staging import spread, stage
 from shelfmark.operators import catalogue as C
 from shelfmark.operators import design as D
 from shelfmark.operators import embedding as E
+from shelfmark.operators import fingerprint as FP
 from shelfmark.operators import index as I
 from shelfmark.operators import quality as Q
 from shelfmark.operators import search as S
@@ -587,6 +588,30 @@ def table_fingerprint(spark, folder):
     return fingerprint(table(spark, folder, "part"), "v1")
 
 
+RANGE = 64  # rows of a digest
+
+
+@query(f"""
+  WITH later AS (SELECT * REPLACE (CASE WHEN p_partkey % 701 = 5 THEN p_name || ' anew' ELSE p_name END AS p_name) FROM part WHERE p_partkey % 977 <> 3),
+  gone AS (SELECT p_partkey // {RANGE} AS leaf FROM part WHERE p_partkey % 977 = 3 OR p_partkey % 701 = 5),
+  size AS (SELECT p_partkey // {RANGE} AS leaf, count(*) AS n FROM later GROUP BY leaf)
+  SELECT DISTINCT gone.leaf, leaf * {RANGE} AS "first", (leaf + 1) * {RANGE} AS "after", coalesce(n, 0) AS reread, true AS same_config, false AS config_after, true AS same_whole
+  FROM gone LEFT JOIN size USING (leaf)""")
+def changed_ranges(spark, folder):
+    """HSH-2, JN-6: which ranges of a table must be read again after some rows changed and some went; whole fingerprints from the ranges' digests."""
+    before = table(spark, folder, "part")
+    renamed = F.when(c("p_partkey") % 701 == 5, F.concat("p_name", F.lit(" anew"))).otherwise(c("p_name"))
+    after = before.where("p_partkey % 977 <> 3").withColumn("p_name", renamed)
+    old, new = [stored(FP.range_digests(state, "p_partkey", RANGE), "digests") for state in (before, after)]
+    changed = FP.changed_ranges(old, new, RANGE)
+    sizes = new.select("leaf", c("rows").alias("reread"))
+    config, later = FP.whole_fingerprint(old, "v1"), FP.whole_fingerprint(new, "v1")
+    return changed.join(sizes, "leaf", "left").select(
+        "leaf", "first", "after", F.coalesce("reread", F.lit(0)).alias("reread"),
+        F.lit(E.config_matches(config, fingerprint(before, "v1"))).alias("same_config"), F.lit(E.config_matches(config, later)).alias("config_after"),
+        F.lit(E.config_matches(later, fingerprint(after, "v1"))).alias("same_whole"))
+
+
 # ---------------------------------------------------------------- embedding maintenance
 
 @query("""
