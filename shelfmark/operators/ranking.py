@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from shelfmark import vocabulary as V
 from shelfmark.functions import vectors as VX
 from shelfmark.operators.ordering import top_n
+from shelfmark.operators.terms import TermAutomaton
 
 SCORE_DIGITS = 7
 MAX_BROADCAST_QUERIES = 4096
@@ -35,7 +36,6 @@ QUERY_BYTES = 64 << 20  # of the vectors in one block
 GROUP_ROWS = 50_000
 _QUERY_CHUNK = 256
 _HIT_CELLS = 16_000_000  # rows x terms of one hit table
-_WORDS_KEPT = 1 << 18  # words whose terms a task remembers
 _OUT = "query_id long, row_index long, score double"
 _OUT_ARROW = pa.schema([("query_id", pa.int64()), ("row_index", pa.int64()), ("score", pa.float64())])
 
@@ -60,9 +60,8 @@ class _Queries:
         self.scopes = np.array([-1 if s is None else code[s] for s in scopes], dtype=np.int64)
         terms = table["terms"].to_pylist() if "terms" in table.column_names else []
         self.terms = sorted({t for wanted in terms for t in wanted or ()})
-        self.place = place = {term: i for i, term in enumerate(self.terms)}
-        self.term_sizes = sorted({len(t) for t in self.terms})
-        self.inside: dict[str, list[int]] = {}
+        place = {term: i for i, term in enumerate(self.terms)}
+        self.automaton = TermAutomaton(self.terms)
         self.wanted = [np.array(sorted({place[t] for t in wanted or ()}), dtype=np.int64) for wanted in terms]
 
     def wants(self, chunk: slice) -> np.ndarray:
@@ -79,32 +78,6 @@ class _Queries:
         found = pc.index_in(batch.column("scope"), value_set=pa.array(self.scope_names, pa.string()))
         return pc.fill_null(found, -2).to_numpy(zero_copy_only=False)
 
-    def term_hits(self, texts: list[str | None]) -> np.ndarray:
-        """Which terms occur in which texts, rows x terms.
-
-        Terms hold no spaces, so a term lies inside one word: each distinct word is
-        looked at once per task, and a text only adds up its words.
-        """
-        if len(self.inside) > _WORDS_KEPT:
-            self.inside.clear()
-        hits = np.zeros((len(texts), len(self.terms)), dtype=np.float32)
-        for row, text in enumerate(texts):
-            for word in set((text or "").split(" ")):
-                inside = self.inside.get(word)
-                if inside is None:
-                    inside = self.inside[word] = self._terms_inside(word)
-                hits[row, inside] = 1.0
-        return hits
-
-    def _terms_inside(self, word: str) -> list[int]:
-        found = set()
-        for size in self.term_sizes:
-            for start in range(len(word) - size + 1):
-                place = self.place.get(word[start:start + size])
-                if place is not None:
-                    found.add(place)
-        return sorted(found)
-
 
 class _Best:
     """The best rows seen so far for each query of a block."""
@@ -132,7 +105,7 @@ class _Best:
                 scores[(wanted != -1) & (wanted != scopes[None, :])] = np.nan
             if q.terms:  # words are looked at only in rows that the greatest bonus could lift over a floor
                 near = np.flatnonzero((scores + (V.BONUS_CAP + 10.0 ** -SCORE_DIGITS) >= self.floor[chunk, None]).any(axis=0))
-                hits = q.term_hits(batch.column("descriptor").take(pa.array(near)).to_pylist())
+                hits = q.automaton.hits(batch.column("descriptor").take(pa.array(near)))
                 scores[:, near] += np.minimum(V.BONUS_CAP, (q.wants(chunk) @ hits.T) * V.BONUS_STEP)
             scores = np.round(scores, SCORE_DIGITS)
             hit_query, hit_row = np.nonzero(scores >= self.floor[chunk, None])
