@@ -6,8 +6,7 @@ need and never queries x rows.  Category limits and the lexical bonus are applie
 to the score block before the cut.
 
 The query block is broadcast when it is proven small (``MAX_BROADCAST_QUERIES``
-rows and ``QUERY_BYTES``); beyond that queries and rows are both cut into hash blocks and met by an
-equi-join of blocks.
+rows and ``QUERY_BYTES``); more queries go round by round, each round a block of that size.
 
 Scores are rounded to ``SCORE_DIGITS`` before ordering.  That is finer than
 single precision and makes the order independent of how the rows were batched;
@@ -29,11 +28,11 @@ from shelfmark import vocabulary as V
 from shelfmark.functions import vectors as VX
 from shelfmark.operators.ordering import top_n
 from shelfmark.operators.terms import TermAutomaton
+from shelfmark.session import stored, work_dir
 
 SCORE_DIGITS = 7
 MAX_BROADCAST_QUERIES = 4096
 QUERY_BYTES = 64 << 20  # of the vectors in one block
-GROUP_ROWS = 50_000
 _QUERY_CHUNK = 256
 _HIT_CELLS = 16_000_000  # rows x terms of one hit table
 _OUT = "query_id long, row_index long, score double"
@@ -155,11 +154,11 @@ def best_rows(
     queries = queries.filter(F.col("need") > 0).withColumn("query_id", F.col("query_id").cast("long"))
 
     head = queries.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast:
+    if head.num_rows <= max_broadcast and _term_bytes(head) <= QUERY_BYTES:
         candidates, needs = _score_broadcast(usable, head), _needs_of(items.sparkSession, head)
         max_need = max(head["need"].to_pylist(), default=1)
     else:
-        candidates, needs = _score_blocks(usable, queries, max_broadcast), queries.select("query_id", "need")
+        candidates, needs = _score_rounds(usable, queries, max_broadcast, dim), queries.select("query_id", "need")
         max_need = queries.agg(F.max("need")).first()[0]
     ranked = top_n(candidates, ["query_id"], [F.desc("score"), F.asc("row_index")], int(max_need))
     if needs is None:
@@ -167,6 +166,10 @@ def best_rows(
     return ranked.join(needs, "query_id").filter(F.col("rank") <= F.col("need")).drop("need")
 
 
+def _term_bytes(head: pa.Table) -> int:
+    return head["terms"].nbytes if "terms" in head.column_names else 0
+
+
 def _needs_of(spark, head: pa.Table) -> DataFrame | None:
     """The needs of a broadcast block as a local table, or None when all are the same."""
     if len(set(head["need"].to_pylist())) <= 1:
@@ -188,21 +191,25 @@ def _score_broadcast(items: DataFrame, head: pa.Table) -> DataFrame:
     return items.mapInArrow(score, _OUT)
 
 
-def _score_blocks(items: DataFrame, queries: DataFrame, block_rows: int) -> DataFrame:
-    blocks = math.ceil(queries.count() / block_rows)
-    parts = math.ceil(max(items.count(), 1) / GROUP_ROWS)
+def _score_rounds(items: DataFrame, queries: DataFrame, most: int, dim: int) -> DataFrame:
+    """Queries in rounds of about ``most``: each is broadcast after it was counted, and its lists are written on their own.
 
-    def score(item_table: pa.Table, query_table: pa.Table) -> pa.Table:
-        if not item_table.num_rows or not query_table.num_rows:
-            return _OUT_ARROW.empty_table()
-        best = _Best(_Queries(query_table))
-        for batch in item_table.combine_chunks().to_batches():
-            best.add(batch)
-        return pa.Table.from_batches([best.result()])
-
-    left = items.withColumn("part", F.pmod(F.xxhash64("row_index"), F.lit(parts)).cast("int"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    grouped = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-    return grouped.applyInArrow(score, _OUT)
+    Rows are never copied or shuffled, whatever the number of queries.
+    """
+    spark = items.sparkSession
+    terms = F.length(F.array_join("terms", "  ")) if "terms" in queries.columns else F.lit(0)
+    sized = stored(queries.withColumn("__bytes", F.lit(8 * dim) + F.coalesce(terms, F.lit(0))), "queries")
+    items = stored(items, "items")
+    count, size, widest = sized.agg(F.count("*"), F.sum("__bytes"), F.max("__bytes")).first()
+    rounds = max(math.ceil(count / most), math.ceil(size / QUERY_BYTES))
+    while True:
+        dealt = sized.withColumn("__round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int"))
+        rows, largest = dealt.groupBy("__round").agg(F.count("*").alias("n"), F.sum("__bytes").alias("b")).agg(F.max("n"), F.max("b")).first()
+        if rows <= 2 * most + 64 and largest <= 2 * max(QUERY_BYTES, widest):
+            break
+        rounds *= 2
+    folder = work_dir(spark, "ranked")
+    for number in range(rounds):
+        block = dealt.where(F.col("__round") == number).drop("__round", "__bytes").toArrow()  # counted above
+        _score_broadcast(items, block).write.parquet(f"{folder}/round={number}")
+    return spark.read.schema(_OUT).parquet(*[f"{folder}/round={number}" for number in range(rounds)])

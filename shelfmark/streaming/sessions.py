@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STORE = "spark.sql.streaming.stateStore"
+STORE = {  # what a query with such a state needs while it starts; its many small stores reserve no disk ahead
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _SESSIONS = 1 << 16  # that a task holds before it hands on what it has
 
 
@@ -105,6 +110,20 @@ def latest_requests(stream: DataFrame, ttl_ms: int, delay: str) -> DataFrame:
     return reduced.groupBy("session").transformWithStateInPandas(processor, told.schema, "Append", "EventTime" if timed else "None")
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The settings of STORE, for queries started inside."""
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def known_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The sessions that a stopped stream knows."""
-    return spark.read.format("statestore").option("stateVarName", "known").load(checkpoint)
+    with state_store(spark):
+        return spark.read.format("statestore").option("stateVarName", "known").load(checkpoint)

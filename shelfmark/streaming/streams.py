@@ -19,7 +19,7 @@ from shelfmark.session import stored
 from shelfmark.sources.merged import MergedTable
 from shelfmark.sources.readers import read_vectors
 from shelfmark.sources.writers import append_vectors
-from shelfmark.streaming.sessions import PROVIDER, ROCKS, latest_requests
+from shelfmark.streaming.sessions import latest_requests, state_store
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict, mode="append") -> StreamingQuery:
@@ -65,13 +65,8 @@ def latest_request_stream(
         answered = answer(requests.drop("session", "seq", "asked_at")).join(asked, "query_id").drop("query_id")
         answered.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    conf = stream.sparkSession.conf
-    before = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, ROCKS)  # of this query: it is read when the query starts
-    try:
+    with state_store(stream.sparkSession):
         return _start(latest_requests(stream, ttl_ms, delay), write, checkpoint, trigger or {"availableNow": True})
-    finally:
-        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
 
 
 def embedding_stream(
