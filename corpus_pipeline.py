@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.contamination import without_contamination
 from shelfmark.llm.encoding import tokenizer_path
+from shelfmark.llm.names import fresh
 from shelfmark.llm.near_duplicates import near_duplicates
 from shelfmark.llm.packing import pack
 from shelfmark.llm.quality import fit_quality, score_quality
@@ -22,7 +23,8 @@ ORACLE_SQL = None  # a network, MinHash and a tokenizer are beyond SQL; tests ho
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (a score of 0.5 or more)."""
     network = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, network).where("score >= 0.5").select(docs.columns)
+    score = fresh(docs, "score")
+    return score_quality(docs, network, score=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

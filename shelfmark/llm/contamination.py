@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm.arrays import claim, ragged, slices, text_bytes, words
+from shelfmark.llm.names import fresh
 
 FEATURES, CELL, WINDOW = 1 << 17, 32, 4  # a window has so many cells
 PASSAGE = 64  # words of a passage at most; longer items have several, overlapping by half
@@ -430,15 +431,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | No
 def without_contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which ``contamination`` finds nothing, with all their columns."""
     settings = settings or Settings()
-    kept = docs.withColumn("__text", F.col(text).cast("string"))
+    work = fresh(docs, "__text")
+    kept = docs.withColumn(work, F.col(text).cast("string"))
 
     passes = list(_passes(docs, benchmark, text, settings))
 
     def keep(batches):
         claim("contamination")
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
-                bad = {t for t, _ in _hits(passes, settings, part.column("__text"))}
+            for part in slices(batch, work, 4 << 20):
+                bad = {t for t, _ in _hits(passes, settings, part.column(work))}
                 yield part.filter(pa.array([t not in bad for t in range(part.num_rows)], pa.bool_()))
 
-    return (kept.mapInArrow(keep, T.StructType(kept.schema.fields)) if passes else kept).drop("__text")
+    return (kept.mapInArrow(keep, T.StructType(kept.schema.fields)) if passes else kept).drop(work)

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.arrays import claim, slices, text_bytes
+from shelfmark.llm.names import fresh
 
 CELL, LAGS, WIDTH, FILTERS = 32, 32, 4, 12
 REPEATS = 2  # features of a chunk from its lags: the most and the mean
@@ -197,23 +199,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return train([row.text for row in rows], np.array([row.y for row in rows]))
 
 
-def score_quality(docs: DataFrame, network: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+SLICE = 1 << 20  # bytes of text that are scored at once; a worker holds some twenty times as much
+
+
+def score_quality(docs: DataFrame, network: Network, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``: the probability that the whole text is good.
 
-    Null and empty texts score alike; every row is scored, whatever its id; all columns stay (an own
-    column ``score`` is replaced); no rows give no rows.
+    Null and empty texts score alike; every row is scored, whatever its id; all columns stay, but an own
+    column of the name ``score`` is replaced; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    docs = docs.drop("score")
-    rows = docs.withColumn("__text", F.col(text).cast("string"))
+    docs = docs.drop(score)
+    work = fresh(docs, "__text")
+    rows = docs.withColumn(work, F.col(text).cast("string"))
 
-    def score(batches):
+    def run(batches):
         claim("quality")
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
+            for part in slices(batch, work, SLICE):
                 columns = part.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score_texts(shared.value, part.column("__text")))], [*part.schema.names[:-1], "score"])
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score_texts(shared.value, part.column(work)))], [*part.schema.names[:-1], score])
 
-    return rows.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))

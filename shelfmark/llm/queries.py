@@ -136,7 +136,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     network = fit_quality(documents, table(spark, folder, "labels"))
     scores = score_quality(documents.select("doc_id", "text"), network)
-    return scores.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scores.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 _WHOLE_NUMBERS = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"

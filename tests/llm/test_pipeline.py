@@ -76,3 +76,16 @@ def test_awkward_rows(spark, corpus, odd_docs):
 
 def test_names():
     assert [name for name, _ in P.STAGES] == ["quality", "deduplication", "decontamination", "packing"] and P.ORACLE_SQL is None
+
+
+def test_own_columns_keep_their_values(spark, corpus):
+    """Columns that bear names the stages use themselves come out as they went in."""
+    folder, docs, fate = corpus
+    kept = [k for k, f in fate.items() if f == "kept"][:12]
+    names = ["doc_id", "text", "score", "__text", "_score", "kept"]
+    rows = [(k, docs[k], 7.0 + k, f"own {k}", k, "x") for k in kept]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, __text string, _score long, kept string")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, folder)
+        assert out.columns == names, name
+        assert sorted(map(tuple, out.collect())) == sorted(rows), name

@@ -65,3 +65,11 @@ def test_edges(spark, odd_docs, no_docs):
     assert scored.count() == odd_docs.count() and {r.score for r in scored.collect()} == {0.5}
     assert scored.columns == ["doc_id", "text", "part", "score"]
     assert Q.score_quality(no_docs, Q.fit_quality(odd_docs, labels)).count() == 0
+
+
+def test_flags_are_never_null(spark, tmp_path):
+    docs = [(None, "good words here"), (1, None), (2, "$$$"), (3, ""), (4, "fine words too")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 0), (4, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = QUERIES["op10_quality"](spark, str(tmp_path)).collect()
+    assert len(rows) == 5 and all(None not in (r.held_out, r.score, r.predicted) for r in rows)
