@@ -105,7 +105,8 @@ class Automaton:
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty without ``://`` or for null."""
-    after = F.when(F.locate("://", url) > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("__url"))).otherwise("")
+    at = F.locate("://", url)
+    after = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
     host = F.regexp_extract(after, r"^[^/?#]*", 0)
     path = F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from shelfmark.llm.arrays import text_bytes
 from shelfmark.llm.queries import RULES
-from shelfmark.llm.url_filter import Automaton, Rule, judge_urls
+from shelfmark.llm.url_filter import Automaton, Rule, judge_urls, split_url
 
 
 def pattern(glob):
@@ -55,3 +55,17 @@ def test_wildcards_ties_and_nothing(spark):
     assert judge_urls(pages, same).select("verdict").distinct().collect()[0].verdict == "block"
     assert {r.verdict for r in judge_urls(pages, [], default="block").collect()} == {"block"}
     assert judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_split_url_of_any_column(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("http://A.Example.org/p?q",), (None,), ("no",), ("x://h#f",)], "link string")
+    assert [tuple(r) for r in df.select(*split_url(F.col("link"))).collect()] == [("a.example.org", "/p"), ("", ""), ("", ""), ("h", "")]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "http://a.org/"), (None, "http://a.org/"), (1, None), (1, None)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [Rule("block", "org", "/")]).collect()
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in got if r.rule) == [("None", "org/", "block")] * 2
+    assert [(r.page_id, r.host, r.verdict) for r in got if not r.rule] == [(1, "", "allow")] * 2
