@@ -1,4 +1,4 @@
-"""Scores of texts by a smoothed n-gram model, read as a weighted backoff automaton.
+"""Scores of texts by a smoothed n-gram model as a weighted backoff automaton.
 
 The model is every n-gram of the training texts up to ``order``.  A state is an n-gram that can
 go on; its arcs lead along the n-grams that extend it, and its failure arc, taken when no arc has
@@ -7,9 +7,10 @@ the next word, leads to the state without the first word.  With Dirichlet smooth
     arc      (c(h w) + mu * p(w | shorter h)) / (c(h) + mu)
     failure  mu / (c(h) + mu)
 
-so a text's probability is the product along its one path from left to right.  The state after
-a word is the longest known n-gram that ends there, so numpy carries the states of all positions
-of a block at once.
+so a text's probability is the product along its one path.  Each block of texts has its part of the
+automaton as tables: arcs sorted by state and word, failure arcs by state.  Its texts are walked from left to right
+in step, one word of each at a time, each carrying its state and its sum of logarithms; a long text is walked in segments
+of ``SEGMENT`` words, as the state depends on the last ``order - 1`` words alone.
 
 The corpus is cut into blocks of texts.  A block sends each distinct n-gram once, with its count
 in training texts, to the task that adds up that n-gram over all blocks, and gets the total back.
@@ -28,6 +29,8 @@ from shelfmark.llm.arrays import _BASE, claim, mix, slices, text_bytes, words
 from shelfmark.session import stored
 
 BLOCK = 1 << 19  # words of a block, unless one text has more
+PART = 1 << 22  # words of the corpus for each task that adds up counts, at most
+SEGMENT = 1024  # words of a text that are walked one after another
 ALPHA = 0.1
 START, END = np.uint64(0x5BD1E995A1B2C3D4), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -173,37 +176,109 @@ def _totals(requests: DataFrame) -> DataFrame:
     return requests.groupBy("part", "order").applyInArrow(add, "block long, order int, part int, totals binary, types long, tokens long")
 
 
-class Path:
-    """Where the automaton goes over a block: counts of the n-gram that ends at each position, by order."""
+class Automaton:
+    """The states and arcs that a block's texts can meet.  State 0 is the root, which has an arc for every word, state 1 the start."""
 
-    def __init__(self, block: _Block, totals: dict[int, dict[int, bytes]], parts: int):
+    def __init__(self, block: _Block, totals: dict[int, dict[int, bytes]], parts: int, tokens: int, types: int, mu: float):
         self.block = block
-        self.counts = []
-        for n in range(1, block.order + 1):
+        order, n_tokens = block.order, len(block.tokens)
+        gram: dict[int, np.ndarray] = {}  # by order: the n-gram that ends at each position
+        last = np.flatnonzero(block.tokens == END)
+        sources, labels, weights, goals = [], [], [], []
+        self.fails, self.failures = [np.zeros(2, dtype=np.int64)], [np.zeros(2)]
+        states, held = {}, 2
+        for n in range(1, order + 1):
             keys, ends, of, at = block.parted(n, parts)
             begin = np.concatenate([[0], ends[:-1]])
-            sums = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack_counts(totals[n][p], int(ends[p] - begin[p])) for p in np.flatnonzero(ends > begin).tolist())])
-            counts = np.zeros(len(block.tokens), dtype=np.int64)
-            counts[at] = sums[of]
-            self.counts.append(counts)
-
-    def weights(self, tokens: int, types: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
-        """Base-10 logarithms at each position: of the unigram root alone, and of the arc or failure arcs taken."""
-        block = self.block
-        root = (self.counts[0] + ALPHA) / (tokens + ALPHA * (types + 1))
-        base, weight = np.log10(root), np.log10(root)
-        last = np.flatnonzero(block.tokens == END)
-        for n in range(2, block.order + 1):
-            at = np.flatnonzero(block.place >= n - 1)
-            seen = self.counts[n - 1][at]
-            state = self.counts[n - 2].copy()
-            if n == 2:  # every text begins once, as often as it ends
-                state[block.begins] = self.counts[0][last[0]] if len(last) else 0
-            state = state[at - 1]
-            failure = np.log10(mu / (state + mu))
-            arc = np.log10((seen + mu * 10.0 ** weight[at]) / (state + mu))
-            weight[at] = np.where(seen > 0, arc, failure + weight[at])
-        return base, weight
+            count = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack_counts(totals[n][p], int(ends[p] - begin[p])) for p in np.flatnonzero(ends > begin).tolist())])
+            gram[n] = np.zeros(n_tokens, dtype=np.int64)
+            gram[n][at] = of
+            where = np.zeros(len(keys), dtype=np.int64)
+            where[of] = at  # a place of each n-gram
+            seen = count > 0
+            if n == 1:
+                self.word, self.known = gram[1], seen
+                self.root = (count + ALPHA) / (tokens + ALPHA * (types + 1))
+                p = self.root
+                starts = count[gram[1][last[0]]] if len(last) else 0  # every text begins once, as often as it ends
+                self.failures[0][1] = np.log10(mu / (starts + mu))
+                suffix = np.zeros(len(keys), dtype=np.int64)
+            else:
+                begins = block.place[where - 1] == 0
+                history = np.where(begins, starts, counts[gram[n - 1][where - 1]])
+                p = (count + mu * p[gram[n - 1][where]]) / (history + mu)
+                suffix = states[n - 1][gram[n - 1][where]]
+                sources.append(np.where(begins, 1, states[n - 1][gram[n - 1][where - 1]])[seen])
+                labels.append(gram[1][where][seen])
+                weights.append(np.log10(p[seen]))
+            if n < order:  # an n-gram that was seen is a state, any other stands for its longest part that is one
+                states[n] = suffix.copy()
+                states[n][seen] = held + np.arange(int(seen.sum()))
+                held += int(seen.sum())
+                self.fails.append(suffix[seen])
+                self.failures.append(np.log10(mu / (count[seen] + mu)))
+            if n > 1:
+                goals.append((states[n] if n < order else suffix)[seen])
+            counts = count
+        self.start = min(1, order - 1)
+        self.fails, self.failures = np.concatenate(self.fails), np.concatenate(self.failures)
+        self.root_goals = states[1] if order > 1 else np.zeros(len(self.root), dtype=np.int64)
+        self.root_weights = np.log10(self.root)
+        none = np.zeros(0, dtype=np.int64)
+        arcs = np.concatenate([none, *sources]) * len(self.root) + np.concatenate([none, *labels])
+        by_arc = np.argsort(arcs)
+        self.arcs = arcs[by_arc]
+        self.weights, self.goals = np.concatenate([none, *weights])[by_arc], np.concatenate([none, *goals])[by_arc]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one word each, and the logarithms of the arcs taken."""
+        state, weight = state.copy(), np.zeros(len(state))
+        walking = np.arange(len(state))
+        while len(walking):
+            here, label = state[walking], word[walking]
+            rooted = here == 0
+            done = walking[rooted]
+            weight[done] += self.root_weights[label[rooted]]
+            state[done] = self.root_goals[label[rooted]]
+            walking, here, label = walking[~rooted], here[~rooted], label[~rooted]
+            if not len(walking):
+                break
+            wanted = here * len(self.root) + label
+            place = np.minimum(np.searchsorted(self.arcs, wanted), max(0, len(self.arcs) - 1))
+            found = self.arcs[place] == wanted if len(self.arcs) else np.zeros(len(walking), dtype=bool)
+            taken = walking[found]
+            weight[taken] += self.weights[place[found]]
+            state[taken] = self.goals[place[found]]
+            walking = walking[~found]
+            weight[walking] += self.failures[here[~found]]
+            state[walking] = self.fails[here[~found]]
+        return state, weight
+
+    def walk(self) -> np.ndarray:
+        """The logarithm of each text's probability, its end included."""
+        block, before = self.block, self.block.order - 1
+        pieces = np.maximum(1, -(-(block.lengths + 1) // SEGMENT))
+        text = np.repeat(np.arange(len(block.lengths)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = block.begins[text] + 1 + number * SEGMENT
+        size = np.minimum(SEGMENT, block.begins[text] + block.lengths[text] + 2 - first)
+        lead = np.where(number > 0, before, 0)  # words that only find the state
+        state = np.where(number > 0, 0, self.start)
+        at, left = first - lead, size + lead
+        order = np.argsort(-left, kind="stable")
+        text, at, left, lead, state = text[order], at[order], left[order], lead[order], state[order]
+        total = np.zeros(len(text))
+        for k in range(int(left[0]) if len(left) else 0):
+            running = int(np.searchsorted(-left, -k))  # left > k
+            state[:running], weight = self.step(state[:running], self.word[at[:running] + k])
+            total[:running] += np.where(lead[:running] <= k, weight, 0.0)
+        return np.bincount(text, total, len(block.lengths))
+
+    def base(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: the root's logarithm alone, and how many tokens training texts have."""
+        base, known = self.root_weights[self.word], self.known[self.word].astype(np.int64)
+        base[self.block.begins] = known[self.block.begins] = 0
+        return np.add.reduceat(base, self.block.begins), np.add.reduceat(known, self.block.begins)
 
 
 def held_out(doc_id: str):
@@ -216,13 +291,14 @@ def score_texts(docs: DataFrame, order: int = 2, mu: float = 500.0, doc_id: str
 
     Trained on the rows that are not held out.  Scores are base-10 logarithms of the probability of the
     whole text with its end; ``base_score`` is the unigram root's.  A null or empty text is the end alone;
-    a null id counts as the empty id; rows of equal id are scored each; other columns play no part; with no
-    training rows every count is 0; no rows give no rows.
+    a null id counts as the empty id; rows of equal id are scored each; a very long text is a block of its own, walked in
+    segments; other columns play no part; with no training rows every count is 0; no rows give no rows.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
     blocks = stored(_blocks(rows, block), "lm-blocks")
+    words_held = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)), F.lit(0))).first()[0]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words_held // PART))
     totals = stored(_totals(_requests(blocks, order, parts)), "lm-totals")
     size = totals.where("order = 1").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     types, tokens = size.types, size.tokens
@@ -236,14 +312,11 @@ def score_texts(docs: DataFrame, order: int = 2, mu: float = 500.0, doc_id: str
                 for answer in row.pop("answers"):
                     found.setdefault(answer["order"], {})[answer["part"]] = answer["totals"]
                 texts = _read(row, order)
-                path = Path(texts, found, parts)
-                base, weight = path.weights(tokens, types, mu)
-                base[texts.begins] = weight[texts.begins] = 0
-                known = path.counts[0] > 0
-                known[texts.begins] = False
+                automaton = Automaton(texts, found, parts, tokens, types, mu)
+                base, known = automaton.base()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(texts.lengths + 1), pa.array(np.add.reduceat(known, texts.begins, dtype=np.int64)),
-                     pa.array(np.full(len(texts.lengths), tokens)), pa.array(np.add.reduceat(base, texts.begins)), pa.array(np.add.reduceat(weight, texts.begins))],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(texts.lengths + 1), pa.array(known),
+                     pa.array(np.full(len(texts.lengths), tokens)), pa.array(base), pa.array(automaton.walk())],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return blocks.join(answers, "block").drop("block").mapInArrow(

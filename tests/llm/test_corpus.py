@@ -114,7 +114,7 @@ def slow_scores(docs, order, mu):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("order,mu,block", [(1, 1.0, 1 << 20), (2, 100.0, 1 << 20), (3, 2.5, 50)])
+@pytest.mark.parametrize("order,mu,block", [(1, 1.0, 1 << 20), (2, 100.0, 1 << 20), (3, 2.5, 50), (4, 0.7, 1 << 20)])
 def test_language_model(odd_docs, order, mu, block):
     docs = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     got = L.score_texts(odd_docs, order=order, mu=mu, block=block).collect()
