@@ -62,13 +62,17 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VECTOR).parquet(path) if path_exists(spark, path) else _empty(spark, VECTOR)
 
 
+_FIXED = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+
+
 def read_flat_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """SRC-4 for a headerless file of little-endian float32 rows: ``row_index, embedding``.
 
-    The file is split at row borders, so a large one is read by many tasks.
+    The file is cut at row borders, so a large one is read by many tasks, once; a row's index is its place in the file.
     """
-    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    rows = spark.createDataFrame(records, "bytes binary, row_index long")
+    records = spark.sparkContext.newAPIHadoopFile(
+        path, _FIXED, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{_FIXED}.recordLength": str(4 * dim)})
+    rows = spark.createDataFrame(records, "row_index long, bytes binary")
 
     def decode(batches):
         for batch in batches:
