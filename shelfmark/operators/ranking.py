@@ -105,7 +105,7 @@ class _Best:
             if q.terms:  # words are looked at only in rows that the greatest bonus could lift over a floor
                 near = np.flatnonzero((scores + (V.BONUS_CAP + 10.0 ** -SCORE_DIGITS) >= self.floor[chunk, None]).any(axis=0))
                 hits = q.automaton.hits(batch.column("descriptor").take(pa.array(near)))
-                scores[:, near] += np.minimum(V.BONUS_CAP, (q.wants(chunk) @ hits.T) * V.BONUS_STEP)
+                scores[:, near] += np.minimum(V.BONUS_CAP, (q.wants(chunk) @ hits.T).astype(np.float64) * V.BONUS_STEP)
             scores = np.round(scores, SCORE_DIGITS)
             hit_query, hit_row = np.nonzero(scores >= self.floor[chunk, None])
             edges = np.searchsorted(hit_query, np.arange(scores.shape[0] + 1))

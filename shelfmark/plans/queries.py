@@ -647,14 +647,24 @@ SQL_RECORD = f"""
   p AS (SELECT *, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:' || array_to_string(words, '|') || ')($|[^\\p{{L}}\\p{{N}}_])' AS pat,
                regexp_replace(regexp_replace({sql_clean('told')}, '(?i)' || p_name, ' ', 'g'), '(?i)' || p_brand, ' ', 'g') AS t0 FROM w),
   x AS (SELECT *, regexp_replace(regexp_replace(t0, pat, '\\1 \\2', 'g'), pat, '\\1 \\2', 'g') AS t1 FROM p),
-  d AS (SELECT *, trim(regexp_replace(t1, '\\s+', ' ', 'g'), ' .,:;-' || chr(10)) AS body FROM x)
+  d AS (SELECT *, trim(regexp_replace(t1, '\\s+', ' ', 'g'), ' .,:;-' || chr(10)) AS body,
+               array_to_string(list_filter(string_split(p_name, ' '), lambda t: NOT list_contains(words, lower(t))), ', ') AS shown FROM x)
   SELECT p_partkey, concat_ws(' ', 'Cannabis retail inventory product.', 'Product category: ' || p_type || '.', CASE WHEN lang <> '' THEN 'Format: ' || lang || '.' END,
-    CASE WHEN source <> '' THEN 'Strain type: ' || source || '.' END, CASE WHEN body <> '' THEN 'Product description: ' || body END) AS record_text FROM d"""
+    CASE WHEN source <> '' THEN 'Strain type: ' || source || '.' END, 'Phenotype: mild ' || p_partkey || '.',
+    'Lineage: Line ' || p_partkey % 7 || ' x Line ' || p_partkey % 5 || '.', 'Flavor and aroma profile: ' || p_type || '.', 'Reported effect profile: ' || shown || '.',
+    CASE WHEN body <> '' THEN 'Product description: ' || body END, 'Listed THC potency: ' || p_partkey % 30 || '%.') AS record_text FROM d"""
+
+
+def told_inventory(spark, folder) -> DataFrame:
+    """The parts' inventory with something in every line of a record but the last."""
+    key = c("row_index").cast("string")
+    return part_inventory(spark, folder).withColumns({
+        "phenotype": F.concat(F.lit("mild "), key), "thc_text": F.concat((c("row_index") % 30).cast("string"), F.lit("%")),
+        "lineage": F.concat(F.lit("Line "), (c("row_index") % 7).cast("string"), F.lit(" x Line "), (c("row_index") % 5).cast("string"))})
 
 
 def part_records(spark, folder) -> DataFrame:
-    empty = F.array().cast("array<string>")
-    return with_record_text(part_inventory(spark, folder).withColumns({"effects": empty, "flavors": empty}))
+    return with_record_text(told_inventory(spark, folder))
 
 
 @query(SQL_RECORD)
@@ -664,13 +674,13 @@ def identity_free_text(spark, folder):
 
 
 @query("""
-  SELECT p_partkey, 'name' AS leaks FROM part JOIN documents ON p_partkey = doc_id WHERE length(p_name) >= 8""")
+  SELECT p_partkey, 'name' AS leaks FROM part WHERE length(p_name) >= 8""")
 def leakage_check(spark, folder):
     """DQ-8 on unredacted text, where long names must be found."""
     docs = table(spark, folder, "documents").select(c("doc_id").alias("p_partkey"), "text")
-    told = table(spark, folder, "part").join(docs, "p_partkey").select(
+    told = table(spark, folder, "part").join(docs, "p_partkey", "left").select(
         "p_partkey", c("p_name").alias("name"), c("p_brand").alias("brand"),
-        F.concat(F.lit("the "), "p_name", F.lit(": "), "text").alias("record_text"))
+        F.concat(F.lit("the "), "p_name", F.lit(": "), F.coalesce("text", F.lit(""))).alias("record_text"))
     return Q.leaked_identity(told).select("p_partkey", F.array_join("fields", ",").alias("leaks"))
 
 
@@ -791,27 +801,25 @@ def query_routing(spark, folder):
 
 @query(f"""
   WITH {SQL_CENTROIDS},
-  req AS (SELECT label, q, list_distinct({sql_terms(sql_norm(sql_canonical(sql_norm('text'))))}) AS terms
-          FROM unit_centroid JOIN benchmark ON item_id = label),
-  item AS (SELECT vec_id, embedding, {sql_norm('text')} AS descriptor FROM embeddings JOIN documents ON vec_id = doc_id),
-  scored AS (SELECT label, vec_id, round({SQL_DOT.format('embedding', 'q')}
+  req AS (SELECT item_id, q, list_distinct({sql_terms(sql_norm(sql_canonical(sql_norm('text'))))}) AS terms
+          FROM unit_centroid JOIN benchmark ON item_id % 10 = label),
+  item AS (SELECT vec_id, embedding, {sql_norm("coalesce(text, '')")} AS descriptor FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
+  scored AS (SELECT item_id, vec_id, round({SQL_DOT.format('embedding', 'q')}
       + least(0.12::DOUBLE, 0.012::DOUBLE * len(list_filter(terms, lambda w: contains(descriptor, w)))), 7) AS s FROM req, item),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank, count(*) OVER (PARTITION BY label) AS total FROM scored)
-  SELECT label, rank, vec_id, s AS score, total FROM ranked WHERE rank <= {TOP}""")
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, vec_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM scored)
+  SELECT item_id, rank, vec_id, s AS score, total FROM ranked WHERE rank <= {TOP}""")
 def hybrid_search(spark, folder):
-    """VEC-5, VEC-4, JN-2: label means with benchmark texts as queries; documents describe the vectors."""
+    """VEC-5, VEC-4, JN-2: every benchmark text as a query, with a label's mean as its vector; documents describe the vectors."""
     rows = table(spark, folder, "embeddings")
     docs = texts(spark, folder, "documents", "doc_id", "text").select(c("doc_id").alias("vec_id"), X.normalize(c("text")).alias("descriptor"))
-    items = rows.join(docs, "vec_id").select(c("vec_id").alias("row_index"), "embedding", "descriptor")
+    items = rows.join(docs, "vec_id", "left").select(c("vec_id").alias("row_index"), "embedding", F.coalesce("descriptor", F.lit("")).alias("descriptor"))
     asked = stage(table(spark, folder, "benchmark").select(
-        c("item_id").cast("int").alias("label"), X.canonical_query(c("text")).alias("query_text")))
+        c("item_id").alias("query_id"), (c("item_id") % 10).cast("int").alias("label"), X.canonical_query(c("text")).alias("query_text")))
     terms = F.array_distinct(X.meaningful_terms(c("query_text")))
-    queries = centroids(rows, ["label"]).join(asked, "label").select(
-        c("label").cast("long").alias("query_id"), F.lit(TOP).alias("need"), "vector", terms.alias("terms"))
+    queries = centroids(rows, ["label"]).join(asked, "label").select("query_id", F.lit(TOP).alias("need"), "vector", terms.alias("terms"))
     total = items.agg(F.count("*")).scalar()
     best = best_rows(items, queries, DIM)
-    return best.select(c("query_id").cast("int").alias("label"), c("rank").cast("long"), c("row_index").alias("vec_id"),
-                       "score", total.alias("total"))
+    return best.select(c("query_id").alias("item_id"), c("rank").cast("long"), c("row_index").alias("vec_id"), "score", total.alias("total"))
 
 
 _WEIGHTS = ", ".join(
@@ -1213,7 +1221,7 @@ def shape_model(sign: int, fails: bool = False) -> E.TextsToVectors:
 @query(f"""
   WITH told AS ({SQL_RECORD}),
   span AS (SELECT min(p_partkey) AS a, (min(p_partkey) + max(p_partkey)) // 2 AS mid, (count(*) + 5) // 6 AS n FROM part),
-  text AS (SELECT p_partkey, CASE WHEN p_partkey = mid THEN record_text || ' Listed THC potency: outage.' ELSE record_text END AS t,
+  text AS (SELECT p_partkey, CASE WHEN p_partkey = mid THEN record_text || ' Listed CBD potency: outage.' ELSE record_text END AS t,
                   CASE WHEN p_partkey < a + (mid - a) // n * n THEN 1 ELSE -1 END AS run FROM told, span),
   raw AS (SELECT *, [length(t), length(t) - length(replace(t, ' ', '')), length(t) - length(replace(t, 'e', '')), length(t) - length(replace(t, chr(10), '')), 100 * run]::DOUBLE[] AS v FROM text)
   SELECT 'item-' || p_partkey AS id, p_partkey AS row_index, (axis - 1)::INTEGER AS axis,
@@ -1221,12 +1229,11 @@ def shape_model(sign: int, fails: bool = False) -> E.TextsToVectors:
   FROM raw, (SELECT unnest([1, 2, 3, 4, 5]) AS axis)""")
 def field_restart(spark, folder):
     """SNK-7, VEC-9, WIN-2, SNK-5: a build whose model breaks down half-way, resumed by one that embeds only the rest, then found complete."""
-    empty = F.array().cast("array<string>")
-    rows = part_inventory(spark, folder).withColumns({"image": F.lit("assets/a.webp"), "effects": empty, "flavors": empty})
+    rows = told_inventory(spark, folder).withColumn("image", F.lit("assets/a.webp"))
     low, high, count = table(spark, folder, "part").agg(F.min("p_partkey"), F.max("p_partkey"), F.count("*")).first()
     potency = F.when(c("row_index") == (low + high) // 2, F.lit("outage"))
     missing = {f.name: F.lit(None).cast(f.dataType) for f in R.INVENTORY.fields if f.name not in rows.columns}
-    inventory = stored(rows.withColumn("thc_text", potency).withColumns(missing).select(*R.INVENTORY.names), "inventory")
+    inventory = stored(rows.withColumn("cbd_text", potency).withColumns(missing).select(*R.INVENTORY.names), "inventory")
     out, commit = work_dir(spark, "field"), -(-count // 6)
     for model in (shape_model(1, fails=True), shape_model(-1), shape_model(-1, fails=True)):  # the last has nothing to do
         try:
