@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrays import slices
+from shelfmark.llm.arrays import claim, slices
 from shelfmark.llm.encoding import encoder
 from shelfmark.session import stored
 
@@ -24,6 +24,8 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
            ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
+SLICE = 1 << 20  # bytes of text that are encoded at once
+
 Piece = tuple[int | None, int, int, np.ndarray]  # document, start, tokens of the document, ids
 
 
@@ -82,7 +84,7 @@ def _packer(path: str, end_id: int, length: int, windows: int):
     def run(batches):
         open_windows, number = OpenWindows(length, windows), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 base = part.column("part")[0].as_py() << 32
                 ids, offsets = encoder(path).encode(part.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id)
@@ -103,12 +105,14 @@ def _packer(path: str, end_id: int, length: int, windows: int):
 
 
 FILL = 512  # sequences that a merging task fills, on average
+HELD = 256  # and so many are filled at once
 
 
 def _merger(length: int):
     """Fill sequences to the brim with leftover pieces, longest first; pieces are cut at the brim."""
 
     def run(batches):
+        claim("packing")  # the encoder's memory goes
         pieces: list[Piece] = []
         held, number, base = 0, 0, 0
 
@@ -133,14 +137,14 @@ def _merger(length: int):
             return out
 
         for batch in batches:
-            for part in _bounded(batch, 1024):
+            for part in _bounded(batch, HELD):
                 base = (1 << 62) + (part.column("part")[0].as_py() << 32)
                 flat = part.column("ids").flatten().to_numpy().astype(np.uint32)
                 ends = np.cumsum(part.column("length").to_numpy())
                 for doc, start, total, end, n in zip(*(part.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), ends.tolist(), part.column("length").to_pylist(), strict=True):
                     pieces.append((doc, start, total, flat[end - n: end]))
                     held += n
-                if held >= 1024 * length:
+                if held >= HELD * length:
                     yield from fill(False)
         if pieces:
             yield from fill(True)
