@@ -71,7 +71,7 @@ def feature_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
         claim("contamination")
         seen, cells = np.zeros(FEATURES, dtype=np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 hashes, offsets = words(*text_bytes(part.column("text")))
                 if not len(hashes):
                     continue
@@ -383,6 +383,7 @@ def _hits(passes: list, settings: Settings, column: pa.Array):
     return best
 
 
+SLICE = 1 << 20  # bytes of text that are searched at once
 BLOCKS_AT_ONCE = 4  # blocks' words of the benchmark in one broadcast; bounds what a worker holds
 
 
@@ -416,7 +417,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | No
     def search(batches):
         claim("contamination")
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 hits = _hits(passes, settings, part.column("text"))
                 if hits:
                     keys = list(hits)
@@ -439,7 +440,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, settings: Setti
     def keep(batches):
         claim("contamination")
         for batch in batches:
-            for part in slices(batch, work, 4 << 20):
+            for part in slices(batch, work, SLICE):
                 bad = {t for t, _ in _hits(passes, settings, part.column(work))}
                 yield part.filter(pa.array([t not in bad for t in range(part.num_rows)], pa.bool_()))
 
