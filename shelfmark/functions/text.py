@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import html
+import re
 import sys
 import unicodedata
+from html.entities import html5
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +51,20 @@ def _unescape(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else html.unescape(v) for v in values.to_pylist()], pa.string())
 
 
+_WHOLE_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _decoded(entity: re.Match) -> str:
+    told = entity[0]
+    return html.unescape(told) if told[1] == "#" or told[1:] in html5 else told
+
+
+def _unescape_whole(values: pa.Array) -> pa.Array:
+    if values.null_count == len(values):
+        return values
+    return pa.array([None if v is None else _WHOLE_ENTITY.sub(_decoded, v) for v in values.to_pylist()], pa.string())
+
+
 def _fold(values: pa.Array) -> pa.Array:
     if values.null_count == len(values):
         return values
@@ -71,6 +87,11 @@ def _unescape_udf(values: pa.Array) -> pa.Array:
     return _unescape(values)
 
 
+@F.arrow_udf(T.StringType())
+def _unescape_whole_udf(values: pa.Array) -> pa.Array:
+    return _unescape_whole(values)
+
+
 @F.arrow_udf(T.StringType())
 def _fold_udf(values: pa.Array) -> pa.Array:
     return _fold(values)
@@ -110,8 +131,10 @@ def strip_chars(text: Column, chars: str) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
-def unescape(text: Column) -> Column:
-    return F.coalesce(_unescape_udf(F.when(F.contains(text, F.lit("&")), text)), text)
+def unescape(text: Column, whole_only: bool = False) -> Column:
+    """As a browser, which also takes ``&amp`` without its end; with ``whole_only`` just entities that end in a semicolon."""
+    udf = _unescape_whole_udf if whole_only else _unescape_udf
+    return F.coalesce(udf(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def unescape_each(texts: Column) -> Column:
@@ -164,9 +187,9 @@ def _clean_decoded(raw: Column) -> Column:
     return F.when(raw.rlike(_BOILERPLATE_HINT), strip_boilerplate(text)).otherwise(text)
 
 
-def clean(text: Column) -> Column:
+def clean(text: Column, whole_only: bool = False) -> Column:
     """Readable text of an HTML fragment; null gives ''."""
-    return F.coalesce(_clean_decoded(unescape(text)), F.lit(""))
+    return F.coalesce(_clean_decoded(unescape(text, whole_only)), F.lit(""))
 
 
 def clean_each(texts: Column) -> Column:
