@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -9,10 +10,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Spark starts the processor also in a Python process beside the driver, which has no file that was sent to the executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _STORE = "spark.sql.streaming.stateStore"
 STORE = {  # what a query with such a state needs while it starts; its many small stores reserve no disk ahead
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
