@@ -16,14 +16,15 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 SPREAD_BELOW = 64 << 20  # bytes per core
+SPREAD_PIECE = 1 << 20  # bytes of files in one task
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores; a large input is left as it is read.
+def spread(df: DataFrame, piece: int = SPREAD_PIECE) -> DataFrame:
+    """Rows of a small input over all cores, in tasks of about ``piece`` bytes; a large input is left as it is read.
 
-    Small files come in one or two row groups and would keep one core busy.  The
-    size is the optimiser's estimate, so this runs no job.
+    Small files come in one or two row groups and would keep one core busy, and tasks as many as
+    cores would grow with the input.  The size is the optimiser's estimate, so this runs no job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BELOW * cores else df
+    return df.repartition(max(cores, -(-size // piece))) if size < SPREAD_BELOW * cores else df

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import vocabulary as V
 from shelfmark.functions import vectors as VX
-from shelfmark.functions.staging import spread
+from shelfmark.functions.staging import SPREAD_BELOW, spread
 from shelfmark.operators.ordering import top_n
 from shelfmark.operators.terms import TermAutomaton
 from shelfmark.session import stored, work_dir
@@ -293,7 +293,7 @@ def _score_rounds(items: DataFrame, queries: DataFrame, most: int, dim: int) ->
     spark = items.sparkSession
     terms = F.length(F.array_join("terms", "  ")) if "terms" in queries.columns else F.lit(0)
     sized = stored(queries.withColumn("__bytes", F.lit(8 * dim) + F.coalesce(terms, F.lit(0))), "queries")
-    items = stored(spread(items), "items")
+    items = stored(spread(items, SPREAD_BELOW), "items")
     count, size, widest = sized.agg(F.count("*"), F.sum("__bytes"), F.max("__bytes")).first()
     rounds = max(math.ceil(count / most), math.ceil(size / QUERY_BYTES))
     while True:
