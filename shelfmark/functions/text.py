@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 from shelfmark import vocabulary as V
 
 SPACE = r"[\s\x1c-\x1f]"
+# the same characters, told one by one: what patterns look up fastest and what trims take
+SPACES = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
-_NEEDS_FOLD = r"[^\x00-\x7F]|&"
 
 
 # ---------------------------------------------------------------- Arrow helpers
@@ -75,11 +76,12 @@ def _fold(values: pa.Array) -> pa.Array:
 
 
 def _within_lists(kernel, lists: pa.Array) -> pa.Array:
-    if lists.null_count == len(lists):
-        return lists
+    """``kernel`` over the texts of all lists; empty lists give null."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if not lengths.any():
+        return pa.nulls(len(lists), lists.type)
     offsets = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
-    return pa.ListArray.from_arrays(offsets, kernel(lists.flatten()), mask=lists.is_null())
+    return pa.ListArray.from_arrays(offsets, kernel(lists.flatten()), mask=pa.array(lengths == 0))
 
 
 @F.arrow_udf(T.StringType())
@@ -124,7 +126,16 @@ def bind(value: Column, body) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def one_space(text: Column) -> Column:
+    """Each run of space becomes one blank; those that are one already are passed over."""
+    return F.regexp_replace(text, f"[^!-~](?<! (?=[!-~]))(?<=[{SPACES}])(?<! (?![{SPACES}]))[{SPACES}]*", " ")
+
+
+def has_any(text: Column, *pieces: str) -> Column:
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(piece)) for piece in pieces])
 
 
 def strip_chars(text: Column, chars: str) -> Column:
@@ -137,34 +148,53 @@ def unescape(text: Column, whole_only: bool = False) -> Column:
     return F.coalesce(udf(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
+def _where_any(texts: Column, test, udf) -> Column:
+    """``udf`` of the lists in which ``test`` holds for a text.
+
+    The others send an empty list: Spark's Arrow writer goes over all nulls of a batch again with each row.
+    """
+    hit = F.exists(texts, test)
+    return F.coalesce(udf(F.when(hit, texts).otherwise(F.array().cast("array<string>"))), texts)
+
+
 def unescape_each(texts: Column) -> Column:
-    hit = F.exists(texts, lambda t: F.contains(t, F.lit("&")))
-    return F.coalesce(_unescape_each_udf(F.when(hit, texts)), texts)
+    return _where_any(texts, lambda t: F.contains(t, F.lit("&")), _unescape_each_udf)
 
 
 # ---------------------------------------------------------------- TXT-1 normalise
 
 def _to_tokens(plain: Column) -> Column:
     spelled = F.replace(F.lower(plain), F.lit("&"), F.lit(" and "))
-    return F.coalesce(F.btrim(F.regexp_replace(spelled, "[^a-z0-9]+", " ")), F.lit(""))
+    # runs of other characters, but for a blank between two words
+    return F.coalesce(F.btrim(F.regexp_replace(spelled, "[^a-z0-9](?<! (?=[a-z0-9]))[^a-z0-9]*", " ")), F.lit(""))
+
+
+def _needs_fold(text: Column) -> Column:
+    """Holds ``&`` or a character beyond ASCII."""
+    return (F.octet_length(text) != F.char_length(text)) | F.contains(text, F.lit("&"))
+
+
+def _without_tags(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
     """Accent-free lower-case ASCII tokens joined by one space; null gives ''."""
-    folded = _fold_udf(F.when(text.rlike(_NEEDS_FOLD), text))
-    return _to_tokens(F.coalesce(folded, F.regexp_replace(text, "<[^>]+>", " ")))
+    folded = _fold_udf(F.when(_needs_fold(text), text))
+    return _to_tokens(F.coalesce(folded, _without_tags(text)))
 
 
 def normalize_each(texts: Column) -> Column:
-    hit = F.exists(texts, lambda t: t.rlike(_NEEDS_FOLD))
-    folded = F.coalesce(_fold_each_udf(F.when(hit, texts)), texts)
-    return F.transform(folded, lambda t: _to_tokens(F.regexp_replace(t, "<[^>]+>", " ")))
+    folded = _where_any(texts, _needs_fold, _fold_each_udf)
+    return F.transform(folded, lambda t: _to_tokens(_without_tags(t)))
 
 
 # ---------------------------------------------------------------- TXT-2, TXT-3 clean
 
 # one word of each phrase: a text without any of them needs no further look
-_BOILERPLATE_HINT = "(?i)intoxicating|adults|reach|dispensary|possessed|warning:"
+# (found by its rarest letter: a choice between words would be tried at every place)
+_BOILERPLATE_HINT = (
+    "(?is)[xyk:](?:(?<=x)icating|(?<=k)eep(?=.*reach)|(?<=only)(?=.*(?:adults|possessed))|(?<=dispensary)|(?<=warning:))")
 
 
 def strip_boilerplate(text: Column) -> Column:
@@ -175,15 +205,20 @@ def strip_boilerplate(text: Column) -> Column:
     return text
 
 
+def _strip_if_needed(text: Column) -> Column:
+    ends = [F.contains(F.lit(SPACES), F.substring(text, place, 1)) for place in (1, -1)]
+    return F.when(ends[0] | ends[1], strip_space(text)).otherwise(text)
+
+
 def _clean_decoded(raw: Column) -> Column:
     """All steps look at ``raw`` to see whether they have work, so plain text passes through few patterns."""
     tagged = F.contains(raw, F.lit("<"))
     lines = F.regexp_replace(raw, r"(?iU)<br\s*/?>", "\n")
     lines = F.regexp_replace(lines, r"(?i)</(?:p|div|li|h[1-6])>", "\n")
-    text = F.when(tagged, F.regexp_replace(lines, r"<[^>]+>", " ")).otherwise(raw)
-    text = F.regexp_replace(text, r"[ \t\xa0]+", " ")
+    bare = F.regexp_replace(F.when(tagged, F.regexp_replace(lines, r"<[^>]+>", " ")).otherwise(raw), r"[ \t\xa0]+", " ")
+    text = F.when(tagged | has_any(raw, "  ", "\t", "\xa0"), bare).otherwise(raw)
     squeezed = F.regexp_replace(text, rf"(?U)\n{SPACE}*\n+", "\n")
-    text = strip_space(F.when(tagged | F.contains(raw, F.lit("\n")), squeezed).otherwise(text))
+    text = bind(F.when(tagged | F.contains(raw, F.lit("\n")), squeezed).otherwise(text), _strip_if_needed)
     return F.when(raw.rlike(_BOILERPLATE_HINT), strip_boilerplate(text)).otherwise(text)
 
 
