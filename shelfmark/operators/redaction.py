@@ -36,7 +36,7 @@ def phrase_pattern(phrase: Column) -> Column:
 def redact(text: Column, patterns: list[Column]) -> Column:
     for pattern in patterns:
         text = F.when(pattern.isNull(), text).otherwise(F.regexp_replace(text, pattern, F.lit(" ")))
-    return X.strip_chars(F.regexp_replace(text, rf"(?U){X.SPACE}+", " "), " .,:;-\n")
+    return X.strip_chars(X.one_space(text), " .,:;-\n")
 
 
 def with_record_text(rows: DataFrame, column: str = "record_text") -> DataFrame:
