@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from shelfmark.functions import text as X
 from shelfmark.functions import vectors as VX
 
 TextsToVectors = Callable[[list[str]], np.ndarray]
+_ASCII_WORD = re.compile(r"[^\t\n\f\r ]+")
 
 
 # ---------------------------------------------------------------- VEC-7
@@ -23,13 +25,13 @@ def hashing_model(dim: int) -> TextsToVectors:
     """The default model: weighted word counts in ``dim`` hash buckets.
 
     Pure, so tasks can be retried.  Weights are positive: words cannot cancel out,
-    so every text with a word has a vector.
+    so every text with a word has a vector.  In a text of Unicode space alone, all but ASCII space counts as words.
     """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
         for row, text in enumerate(texts):
-            for word in text.lower().split():
+            for word in text.lower().split() or _ASCII_WORD.findall(text):
                 code = zlib.crc32(word.encode())
                 out[row, code % dim] += 1.0 + (code >> 24) / 255
         return out
@@ -38,7 +40,7 @@ def hashing_model(dim: int) -> TextsToVectors:
 
 
 def embed_column(df: DataFrame, text: str, vector: str, model: TextsToVectors, dim: int, batch: int = 64) -> DataFrame:
-    """Adds ``vector``: unit vectors of ``text``, computed in batches of at most ``batch`` rows.
+    """Adds ``vector``: unit vectors of ``text`` (null: empty), computed in batches of at most ``batch`` rows.
 
     A model that returns the wrong shape fails the task; Spark retries it.
     """
@@ -49,7 +51,7 @@ def embed_column(df: DataFrame, text: str, vector: str, model: TextsToVectors, d
         for rows in batches:
             for start in range(0, rows.num_rows, batch):
                 part = rows.slice(start, batch)
-                got = np.asarray(model(part.column(text).to_pylist()), dtype=np.float64)
+                got = np.asarray(model([told or "" for told in part.column(text).to_pylist()]), dtype=np.float64)
                 if got.shape != (part.num_rows, dim):
                     raise ValueError(f"model returned {got.shape}, expected {(part.num_rows, dim)}")
                 got = got / np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
@@ -88,9 +90,18 @@ def with_text_hash(rows: DataFrame, text: str = "record_text") -> DataFrame:
 
 
 def missing_rows(texts: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
-    """JN-5: rows of ``id, text_hash`` without a complete vector of the same text."""
-    done = vectors.filter(VX.is_complete(F.col("embedding"), dim)).select("id", "text_hash")
-    return texts.join(done, ["id", "text_hash"], "left_anti")
+    """JN-5: rows of ``id, text_hash`` without a complete vector of the same text; nulls are equal."""
+    return texts.join(embedded(vectors, dim), same_text(), "left_anti")
+
+
+def embedded(vectors: DataFrame, dim: int | None = None) -> DataFrame:
+    """``done_id, done_hash`` of each complete vector, to be joined by ``same_text``."""
+    c = F.col
+    return vectors.filter(VX.is_complete(c("embedding"), dim)).select(c("id").alias("done_id"), c("text_hash").alias("done_hash"))
+
+
+def same_text() -> list[Column]:
+    return [F.col("id").eqNullSafe(F.col("done_id")), F.col("text_hash").eqNullSafe(F.col("done_hash"))]
 
 
 def missing_batches(mask: DataFrame, batch: int, shard_rows: int = 1_000_000) -> DataFrame:

@@ -44,3 +44,18 @@ def test_processor_needs_no_package(tmp_path):
     environment = {"PATH": "/usr/bin", "PYTHONPATH": str(Path(sys.modules["pyspark"].__file__).parents[1])}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "5", done.stderr
+
+
+@pytest.mark.parametrize("most", [1, Q.STREAM_BYTES])
+def test_stream_embedding_on_odd_documents(spark, tmp_path, monkeypatch, most):
+    """Nulls, rows that stand twice, texts of Unicode space alone."""
+    monkeypatch.setattr(Q, "STREAM_BYTES", most)
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, "d"), (None, None), (2, None), (3, ""), (4, " \t\n\f\r"),
+            (5, "\u00a0"), (6, "\u3000 \u2003"), (7, "\x0b"), (8, "\x1c\x85"), (9, "\u00a0x")]
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("stream_embedding", "embed_table"):
+        got = entry.queries()[name](spark, str(tmp_path)).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(entry.oracle_sql()[name]).fetchall()))
