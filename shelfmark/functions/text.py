@@ -15,8 +15,10 @@ import html
 import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -46,9 +48,34 @@ def _mark_pattern() -> str:
     return "[" + "".join(ranges) + "]"
 
 
+PIECE = 1 << 20  # bytes of text that are worked on at once
+
+
+def by_bytes(texts: pa.Array, most: int = PIECE) -> Iterator[pa.Array]:
+    """Texts in parts of about ``most`` bytes, or of one text."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(lengths, dtype=np.int64), 0
+    while first < len(texts):
+        after = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield texts.slice(first, after - first)
+        first = after
+
+
+def _in_pieces(kernel: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """What a kernel holds beside its texts and their result is bounded, however large an Arrow batch is."""
+
+    @functools.wraps(kernel)
+    def run(values: pa.Array) -> pa.Array:
+        if values.null_count == len(values):
+            return values
+        done = [part if part.null_count == len(part) else kernel(part).cast(values.type) for part in by_bytes(values)]
+        return pa.concat_arrays(done)
+
+    return run
+
+
+@_in_pieces
 def _unescape(values: pa.Array) -> pa.Array:
-    if values.null_count == len(values):
-        return values
     return pa.array([None if v is None else html.unescape(v) for v in values.to_pylist()], pa.string())
 
 
@@ -60,15 +87,13 @@ def _decoded(entity: re.Match) -> str:
     return html.unescape(told) if told[1] == "#" or told[1:] in html5 else told
 
 
+@_in_pieces
 def _unescape_whole(values: pa.Array) -> pa.Array:
-    if values.null_count == len(values):
-        return values
     return pa.array([None if v is None else _WHOLE_ENTITY.sub(_decoded, v) for v in values.to_pylist()], pa.string())
 
 
+@_in_pieces
 def _fold(values: pa.Array) -> pa.Array:
-    if values.null_count == len(values):
-        return values
     folded = pc.utf8_normalize(values, form="NFKD")
     folded = pc.replace_substring_regex(folded, pattern=_mark_pattern(), replacement="")
     folded = pc.replace_substring_regex(folded, pattern=r"<[^>]+>", replacement=" ")

@@ -41,7 +41,7 @@ MAX_BROADCAST_QUERIES = 4096
 ROUND_QUERIES = 16384
 QUERY_BYTES = 64 << 20  # of the vectors in one block
 _QUERY_CHUNK = 256
-_HIT_CELLS = 16_000_000  # rows x terms of one hit table
+_HIT_CELLS = 4_000_000  # rows x terms of one hit table
 _ROWS = 8192  # scored at once
 _PAIRS = 1 << 16  # scored at once in double precision
 _HELD = 1 << 21  # rows of all lists that a task holds before it hands them on
@@ -90,6 +90,22 @@ class _Queries:
         return pc.fill_null(found, -2).to_numpy(zero_copy_only=False)
 
 
+class _Hits:
+    """Which terms the rows of a slice hold: looked for once in each row, whatever the number of query chunks."""
+
+    def __init__(self, automaton: TermAutomaton, texts: pa.Array):
+        self.automaton, self.texts = automaton, texts
+        self.table = np.zeros((len(texts), automaton.count), dtype=np.float32)
+        self.known = np.zeros(len(texts), dtype=bool)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        new = rows[~self.known[rows]]
+        if len(new):
+            self.table[new] = self.automaton.hits(self.texts.take(pa.array(new)))
+            self.known[new] = True
+        return self.table if len(rows) == len(self.table) else self.table[rows]
+
+
 class _Best:
     """The best rows seen so far for each query of a block."""
 
@@ -118,6 +134,7 @@ class _Best:
         longest = float(lengths.max(initial=0.0))
         single = not q.terms and longest < _SINGLE_MOST and float(q.lengths.max(initial=0.0)) < _SINGLE_MOST
         narrow = matrix.astype(np.float32) if single else None
+        hits = _Hits(q.automaton, batch.column("descriptor")) if q.terms else None
         for start in range(0, len(q.ids), _QUERY_CHUNK):
             chunk = slice(start, start + _QUERY_CHUNK)
             outside = None
@@ -128,7 +145,7 @@ class _Best:
                 hit_query, hit_row = self._near(chunk, narrow, longest, outside)
                 scores = self._exact(chunk, matrix, hit_query, hit_row)
             else:
-                block = self._block(chunk, batch, matrix, outside)
+                block = self._block(chunk, hits, matrix, outside)
                 hit_query, hit_row = np.nonzero(block >= self.floor[chunk, None] - 10.0 ** -SCORE_DIGITS)
                 scores = block[hit_query, hit_row]
             scores = np.round(scores, SCORE_DIGITS)
@@ -142,7 +159,7 @@ class _Best:
                 yield from self.result()
                 self._clear()  # the floors stay: as many rows as are needed have been handed on from above them
 
-    def _block(self, chunk: slice, batch: pa.RecordBatch, matrix: np.ndarray, outside: np.ndarray | None) -> np.ndarray:
+    def _block(self, chunk: slice, hits: _Hits | None, matrix: np.ndarray, outside: np.ndarray | None) -> np.ndarray:
         """All scores of a chunk in double precision, with the bonus of terms; not a number outside the scope."""
         q = self.queries
         scores = q.vectors[chunk] @ matrix.T
@@ -150,8 +167,7 @@ class _Best:
             scores[outside] = np.nan
         if q.terms:  # words are looked at only in rows that the greatest bonus could lift over a floor
             near = np.flatnonzero((scores + (V.BONUS_CAP + 10.0 ** -SCORE_DIGITS) >= self.floor[chunk, None]).any(axis=0))
-            hits = q.automaton.hits(batch.column("descriptor").take(pa.array(near)))
-            scores[:, near] += np.minimum(V.BONUS_CAP, (q.wants(chunk) @ hits.T).astype(np.float64) * V.BONUS_STEP)
+            scores[:, near] += np.minimum(V.BONUS_CAP, (q.wants(chunk) @ hits.of(near).T).astype(np.float64) * V.BONUS_STEP)
         return scores
 
     def _near(self, chunk: slice, narrow: np.ndarray, longest: float, outside: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

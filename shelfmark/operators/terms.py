@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from shelfmark.functions.text import by_bytes
+
 
 class TermAutomaton:
     """A trie of terms with failure links, as tables: one step takes one byte of every word.
@@ -78,13 +80,22 @@ class TermAutomaton:
         return np.repeat(word, sizes), self.found[place]
 
     def hits(self, texts: pa.Array) -> np.ndarray:
-        """Texts x terms, 1 where the term occurs; a null text holds none."""
-        out = np.zeros((len(texts), self.count), dtype=np.float32)
+        """Texts x terms, 1 where the term occurs; a null text holds none.
+
+        Words and their hits are held for about ``PIECE`` bytes of text at a time.
+        """
+        out, first = np.zeros((len(texts), self.count), dtype=np.float32), 0
+        for part in by_bytes(texts):
+            self._mark(part, out[first: first + len(part)])
+            first += len(part)
+        return out
+
+    def _mark(self, texts: pa.Array, out: np.ndarray) -> None:
         lists = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
         coded = lists.flatten().dictionary_encode()
         word, term = self.scan(coded.dictionary)
         if not len(word):
-            return out
+            return
         pairs = np.unique(word * self.count + term)
         word, term = pairs // self.count, pairs % self.count
         codes = coded.indices.to_numpy()
@@ -94,4 +105,3 @@ class TermAutomaton:
         ends = np.cumsum(sizes)
         place = np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
         out[np.repeat(rows, sizes), term[place]] = 1.0
-        return out
